@@ -6,7 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from evidloom.llm.decontaminate import contamination
+from evidloom.llm.mixing import mixture
 from evidloom.llm.ngram_join import ngram_join
+from evidloom.llm.quality import quality
+from evidloom.llm.token_store import token_store
+from evidloom.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,11 +26,46 @@ def _query(f):
     return f
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@_query
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+
+
+@_query
+def op3_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op4_pareto_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op7_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 #: Words of A-Z lower-cased text, as RE2 and Java write the class alike.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
 
@@ -33,7 +73,7 @@ SQL["op6_ngram_join"] = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(r'[^\x20\x09-\x0D]+')} AS w FROM documents),
 s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 k AS (SELECT doc_id, g, hash(g) AS h FROM s),
 i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM k a JOIN k b ON a.h = b.h AND a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
@@ -42,3 +82,32 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) m USING (doc_id)
 """
+
+SQL["op4_pareto_mixture"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS h,
+    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':0'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
+  FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+f AS (SELECT *, (sum(size) OVER () - coalesce(sum(3 * size) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS unit
+  FROM s WINDOW o AS (ORDER BY 3 * size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, size AS source_size, least(3 * size, w * (SELECT max(unit) FROM f)) AS target FROM f),
+r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS due FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, floor(due) AS whole, due - floor(due) AS p FROM r),
+k AS (SELECT *, u * (1 - p) / (u * (1 - p) + (1 - u) * p) AS rank, target - sum(whole * size) OVER (PARTITION BY source) AS room FROM q),
+c AS (SELECT *, sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source, p > 0 ORDER BY rank, doc_id NULLS FIRST, h ROWS UNBOUNDED PRECEDING) - size / 2 AS mid FROM k)
+SELECT doc_id, size, source_size::BIGINT AS source_size, round(target, 6) AS target, ((whole + CASE WHEN p > 0 AND mid <= room THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM c
+"""
+
+SQL["op8_decontaminate"] = rf"""
+WITH w AS (SELECT doc_id, {_WORDS.format(r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS.format(r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')} AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, least(len(w), 10) AS m, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 10 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' ')) END) AS g FROM b),
+x AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS g FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT DISTINCT m FROM g))),
+y AS (SELECT DISTINCT doc_id, item_id, x.m, i FROM x JOIN g ON x.g = g.g AND x.m = g.m),
+h AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM y) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM y) GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
