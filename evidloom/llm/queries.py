@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidloom.llm.decontaminate import contamination
+from evidloom.llm.fingerprints import edit_fingerprints
+from evidloom.llm.language import language
 from evidloom.llm.mixing import mixture
 from evidloom.llm.ngram_join import ngram_join
 from evidloom.llm.quality import quality
+from evidloom.llm.secret_scan import secrets
 from evidloom.llm.token_store import token_store
 from evidloom.llm.toxicity import toxicity
+from evidloom.llm.url_filter import Rule, judged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,6 +36,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@_query
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
@@ -47,6 +56,11 @@ def op4_pareto_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op5_language_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
@@ -66,6 +80,26 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+RULES = [
+    Rule("org", "/", True),
+    Rule("example.org", "/es/", False),
+    Rule("example.org", "/en/1", False),
+    Rule("com", "/fr/", True),
+    Rule("com", "/de/", False),
+]
+
+
+@_query
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(_table(spark, sf_dir, "pages"), RULES)
+
+
 #: Words of A-Z lower-cased text, as RE2 and Java write the class alike.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
 
