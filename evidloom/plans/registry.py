@@ -25,3 +25,8 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def load() -> None:
+    """Registers the queries of all plans."""
+    from evidloom.plans import demand, ingest, matching, quality  # noqa: F401
