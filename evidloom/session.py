@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -10,6 +12,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; a temporary folder only where that is unset (tests)."""
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if there:
+        return there.rstrip("/")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="evidloom-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return f"file://{_own[0]}"
 
 
 def ship(spark: SparkSession) -> None:
