@@ -54,13 +54,13 @@ def fingerprint(*cols: Column) -> Column:
 
 def split_list(c: Column) -> Column:
     """Trimmed, non-empty entries separated by new lines, commas or semicolons, first of each kept."""
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), r"[\n,;]"), F.trim)
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), r"[\n,;]"), lambda p: F.trim(p))
     return F.array_distinct(F.filter(parts, lambda p: p != ""))
 
 
 def location(c: Column) -> Column:
     """City, region and country from parts separated by commas."""
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda p: F.trim(p))
     at = lambda i: F.nullif(F.get(parts, i), F.lit(""))
     n = F.size(parts)
     return F.struct(at(F.lit(0)).alias("city"), F.when(n > 2, at(F.lit(1))).alias("region"), F.when(n > 1, at(n - 1)).alias("country"))
