@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from evidloom.llm.scratch import shielded
 from evidloom.llm.textvec import WORD, Slab, Words, slabs, span_hashes, words
 
 WINDOW = 10
@@ -261,8 +262,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
     Any columns stay; n_chars, where there is one, follows the text.
     """
-    out = _scanned(docs, benchmark, docs.columns, window, max_coverage, True)
+    rows, back = shielded(docs, "text", "n_chars")
+    out = _scanned(rows, benchmark, rows.columns, window, max_coverage, True)
     out = out.where(F.col("_n_hit") <= max_coverage * F.col("_n_words")).withColumn("text", F.coalesce("_clean", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_clean").isNotNull(), F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return back(out)

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from evidloom.llm.scratch import remove, written
+from evidloom.llm.scratch import remove, shielded, written
 
 BINS = 4096
 MOST = 3
@@ -111,5 +111,6 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents that the mix takes, each as often as it is taken."""
-    out = Mix(docs, **how).rows().where("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    rows, back = shielded(docs, "doc_id", "text", "source", how.get("weight") or "doc_id")
+    out = Mix(rows, **how).rows().where("copies > 0")
+    return back(out.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))

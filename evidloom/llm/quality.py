@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from evidloom.llm.scratch import shielded
 from evidloom.llm.textvec import NOT_SPACE, mix, slabs, span_hashes, words
 
 SAMPLE = 6000
@@ -163,4 +164,5 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, *
 def good_documents(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, **how) -> DataFrame:
     """``docs`` without those of a score under 0.5."""
     model = fit(docs, labels, "quality", ~held_out("doc_id", folds, fold), **how)
-    return scored(docs, model).where("_score >= 0.5").select(*[f"`{c}`" for c in docs.columns])
+    rows, back = shielded(docs, "doc_id", "text")
+    return back(scored(rows, model).where("_score >= 0.5"))
