@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from evidloom.llm import secret_scan
 from evidloom.llm.decontaminate import contamination
 from evidloom.llm.fingerprints import edit_fingerprints
 from evidloom.llm.language import language
@@ -145,3 +146,25 @@ n AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_
 SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+
+def _spans_sql(kind: str, pattern: str, group: int, low: int, high: int | None = None) -> str:
+    """Rows (doc_id, kind, s, e) of the matches of which ``group`` has low (to high) characters."""
+    p = pattern.replace("'", "''")
+    most = f" AND length(v[i]) <= {high}" if high else ""
+    return f"""SELECT doc_id, '{kind}' AS kind, s, s + length(m[i]) AS e FROM (SELECT doc_id, m, v, i, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s
+      FROM (SELECT doc_id, m, v, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS v, string_split_regex(t, '{p}') AS g FROM d))) WHERE length(v[i]) >= {low}{most}"""
+
+
+SQL["op9_secret_scan"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS ({_spans_sql('assign', secret_scan.ASSIGN, 1, 12)} UNION ALL {_spans_sql('access', secret_scan.ACCESS, 0, 18)} UNION ALL {_spans_sql('hex', secret_scan.HEX, 0, 16)}),
+p AS ({_spans_sql('part', secret_scan.WEAK_PART, 1, 6)} UNION ALL {_spans_sql('part', secret_scan.ASSIGN, 1, 6, 11)} UNION ALL {_spans_sql('id', secret_scan.WEAK_ID, 1, 3)} UNION ALL {_spans_sql('endpoint', secret_scan.ENDPOINT, 0, 4)}),
+near AS (SELECT x.doc_id, x.kind, x.s, x.e, y.kind AS k FROM p x JOIN (SELECT * FROM p UNION ALL SELECT * FROM b WHERE kind = 'access') y ON x.doc_id = y.doc_id AND abs(x.s - y.s) <= 200 WHERE x.kind = 'part'),
+l AS (SELECT doc_id, s, e FROM near GROUP BY ALL HAVING bool_or(k = 'access') OR (bool_or(k = 'id') AND bool_or(k = 'endpoint'))),
+a AS (SELECT * FROM b UNION ALL SELECT doc_id, 'linked_part', s, e FROM l UNION ALL SELECT DISTINCT p.doc_id, 'linked_' || kind, p.s, p.e FROM p JOIN l ON p.doc_id = l.doc_id AND abs(p.s - l.s) <= 200 WHERE kind <> 'part'),
+o AS (SELECT *, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 WHEN 'hex' THEN 2 WHEN 'linked_id' THEN 3 WHEN 'linked_part' THEN 4 ELSE 5 END AS place, kind || ':' || s || ':' || e AS name FROM a)
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(name, ',' ORDER BY s, place, e) FILTER (WHERE place < 3), '')) AS base_sha256, coalesce(string_agg(name, ',' ORDER BY s, place, e), '') AS spans
+FROM d LEFT JOIN o ON d.doc_id = o.doc_id GROUP BY d.doc_id
+"""
