@@ -11,11 +11,12 @@ first ``n - ceil(t n) + 1`` n-grams, and the shorter set one of its first ``n -
    is far above the mean are dealt over several salted groups.
 3. In each group every class is paired with a few pivots only, a number of rows that follows the
    group's size. Verified pairs are contracted to components.
-4. Classes of different components that share a prefix n-gram are paired when the positions of
-   that n-gram still allow the needed overlap.
-5. Pairs are verified in ``trie_overlaps``: the candidates of one anchor, most common n-gram
-   first, form a prefix tree; a walk counts each shared prefix once and leaves subtrees whose
-   remaining lengths cannot reach the needed overlap.
+4. Groups that still hold several components: where they are small, classes are paired if the
+   positions of their n-gram allow the needed overlap. Classes that large groups connect form
+   blocks, in which each class is sent once for each chunk that it meets, and no pairs are made.
+5. Sets are compared in ``trie_matches``: candidates, most common n-gram first, form a prefix
+   tree; a walk counts each shared prefix once for all probes and leaves subtrees whose remaining
+   lengths cannot reach the needed overlap.
 
 Every link between classes of different components is found, whatever a group's size; inside a
 component further links cannot change the result and are not looked for. Class names are 64-bit
@@ -31,18 +32,23 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from evidloom.llm.components import connected_components
-from evidloom.llm.scratch import remove, written
-from evidloom.llm.textvec import NOT_SPACE, shingles, slabs, span_hashes, words
+from evidloom.llm.scratch import remove, shielded, written
+from evidloom.llm.textvec import NOT_SPACE, mix, shingles, slabs, span_hashes, words
 
 _U = np.uint64
 COUNTERS = 1 << 20  # of the table of counts: 4 MB, the bound of what is broadcast
 _PIECE = 1 << 12  # counters in a row
 SALT_ABOVE = 2000  # rows above the mean counter that one group takes
 PIVOTS = 3
+BITS = 25  # 2**25 bits, 4 MB, of the bitmap of documents to be verified
+_PIECE_BITS = 1 << 15
+PAIRED = 32  # classes of a group that are paired one by one; more are met in blocks
+CHUNK = 150_000  # n-grams of a chunk of a block
 ANCHOR_GROUP = 256  # candidates of an anchor in one group
 
 
@@ -144,68 +150,146 @@ def _flat(parts, table, mean, schema):
     yield pa.record_batch([pa.array(x) for x in (token.view(np.int64), salt, salts, cls, n, pos)], schema=schema)
 
 
-def needed(a: int, b: int, percent: int) -> int:
-    """The least overlap of sets of a and b members at that Jaccard similarity."""
-    return -(-percent * (a + b) // (100 + percent))
+def trie_matches(probes: list[np.ndarray], sets: list[np.ndarray], percent: int):
+    """Yields (set, probes that have that similarity with it), by number; all sets are in one global order.
 
-
-def trie_overlaps(anchor: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
-    """Which ``sets`` have that similarity with ``anchor``.
-
-    All are in one global order. The sets, sorted as sequences, are walked as a path-compressed
-    prefix tree: an edge's members are looked up in the anchor once for all sets below it.
+    ``sets``, sorted as sequences, are walked as a path-compressed prefix tree. The members on an
+    edge are looked up in all probes once for all sets below it. Probes that could not reach the
+    needed overlap with the remaining lengths leave the walk, and a subtree without probes is cut.
     """
-    known = np.sort(anchor)
+    if not probes or not sets:
+        return
     order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
     seqs = [sets[i] for i in order]
+    size = np.array([len(s) for s in seqs])
     lcp = [0] * (len(seqs) + 1)
     for k in range(1, len(seqs)):
-        m = min(len(seqs[k - 1]), len(seqs[k]))
+        m = min(size[k - 1], size[k])
         differ = np.flatnonzero(seqs[k - 1][:m] != seqs[k][:m])
-        lcp[k] = int(differ[0]) if len(differ) else m
-    found: list[int] = []
-    todo = [(0, len(seqs), 0, 0)]  # the sets lo..hi share their first `depth` members, `overlap` of them known
+        lcp[k] = int(differ[0]) if len(differ) else int(m)
+    known = np.intersect1d(np.concatenate(probes), np.concatenate(seqs))
+    has = np.zeros((len(known) + 1, len(probes)), np.uint8)  # the last row is of members that no probe has
+    for k, p in enumerate(probes):
+        at = np.searchsorted(known, p)
+        at = at[known[np.minimum(at, len(known) - 1)] == p] if len(known) else at[:0]
+        has[at, k] = 1
+    length = np.array([len(p) for p in probes])
+    least = lambda n, m: -(-percent * (n + m) // (100 + percent))
+    todo = [(0, len(seqs), 0, np.arange(len(probes)), np.zeros(len(probes), np.int64))]
     while todo:
-        lo, hi, depth, overlap = todo.pop()
-        lengths = [len(s) for s in seqs[lo:hi]]
-        # Each set could at best have all its remaining members in the anchor.
-        if all(overlap + min(n - depth, len(anchor) - overlap) < needed(n, len(anchor), percent) for n in lengths):
+        lo, hi, depth, alive, overlap = todo.pop()
+        own = length[alive]
+        best = overlap + np.minimum(size[lo:hi].max() - depth, own - overlap)
+        stay = best >= least(size[lo:hi].min(), own)
+        if not stay.any():
             continue
-        end = min(lcp[lo + 1 : hi]) if hi - lo > 1 else lengths[0]
+        alive, overlap, own = alive[stay], overlap[stay], own[stay]
+        end = min(lcp[lo + 1 : hi]) if hi - lo > 1 else int(size[lo])
         edge = seqs[lo][depth:end]
-        at = np.minimum(np.searchsorted(known, edge), len(known) - 1)
-        overlap += int((known[at] == edge).sum())
+        if len(edge) and len(known):
+            at = np.searchsorted(known, edge)
+            at = np.where(known[np.minimum(at, len(known) - 1)] == edge, at, len(known))
+            rows = has[at]
+            overlap = overlap + (rows if len(alive) == len(probes) else rows[:, alive]).sum(axis=0, dtype=np.int64)
         if hi - lo == 1:
-            if overlap >= needed(lengths[0], len(anchor), percent):
-                found.append(order[lo])
+            hit = alive[overlap >= least(size[lo], own)]
+            if len(hit):
+                yield order[lo], hit
             continue
         cut = lo
         for k in range(lo + 1, hi + 1):
             if k == hi or lcp[k] == end:
-                todo.append((cut, k, end, overlap))
+                todo.append((cut, k, end, alive, overlap))
                 cut = k
-    return found
+
+
+def _arrays(group: pa.Table) -> list[np.ndarray]:
+    """Sets as they were sent: of each n-gram the upper 48 bits."""
+    out = []
+    for x in group.column("grams").to_pylist():
+        own = np.zeros((len(x) // 6, 8), np.uint8)
+        own[:, 2:] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+        out.append(own.reshape(-1).view(_U))
+    return out
 
 
 def _verify(percent: int):
+    """The candidates of one anchor that are similar to it."""
+
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        anchor_id = key[0].as_py()
-        ids = group.column("cls").to_pylist()
-        grams = [np.frombuffer(x, _U) for x in group.column("grams").to_pylist()]
-        at = ids.index(anchor_id)
+        anchor = key[0].as_py()
+        ids, grams = group.column("cls").to_pylist(), _arrays(group)
+        at = ids.index(anchor)
         others = [i for i in range(len(ids)) if i != at]
-        hit = [ids[others[i]] for i in trie_overlaps(grams[at], [grams[i] for i in others], percent)]
-        return pa.table({"a": pa.array([anchor_id] * len(hit), pa.int64()), "b": pa.array(hit, pa.int64())})
+        hit = [ids[others[i]] for i, _ in trie_matches([grams[at]], [grams[i] for i in others], percent)]
+        return pa.table({"a": pa.array([anchor] * len(hit), pa.int64()), "b": pa.array(hit, pa.int64())})
 
     return run
 
 
-def _ordered_sets(size: int, counts):
+def _verify_block(percent: int):
+    """Links between two chunks of a block, as many as join components."""
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        ids, comp, grams = group.column("cls").to_pylist(), group.column("comp").to_pylist(), _arrays(group)
+        side = group.column("side").to_pylist()
+        left = [i for i, s in enumerate(side) if s != 1]  # 0 and 1 are the two chunks, 2 is a chunk beside itself
+        right = [i for i, s in enumerate(side) if s != 0]
+        root = {c: c for c in comp}
+
+        def of(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        a, b = [], []
+        for i, hits in trie_matches([grams[k] for k in left], [grams[k] for k in right], percent):
+            i = right[i]
+            for j in hits:
+                x, y = of(comp[i]), of(comp[left[j]])
+                if x != y:
+                    root[x] = y
+                    a.append(min(ids[i], ids[left[j]]))
+                    b.append(max(ids[i], ids[left[j]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _bit(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.view(_U)) >> _U(64 - BITS)).astype(np.int64)
+
+
+def _bitmap(batches):
+    """Pieces of the bitmap of the ids that stream by; each piece is in one partition."""
+    pieces: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for piece, bit in zip(batch.column("piece").to_pylist(), batch.column("bit").to_pylist(), strict=True):
+            pieces.setdefault(piece, np.zeros(_PIECE_BITS, bool))[bit] = True
+    yield pa.record_batch([pa.array(list(pieces), pa.int64()), pa.array([np.packbits(x).tobytes() for x in pieces.values()], pa.binary())], names=["piece", "bits"])
+
+
+def bitmap(ids: DataFrame):
+    """A broadcast bitmap of hashed doc_ids: fixed in size, so what it lets through is to be looked up exactly."""
+    udf = F.pandas_udf(lambda x: pd.Series(_bit(x.to_numpy(np.int64))), "long")
+    bits = ids.select(udf("doc_id").alias("at")).select(F.floor(F.col("at") / _PIECE_BITS).alias("piece"), (F.col("at") % _PIECE_BITS).alias("bit"))
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    for piece, blob in bits.repartition(16, "piece").mapInArrow(_bitmap, "piece long, bits binary").toLocalIterator():
+        out[piece * _PIECE_BITS // 8 : (piece + 1) * _PIECE_BITS // 8] = np.frombuffer(blob, np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(out.tobytes())
+
+
+def _ordered_sets(size: int, counts, marks):
     def run(batches):
-        table = np.frombuffer(counts.value, np.uint32)
+        table, bits = np.frombuffer(counts.value, np.uint32), np.frombuffer(marks.value, np.uint8)
         for batch in batches:
-            out = [in_order(own, table)[::-1].tobytes() for own in sets_of(batch.column("text"), size)]
-            yield pa.record_batch([batch.column("cls"), pa.array(out, pa.binary())], names=["cls", "grams"])
+            at = _bit(np.asarray(batch.column("doc_id")))
+            batch = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7))) & 1 == 1))
+            cls, out = [], []
+            for own in sets_of(batch.column("text"), size):
+                cls.append(class_of(own))
+                out.append(np.ascontiguousarray(in_order(own, table)[::-1]).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes())
+            yield pa.record_batch([pa.array(cls, pa.int64()), batch.column("doc_id"), pa.array(out, pa.binary())], names=["cls", "doc_id", "grams"])
 
     return run
 
@@ -225,18 +309,44 @@ class _Join:
         """SQL of the least overlap of sets of n and m members."""
         return f"(({self.percent} * ({n} + {m}) + {99 + self.percent}) div {100 + self.percent})"
 
+    def with_sets(self, members: DataFrame) -> DataFrame:
+        """``members``, which have cls, with grams: the class's n-grams, most common first."""
+        one = self.keep(self.classes.join(members.select("cls").distinct(), "cls").select("cls", "doc_id"), "one")
+        sets = self.docs.where("doc_id IS NOT NULL").mapInArrow(_ordered_sets(self.size, self.counts, bitmap(one)), "cls long, doc_id long, grams binary")
+        return members.join(one, "cls").join(sets.hint("merge"), ["cls", "doc_id"]).drop("doc_id")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the (a, b) that are similar; b's of an anchor are dealt over groups."""
-        p = self.percent
         groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / ANCHOR_GROUP).cast("int").alias("groups"))
         pairs = pairs.join(groups, "a").withColumn("part", F.pmod(F.xxhash64("b"), "groups").cast("int"))
         anchors = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.col("a").alias("cls"))
         members = pairs.select("a", "part", F.col("b").alias("cls")).union(anchors)
-        involved = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        one = self.classes.join(involved, "cls").select("doc_id", "cls")
-        texts = self.docs.where("doc_id IS NOT NULL").join(one, "doc_id").select("cls", "text").dropDuplicates(["cls"])
-        sets = texts.mapInArrow(_ordered_sets(self.size, self.counts), "cls long, grams binary")
-        return members.join(sets, "cls").groupBy("a", "part").applyInArrow(_verify(p), "a long, b long")
+        return self.with_sets(members).groupBy("a", "part").applyInArrow(_verify(self.percent), "a long, b long")
+
+    def block_links(self, rows: DataFrame) -> DataFrame:
+        """Links between components among the classes that n-grams of large groups connect.
+
+        ``rows`` has token, cls, n and comp. Connected classes form a block, dealt over chunks of
+        about CHUNK n-grams; a component beyond that has chunks of its own. Each two chunks of a
+        block meet in one task, but for two of one component.
+        """
+        least = rows.groupBy("token").agg(F.min("cls").alias("least"))
+        blocks = connected_components(rows.join(least, "token").select(F.col("cls").alias("a"), F.col("least").alias("b")))
+        members = rows.select("cls", "n", "comp").distinct().join(blocks.select(F.col("node").alias("cls"), F.col("component").alias("block")), "cls")
+        members = self.keep(members, "members")
+        total = members.groupBy("block", "comp").agg(F.sum("n").alias("total"))
+        members = members.join(total, ["block", "comp"]).withColumn("owner", F.when(F.col("total") > CHUNK, F.col("comp")))
+        members = self.keep(members.drop("total"), "members")
+        chunks = members.groupBy("block", "owner").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
+        placed = members.join(chunks.select(F.col("block").alias("_b"), F.col("owner").alias("_o"), "chunks"), F.expr("block = _b AND owner <=> _o"))
+        placed = placed.select("cls", "comp", "block", F.struct(F.col("owner"), F.pmod(F.xxhash64("cls"), "chunks").cast("int").alias("k")).alias("chunk"))
+        placed = self.keep(placed, "placed")
+        all_chunks = placed.select("block", "chunk").distinct()
+        i, j = all_chunks.withColumnRenamed("chunk", "i"), all_chunks.withColumnRenamed("chunk", "j")
+        meet = i.join(j, "block").where("i <= j AND NOT coalesce(i.owner = j.owner, false)")
+        meet = meet.select("block", "i", "j", F.explode(F.expr("CASE WHEN i = j THEN array(struct(i AS chunk, 2 AS side)) ELSE array(struct(i AS chunk, 0 AS side), struct(j AS chunk, 1 AS side)) END")).alias("x"))
+        seats = meet.select("block", "i", "j", "x.chunk", "x.side").join(placed, ["block", "chunk"]).select("block", "i", "j", "side", "cls", "comp")
+        return self.with_sets(seats).groupBy("block", "i", "j").applyInArrow(_verify_block(self.percent), "a long, b long")
 
     def components(self) -> DataFrame:
         size, percent = self.size, self.percent
@@ -260,25 +370,36 @@ class _Join:
         )
         shared = self.keep(shared, "shared")
 
-        star = shared.select("token", "salts", "cls", "n", "pos", F.explode(F.array_distinct(F.array(*[F.struct(f"p{k}.cls", f"p{k}.n", f"p{k}.pos") for k in range(PIVOTS)]))).alias("p"))
+        pivot = F.array_distinct(F.array(*[F.struct(f"p{k}.cls", f"p{k}.n", f"p{k}.pos") for k in range(PIVOTS)]))
+        star = shared.select("cls", "n", "pos", F.array_contains(F.transform(pivot, lambda p: p["cls"]), F.col("cls")).alias("own"), F.explode(pivot).alias("p"))
+        star = star.where("cls <> p.cls AND (NOT own OR cls > p.cls)").drop("own")  # a pair of pivots counts once a token
         far = Window.partitionBy("token").orderBy("cls")
-        tops = shared.where("salts > 1 AND cls = p0.cls").select("token", "salts", "cls", "n", "pos", F.first(F.struct("cls", "n", "pos")).over(far).alias("p"))
-        near = star.union(tops).where("cls <> p.cls").where(f"least(n, p.n) * 100 >= greatest(n, p.n) * {percent}")
-        near = near.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b"), "n", F.col("p.n").alias("m"), F.greatest("n", "p.n").alias("x"), (F.least(F.col("n") - F.col("pos"), F.col("p.n") - F.col("p.pos")) - 1).alias("left"), F.col("n") + F.col("p.n").alias("both"), "token")
-        near = near.groupBy("a", "b").agg(F.count_distinct("token").alias("c"), F.min("left").alias("left"), F.first("n").alias("n"), F.first("m").alias("m"))
-        first = self.keep(self.links(near.where(f"c + left >= {self.need('n', 'm')}").select("a", "b")), "links")
+        tops = shared.where("salts > 1 AND cls = p0.cls").select("cls", "n", "pos", F.first(F.struct("cls", "n", "pos")).over(far).alias("p")).where("cls <> p.cls")
+        near = star.union(tops).where(f"least(n, p.n) * 100 >= greatest(n, p.n) * {percent}")
+        near = near.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b"), (F.col("n") + F.col("p.n")).alias("both"), (F.least(F.col("n") - F.col("pos"), F.col("p.n") - F.col("p.pos")) - 1).alias("left"))
+        near = near.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("left").alias("left"), F.max("left").alias("most"), F.first("both").alias("both"))
+        first = self.keep(self.links(near.where(f"c + left >= {self.need('both', '0')} AND most + 1 >= {self.need('both', '0')}").select("a", "b")), "links")
         comp = self.keep(connected_components(first), "comp")
 
         placed = shared.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp"))
-        mixed = placed.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
-        placed = self.keep(placed.join(mixed, "token"), "mixed")
-        b = placed.where(f"n - pos >= {self.need('n', 'n')}").select("token", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "pos", "comp")])
-        cross = placed.join(b, "token").where(
-            f"comp <> comp_b AND (n_b < n OR (n_b = n AND cls <> cls_b)) AND n_b * 100 >= n * {percent}"
-            f" AND least(n - pos, n_b - pos_b) >= {self.need('n', 'n_b')}"
-        )
-        cross = cross.select(F.least("cls", "cls_b").alias("a"), F.greatest("cls", "cls_b").alias("b")).distinct()
-        second = self.keep(self.links(cross), "links")
+        index = f"n - pos >= {self.need('n', 'n')}"  # the shorter set of a pair has the n-gram so early
+        mixed = placed.groupBy("token").agg(F.count("*").alias("rows"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.expr(f"min(CASE WHEN {index} THEN n END)").alias("n0"), F.expr(f"max(CASE WHEN {index} THEN n END)").alias("n1"))
+        placed = self.keep(placed.join(mixed.where("c0 <> c1").drop("c0", "c1"), "token"), "mixed")
+        many, few = placed.where(F.col("rows") > PAIRED), placed.where(F.col("rows") <= PAIRED)
+
+        # Of a pair the n-grams are counted that both have in small groups, and the least that can
+        # follow the last of them; of those in large groups all of one set could be in the other.
+        uncounted = many.groupBy("cls").agg(F.count("*").cast("int").alias("uncounted"))
+        few = few.select("token", "cls", "n", "pos", "comp").join(uncounted, "cls", "left").fillna(0, ["uncounted"])
+        other = few.select("token", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "pos", "comp", "uncounted")])
+        cross = few.join(other, "token").where(f"cls < cls_b AND comp <> comp_b AND least(n, n_b) * 100 >= greatest(n, n_b) * {percent}")
+        cross = cross.select(F.col("cls").alias("a"), F.col("cls_b").alias("b"), (F.col("n") + F.col("n_b")).alias("both"), F.least("uncounted", "uncounted_b").alias("more"), (F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b")) - 1).alias("left"))
+        cross = cross.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("left").alias("left"), F.max("left").alias("most"), F.first("both").alias("both"), F.first("more").alias("more"))
+        cross = cross.where(f"c + more + left >= {self.need('both', '0')} AND most + more + 1 >= {self.need('both', '0')}").select("a", "b")
+
+        shorter = f"greatest(n0, ({percent} * n + 99) div 100)"
+        many = many.where("n0 IS NOT NULL").where(f"({index}) OR (n0 <= n AND n1 * 100 >= n * {percent} AND n - pos >= {self.need('n', shorter)})").select("token", "cls", "n", "comp")
+        second = self.keep(self.links(cross), "links").union(self.keep(self.block_links(many), "links"))
         return self.keep(connected_components(first.union(second)), "comp")
 
 
@@ -300,6 +421,21 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their group; a repeated row stays once."""
-    keep = ngram_join(docs, size, percent).where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
+    """The rows of ``docs`` whose doc_id names their group, once each; rows without doc_id stay.
+
+    Ids that may have to go are marked in a bitmap of fixed size. Other rows stay as they are
+    read; only marked ones are shuffled, to be looked up exactly.
+    """
+    found = ngram_join(docs, size, percent).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("rows"), F.min("component_id").alias("first"))
+    suspect, _ = written(found.where("rows > 1 OR first <> _id").select(F.col("_id").alias("doc_id"), (F.col("first") != F.col("_id")).alias("_gone")), "suspects")
+    bits = bitmap(suspect)
+
+    def test(ids: pd.Series) -> pd.Series:
+        at = _bit(ids.fillna(0).to_numpy(np.int64))
+        return pd.Series((np.frombuffer(bits.value, np.uint8)[at >> 3] >> (7 - (at & 7))) & 1 == 1)
+
+    rows, back = shielded(docs, "doc_id", "text")
+    marked = rows.withColumn("_marked", F.pandas_udf(test, "boolean")(F.col("doc_id").cast("long")))
+    sure = marked.where("doc_id IS NULL OR NOT _marked").drop("_marked")
+    looked_up = marked.where("doc_id IS NOT NULL AND _marked").drop("_marked").join(suspect, "doc_id", "left").where("_gone IS NULL OR NOT _gone").drop("_gone")
+    return back(sure.unionByName(looked_up.dropDuplicates(["doc_id"])))

@@ -35,11 +35,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from evidloom.llm.scratch import new_path
-from evidloom.llm.textvec import mix, slabs, span_hashes
+from evidloom.llm.textvec import LOWER, mix, slabs, span_hashes
 
 _U = np.uint64
 ROLL, LEAST, MOST, MEAN = 16, 128, 2048, 512
-CACHED = 600_000  # words of which a task holds the ids
+CACHED = 2_000_000  # words of which a task holds the ids
 DIGEST = 16
 
 _SPACE = np.zeros(256, bool)
@@ -62,8 +62,9 @@ class Encoder:
         self.full = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.full.get_added_tokens_decoder().values()]
         self.size = self.full.get_vocab_size(with_added_tokens=True)
+        self.folds = '"Lowercase"' in self.full.to_str()  # then words differing in case only have equal ids
         self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Lowercase()
+        self.plain.normalizer = normalizers.Sequence([normalizers.Lowercase()] if self.folds else [])
         ends = np.zeros(max(self.full.get_vocab(with_added_tokens=True).values()) + 1, bool)
         for piece, i in self.full.get_vocab(with_added_tokens=True).items():
             ends[i] = piece.endswith("</w>")
@@ -71,25 +72,28 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.at, self.n = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.at, self.n = np.zeros(0, _U), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.int32)
 
     def _learn(self, keys: np.ndarray, units: list[bytes]) -> None:
-        ids: list = [None] * len(units)
-        letters = [k for k, u in enumerate(units) if u.isalpha() and u.isascii()]
-        if letters:
-            flat = np.array(self.plain.encode_batch_fast([" ".join(units[k].decode() for k in letters)], add_special_tokens=False)[0].ids, np.int32)
+        """Adds the ids of units; those of letters only are encoded in one text and told apart by their ends."""
+        n, at = np.zeros(len(units), np.int32), np.zeros(len(units), np.int32)
+        rest = np.ones(len(units), bool)
+        letters = np.array([k for k, u in enumerate(units) if u.isalpha() and u.isascii()], np.int64)
+        if len(letters):
+            flat = np.array(self.plain.encode_batch_fast([b" ".join([units[k] for k in letters]).decode()], add_special_tokens=False)[0].ids, np.int32)
             cut = np.flatnonzero(self.ends[flat]) + 1
             if len(cut) == len(letters):
-                for k, a, b in zip(letters, np.concatenate(([0], cut[:-1])), cut, strict=True):
-                    ids[k] = flat[a:b]
-        rest = [k for k, x in enumerate(ids) if x is None]
-        if rest:
-            for k, e in zip(rest, self.full.encode_batch_fast([units[k].decode() for k in rest], add_special_tokens=False), strict=True):
-                ids[k] = np.array(e.ids, np.int32)
-        n = np.array([len(x) for x in ids], np.int64)
-        at = len(self.pool) + np.cumsum(n) - n
-        self.pool = np.concatenate([self.pool, *ids])
+                begin = np.concatenate(([0], cut[:-1]))
+                n[letters], at[letters] = cut - begin, len(self.pool) + begin
+                self.pool = np.concatenate([self.pool, flat])
+                rest[letters] = False
+        left = np.flatnonzero(rest)
+        if len(left):
+            ids = [e.ids for e in self.full.encode_batch_fast([units[k].decode() for k in left], add_special_tokens=False)]
+            n[left] = [len(x) for x in ids]
+            at[left] = len(self.pool) + np.cumsum(n[left]) - n[left]
+            self.pool = np.concatenate([self.pool, np.array([i for x in ids for i in x], np.int32)])
         into = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.n = np.insert(self.keys, into, keys), np.insert(self.at, into, at), np.insert(self.n, into, n)
 
@@ -111,7 +115,7 @@ class Encoder:
                 yield from (np.zeros(0, np.int32) for _ in range(len(slab)))
                 continue
             starts, ends = self._cut(slab.data, slab.offsets)
-            keys, first, which = np.unique(span_hashes(slab.data, starts, ends), return_index=True, return_inverse=True)
+            keys, first, which = np.unique(span_hashes(LOWER[slab.data] if self.folds else slab.data, starts, ends), return_index=True, return_inverse=True)
             if len(self.keys) + len(keys) > CACHED:
                 self._clear()
             raw = slab.data.tobytes()
@@ -253,13 +257,13 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
     rows = texts.mapInArrow(_encoded(tokenizer, end_id), _DATA).withColumn("key", F.coalesce("digest", F.col("row").cast("string").cast("binary")))
     first = F.row_number().over(Window.partitionBy("key").orderBy("n"))
     rows.repartition("key").withColumn("first", first).where("first = 1").drop("key", "first").write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/data")
-    recipes = spark.read.schema(_DATA.replace("kind string, ", "")).parquet(f"{path}/data/kind=recipe").select("row", "doc_id", "n_tokens", "digests", "lengths", "root")
+    recipes = spark.read.schema(_DATA).parquet(f"{path}/data").where("kind = 'recipe'").select("row", "doc_id", "n_tokens", "digests", "lengths", "root")
     recipes.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").mapInArrow(_indexed, _INDEX).write.option("compression", "zstd").parquet(f"{path}/index")
 
 
 def _read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Chunks, documents with their start, and manifest of a store."""
-    chunks = spark.read.schema("digest binary, n int, ids binary").parquet(f"{path}/data/kind=chunk")
+    chunks = spark.read.schema(_DATA).parquet(f"{path}/data").where("kind = 'chunk'").select("digest", "n", "ids")
     index = spark.read.schema(_INDEX).parquet(f"{path}/index")
     manifest = index.where("row IS NULL").select("part", "docs", F.col("n_tokens").alias("tokens"), "root")
     manifest = manifest.withColumn("base", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -267,17 +271,14 @@ def _read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFra
     return chunks, docs.select("row", "doc_id", "start", "n_tokens", "digests", "lengths", "root"), manifest
 
 
-def _checked_chunks(width_of_ids: int):
-    def run(batches):
-        for batch in batches:
-            crc = []
-            for digest, n, raw in zip(*(batch.column(c).to_pylist() for c in ("digest", "n", "ids")), strict=True):
-                if hashlib.blake2b(raw, digest_size=DIGEST).digest() != digest:
-                    raise ValueError(f"chunk {digest.hex()} does not have the content that its name says")
-                crc.append(zlib.crc32(np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4").tobytes()))
-            yield pa.record_batch([batch.column("digest"), pa.array(crc, pa.int64())], names=["digest", "crc"])
-
-    return run
+def _checked_chunks(batches):
+    for batch in batches:
+        crc = []
+        for digest, n, raw in zip(*(batch.column(c).to_pylist() for c in ("digest", "n", "ids")), strict=True):
+            if hashlib.blake2b(raw, digest_size=DIGEST).digest() != digest:
+                raise ValueError(f"chunk {digest.hex()} does not have the content that its name says")
+            crc.append(zlib.crc32(np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4").tobytes()))
+        yield pa.record_batch([batch.column("digest"), pa.array(crc, pa.int64())], names=["digest", "crc"])
 
 
 def _steps(batches):
@@ -332,7 +333,7 @@ def _contributions(batches):
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document of a store; raises where a check fails."""
     chunks, docs, _ = _read(spark, path)
-    sums = chunks.mapInArrow(_checked_chunks(4), "digest binary, crc long")
+    sums = chunks.mapInArrow(_checked_chunks, "digest binary, crc long")
     steps = docs.select("row", "digests", "lengths", "root").mapInArrow(_steps, "row long, seq int, digest binary, after long")
     parts = steps.join(sums, "digest", "left").select("row", F.coalesce("crc", F.raise_error(F.lit("a chunk is missing")).cast("long")).alias("crc"), "after")
     crc = parts.mapInArrow(_contributions, "row long, part long").groupBy("row").agg(F.bit_xor("part").alias("ids_crc32"))
