@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from evidloom.llm.scratch import remove, written
 
 
+def _counted(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
+    """Writes edges; their number and a checksum, observed as they are written, tell whether they changed."""
+    seen = Observation()
+    edges, path = written(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
+    return edges, path, (seen.get["n"], seen.get["sum"])
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component) for each node of an edge; component is the least node that links reach.
 
@@ -17,10 +24,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     """
     spark = edges.sparkSession
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct()
-    e, path = written(e, "edges")
+    e, path, now = _counted(e)
     before = None
     for _ in range(rounds):
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == now or not now[0]:
             break
         before = now
@@ -32,7 +38,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         # Small star: lesser neighbours of u, and u, move to the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
-        e, p2 = written(moved.where("u <> v").distinct(), "edges")
+        e, p2, now = _counted(moved.where("u <> v").distinct())
         remove(spark, p1, path)
         path = p2
     else:

@@ -19,7 +19,7 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path), path
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
