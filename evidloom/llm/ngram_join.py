@@ -24,7 +24,8 @@ digests: two different sets fall together with probability 2**-64 a pair.
 
 Null and empty texts have no set and link with nothing. Repeated rows (equal doc_id) are rows of
 their own with equal results. Rows with null doc_id take part, but never name a component unless
-no other member has an id.
+no other member has an id. A class is sent from the row of its least doc_id, or, where no row of
+it has one, from any of its rows, found by the class itself.
 """
 
 from __future__ import annotations
@@ -283,7 +284,7 @@ def _ordered_sets(size: int, counts, marks):
     def run(batches):
         table, bits = np.frombuffer(counts.value, np.uint32), np.frombuffer(marks.value, np.uint8)
         for batch in batches:
-            at = _bit(np.asarray(batch.column("doc_id")))
+            at = _bit(np.asarray(batch.column("doc_id")))  # of documents that have one
             batch = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7))) & 1 == 1))
             cls, out = [], []
             for own in sets_of(batch.column("text"), size):
@@ -294,6 +295,30 @@ def _ordered_sets(size: int, counts, marks):
     return run
 
 
+def _ordered_sets_of_nameless(size: int, counts, marks):
+    """The same of rows without doc_id, marked by class; of each class one row a task, as far as 200,000 are remembered."""
+
+    def run(batches):
+        table, bits = np.frombuffer(counts.value, np.uint32), np.frombuffer(marks.value, np.uint8)
+        seen: set[int] = set()
+        for batch in batches:
+            cls, out = [], []
+            for own in sets_of(batch.column("text"), size):
+                c = class_of(own)
+                if c is None or c in seen:
+                    continue
+                at = int(_bit(np.array([c], np.int64))[0])
+                if not bits[at >> 3] >> (7 - (at & 7)) & 1:
+                    continue
+                if len(seen) < 200_000:
+                    seen.add(c)
+                cls.append(c)
+                out.append(np.ascontiguousarray(in_order(own, table)[::-1]).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes())
+            yield pa.record_batch([pa.array(cls, pa.int64()), pa.array(out, pa.binary())], names=["cls", "grams"])
+
+    return run
+
+
 class _Join:
     def __init__(self, docs: DataFrame, size: int, percent: int):
         self.spark, self.size, self.percent = docs.sparkSession, size, percent
@@ -312,7 +337,14 @@ class _Join:
     def with_sets(self, members: DataFrame) -> DataFrame:
         """``members``, which have cls, with grams: the class's n-grams, most common first."""
         one = self.keep(self.classes.join(members.select("cls").distinct(), "cls").select("cls", "doc_id"), "one")
-        sets = self.docs.where("doc_id IS NOT NULL").mapInArrow(_ordered_sets(self.size, self.counts, bitmap(one)), "cls long, doc_id long, grams binary")
+        sets = self.docs.where("doc_id IS NOT NULL").mapInArrow(_ordered_sets(self.size, self.counts, bitmap(one.where("doc_id IS NOT NULL"))), "cls long, doc_id long, grams binary")
+        if self.nameless:
+            bare = one.where("doc_id IS NULL").select("cls")
+            bits = bitmap(bare.select(F.col("cls").alias("doc_id")))
+            own = self.docs.where("doc_id IS NULL").mapInArrow(_ordered_sets_of_nameless(self.size, self.counts, bits), "cls long, grams binary")
+            own = own.join(bare, "cls", "left_semi").groupBy("cls").agg(F.first("grams").alias("grams"))
+            sets = sets.union(own.select("cls", F.lit(0).cast("long").alias("doc_id"), "grams"))
+            one = one.fillna(0, ["doc_id"])  # the class is in the key too, so an id of 0 is not mistaken
         return members.join(one, "cls").join(sets.hint("merge"), ["cls", "doc_id"]).drop("doc_id")
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -357,7 +389,8 @@ class _Join:
         for piece, blob in pieces.collect():  # at most COUNTERS counters, whatever the input
             counts[piece * _PIECE : (piece + 1) * _PIECE] = np.frombuffer(blob, np.uint32)
         self.counts = self.spark.sparkContext.broadcast(counts.tobytes())
-        self.classes = self.per_doc.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+        self.classes = self.per_doc.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+        self.nameless = self.per_doc.where("cls IS NOT NULL AND doc_id IS NULL").count() > 0
 
         rows = self.docs.mapInArrow(_prefixes(size, percent, self.counts), "token long, salt int, salts int, cls long, n int, pos int")
         group = Window.partitionBy("token", "salt")

@@ -231,6 +231,28 @@ def test_ngram_join(spark, odd, none):
     assert left.columns == odd.columns and sorted(x.doc_id for x in left.where("doc_id IS NOT NULL").collect()) == [1, 2, 3, 4, 5, 6]
 
 
+@pytest.mark.parametrize("lesser", (True, False))
+def test_ngram_join_of_near_copies_without_id(spark, lesser):
+    """Rows without doc_id link near copies, whichever side of a pair has the lesser class digest."""
+    import pyarrow as pa
+
+    base = [f"w{k}" for k in range(60)]
+    cls = lambda t: ngram_join.class_of(next(iter(ngram_join.sets_of(pa.array([t]), 5))))
+    left, right = " ".join([*base[:10], "a", *base[11:]]), " ".join([*base[:40], "z", *base[41:]])
+    ends = (" ".join(base) + f" e{k}" for k in range(1000))
+    between = next(t for t in ends if (cls(t) < min(cls(left), cls(right)) if lesser else cls(t) > max(cls(left), cls(right))))
+    docs = [(7, left), (9, right), (-1, between), (-2, between), (20, "quite other words stand in this text"), (-3, "and these are found nowhere else at all")]
+    docs += [(-4, "p q r s t u v w x y z 1 2 3 4 5 6 7 8 9"), (-5, "p q r s t u v w x y z 1 2 3 4 5 6 7 8 0")]
+    want = brute_components(docs)
+    assert want[7][1] == want[9][1] == want[-1][1] and want[-4][1] == want[-5][1]
+    without = brute_components([d for d in docs if d[0] > 0])
+    assert without[9][1] == 9  # only the row without id connects them
+    least = {c: min((i for i in want if want[i][1] == c and i > 0), default=None) for _, c in want.values()}
+    expected = sorted((str(i if i > 0 else None), n, str(least[c])) for i, (n, c) in want.items())
+    df = spark.createDataFrame([(i if i > 0 else None, t) for i, t in docs], "doc_id long, text string")
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in ngram_join.ngram_join(df).collect()) == expected
+
+
 def test_trie_by_brute_force():
     r = np.random.default_rng(5)
     for _ in range(30):
