@@ -10,14 +10,19 @@ is a folder of Parquet tables:
                       lengths, root (of the Merkle tree over its digests)
 ``index``             the recipes in ascending doc_id order, a file a range, each with its start
                       within the range; then one manifest row a range: its documents and ids,
-                      and the root of the Merkle tree over its documents' roots
+                      and the root of the Merkle tree over its documents' leaves (doc_id, ids
+                      and root of each)
+``manifest``          one row: the number of ranges, documents and ids, and the root of the Merkle
+                      tree over the ranges
 
 Tokens are looked up by word in a bounded cache, so the tokenizer sees each distinct word of a
 task about once; texts are cut only where the tokenizer's own pattern always cuts.
 
-Only chunks that a task has not sent yet are shuffled, by digest, and once. Reading back checks
-every chunk against its name and every recipe against its root, and combines the checksums of
-chunks into those of documents, so no ids are moved again.
+Only chunks that a task has not sent yet are shuffled, by digest, and once. Reading back first
+recomputes count and root of each range over its ordered recipes and compares them with the
+manifests (a row a range comes to the driver); then it checks every chunk against its name and
+every recipe against its root and chunks, and combines the checksums of chunks into those of
+documents, so no ids are moved again.
 
 A null text is encoded as the empty one. Every document has at least the end id. Repeated rows
 are separate documents of the store, which share all chunks. A null doc_id sorts first.
@@ -185,6 +190,11 @@ class GrowingMerkle:
         return rest[0] if rest else b""
 
 
+def _leaf(*parts) -> bytes:
+    """What stands for a document, or a range, in the tree above it."""
+    return hashlib.blake2b(b"|".join(x if isinstance(x, bytes) else str(x).encode() for x in parts), digest_size=DIGEST).digest()
+
+
 _encoders: dict[str, Encoder] = {}
 _DATA = "kind string, row long, digest binary, n int, ids binary, doc_id long, n_tokens long, digests binary, lengths array<int>, root binary"
 
@@ -240,8 +250,8 @@ def _indexed(batches):
     for batch in batches:
         n = np.asarray(batch.column("n_tokens"))
         k = len(n)
-        for r in batch.column("root").to_pylist():
-            tree.add(r)
+        for leaf in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "root")), strict=True):
+            tree.add(_leaf(*leaf))
         local = start + np.cumsum(n) - n
         yield pa.record_batch([pa.array(np.full(k, part, np.int32)), batch.column("row"), batch.column("doc_id"), pa.array(local), batch.column("n_tokens"), batch.column("digests"), batch.column("lengths").cast(pa.list_(pa.int32())), batch.column("root"), pa.nulls(k, pa.int64())], names=names)
         start += int(n.sum())
@@ -259,44 +269,113 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
     rows.repartition("key").withColumn("first", first).where("first = 1").drop("key", "first").write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/data")
     recipes = spark.read.schema(_DATA).parquet(f"{path}/data").where("kind = 'recipe'").select("row", "doc_id", "n_tokens", "digests", "lengths", "root")
     recipes.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").mapInArrow(_indexed, _INDEX).write.option("compression", "zstd").parquet(f"{path}/index")
+    ranges = _manifest(spark.read.schema(_INDEX).parquet(f"{path}/index")).collect()  # a row a range
+    spark.createDataFrame([_top(ranges)], _TOP).coalesce(1).write.parquet(f"{path}/manifest")
+
+
+_TOP = "ranges long, docs long, tokens long, root binary"
+
+
+def _manifest(index: DataFrame) -> DataFrame:
+    return index.where("row IS NULL").select("part", "docs", F.col("n_tokens").alias("tokens"), "root")
+
+
+def _top(ranges: list) -> tuple[int, int, int, bytes]:
+    """The top manifest over (part, docs, tokens, root) of the ranges."""
+    ranges = sorted((r.part, r.docs, r.tokens, bytes(r.root)) for r in ranges)
+    return len(ranges), sum(r[1] for r in ranges), sum(r[2] for r in ranges), merkle([_leaf(*r) for r in ranges])
+
+
+def _ranges(batches):
+    """Manifest rows as the recipes have them, which come in order; a range is in one partition."""
+    part, docs, tokens, tree = None, 0, 0, GrowingMerkle()
+    row = lambda: pa.record_batch([pa.array([part], pa.int32()), pa.array([docs], pa.int64()), pa.array([tokens], pa.int64()), pa.array([tree.root()], pa.binary())], names=["part", "docs", "tokens", "root"])
+    for batch in batches:
+        for p, start, *leaf in zip(*(batch.column(c).to_pylist() for c in ("part", "local_start", "doc_id", "n_tokens", "root")), strict=True):
+            if p != part:
+                if docs:
+                    yield row()
+                part, docs, tokens, tree = p, 0, 0, GrowingMerkle()
+            if start != tokens:
+                raise ValueError(f"a recipe of range {p} does not start where the manifest's order says")
+            tree.add(_leaf(*leaf))
+            docs += 1
+            tokens += leaf[1]
+    if docs:
+        yield row()
+
+
+def _check_manifests(spark: SparkSession, path: str, index: DataFrame) -> None:
+    """Raises unless the recipes are those of the ranges' manifest rows, and these are those of the top one."""
+    said = _manifest(index).collect()
+    top = [(r.ranges, r.docs, r.tokens, bytes(r.root)) for r in spark.read.schema(_TOP).parquet(f"{path}/manifest").collect()]
+    if top != [_top(said)]:
+        raise ValueError("the ranges of the store do not match its top manifest")
+    recipes = index.where("row IS NOT NULL").select("part", "local_start", "doc_id", "row", "n_tokens", "root")
+    recipes = recipes.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part", "doc_id", "row")
+    found = recipes.mapInArrow(_ranges, "part int, docs long, tokens long, root binary").collect()  # a row a range
+    wrong = set(map(tuple, found)) ^ set(map(tuple, said))
+    if wrong:
+        raise ValueError(f"recipes of ranges {sorted({w[0] for w in wrong})} do not match their manifest")
 
 
 def _read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Chunks, documents with their start, and manifest of a store."""
+    """Chunks, documents with their start, and manifest of a store; raises where manifests and recipes differ."""
     chunks = spark.read.schema(_DATA).parquet(f"{path}/data").where("kind = 'chunk'").select("digest", "n", "ids")
     index = spark.read.schema(_INDEX).parquet(f"{path}/index")
-    manifest = index.where("row IS NULL").select("part", "docs", F.col("n_tokens").alias("tokens"), "root")
+    _check_manifests(spark, path, index)
+    manifest = _manifest(index)
     manifest = manifest.withColumn("base", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     docs = index.where("row IS NOT NULL").drop("docs").join(manifest.select("part", "base"), "part").withColumn("start", F.col("base") + F.col("local_start"))
     return chunks, docs.select("row", "doc_id", "start", "n_tokens", "digests", "lengths", "root"), manifest
 
 
+def _checked(batch) -> list[tuple[bytes, int, bytes]]:
+    out = list(zip(*(batch.column(c).to_pylist() for c in ("digest", "n", "ids")), strict=True))
+    for digest, _, raw in out:
+        if hashlib.blake2b(raw, digest_size=DIGEST).digest() != digest:
+            raise ValueError(f"chunk {digest.hex()} does not have the content that its name says")
+    return out
+
+
 def _checked_chunks(batches):
     for batch in batches:
-        crc = []
-        for digest, n, raw in zip(*(batch.column(c).to_pylist() for c in ("digest", "n", "ids")), strict=True):
-            if hashlib.blake2b(raw, digest_size=DIGEST).digest() != digest:
-                raise ValueError(f"chunk {digest.hex()} does not have the content that its name says")
-            crc.append(zlib.crc32(np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4").tobytes()))
-        yield pa.record_batch([batch.column("digest"), pa.array(crc, pa.int64())], names=["digest", "crc"])
+        crc = [zlib.crc32(np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4").tobytes()) for _, n, raw in _checked(batch)]
+        yield pa.record_batch([batch.column("digest"), batch.column("n"), pa.array(crc, pa.int64())], names=["digest", "n", "crc"])
+
+
+def _checked_ids(batches):
+    for batch in batches:
+        _checked(batch)
+        yield batch
 
 
 def _steps(batches):
     """A row for each chunk of each recipe, with the bytes of 32-bit ids that follow it."""
     for batch in batches:
-        rows, starts, digests, after, seq = [], [], [], [], []
-        for row, own, lengths, root in zip(*(batch.column(c).to_pylist() for c in ("row", "digests", "lengths", "root")), strict=True):
+        rows, size, digests, after, seq = [], [], [], [], []
+        for row, total, own, lengths, root in zip(*(batch.column(c).to_pylist() for c in ("row", "n_tokens", "digests", "lengths", "root")), strict=True):
             parts = [own[i : i + DIGEST] for i in range(0, len(own), DIGEST)]
             if merkle(parts) != root:
                 raise ValueError(f"recipe {row} does not have the root that it says")
             left = sum(lengths)
+            if left != total or len(lengths) != len(parts):
+                raise ValueError(f"recipe {row} does not have the lengths that it says")
             for k, (d, n) in enumerate(zip(parts, lengths, strict=True)):
                 left -= n
                 rows.append(row)
                 seq.append(k)
                 digests.append(d)
+                size.append(n)
                 after.append(4 * left)
-        yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(seq, pa.int32()), pa.array(digests, pa.binary()), pa.array(after, pa.int64())], names=["row", "seq", "digest", "after"])
+        yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(seq, pa.int32()), pa.array(digests, pa.binary()), pa.array(size, pa.int32()), pa.array(after, pa.int64())], names=["row", "seq", "digest", "size", "after"])
+
+
+def _with_chunks(docs: DataFrame, chunks: DataFrame, value: str) -> DataFrame:
+    """The steps of all recipes with n and ``value`` of their chunks; raises where a chunk is missing or of another length."""
+    steps = docs.select("row", "n_tokens", "digests", "lengths", "root").mapInArrow(_steps, "row long, seq int, digest binary, size int, after long")
+    n = F.when(F.col("n") == F.col("size"), F.col("n")).otherwise(F.raise_error(F.when(F.col("n").isNull(), "a chunk is missing").otherwise("a chunk has another length than its recipe says")).cast("int"))
+    return steps.join(chunks, "digest", "left").select("row", "seq", "after", n.alias("n"), value)
 
 
 _POLY = 0xEDB88320
@@ -333,9 +412,8 @@ def _contributions(batches):
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document of a store; raises where a check fails."""
     chunks, docs, _ = _read(spark, path)
-    sums = chunks.mapInArrow(_checked_chunks, "digest binary, crc long")
-    steps = docs.select("row", "digests", "lengths", "root").mapInArrow(_steps, "row long, seq int, digest binary, after long")
-    parts = steps.join(sums, "digest", "left").select("row", F.coalesce("crc", F.raise_error(F.lit("a chunk is missing")).cast("long")).alias("crc"), "after")
+    sums = chunks.mapInArrow(_checked_chunks, "digest binary, n int, crc long")
+    parts = _with_chunks(docs, sums, "crc").select("row", "n", "crc", "after")
     crc = parts.mapInArrow(_contributions, "row long, part long").groupBy("row").agg(F.bit_xor("part").alias("ids_crc32"))
     return docs.join(crc, "row").select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -346,10 +424,9 @@ def _joined(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, ids array<long>): documents rebuilt from their chunks."""
+    """(doc_id, start, ids array<long>): documents rebuilt from their chunks; raises where a check fails."""
     chunks, docs, _ = _read(spark, path)
-    steps = docs.select("row", "digests", "lengths", "root").mapInArrow(_steps, "row long, seq int, digest binary, after long")
-    ids = steps.join(chunks, "digest").select("row", "seq", "n", "ids").groupBy("row").applyInArrow(_joined, "row long, ids array<long>")
+    ids = _with_chunks(docs, chunks.mapInArrow(_checked_ids, "digest binary, n int, ids binary"), "ids").select("row", "seq", "n", "ids").groupBy("row").applyInArrow(_joined, "row long, ids array<long>")
     return docs.join(ids, "row").select("doc_id", "start", "ids")
 
 

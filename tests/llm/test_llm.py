@@ -136,6 +136,32 @@ def test_store_finds_damage(spark, tmp_path):
         token_store.read_checksums(spark, f"file://{tmp_path}/a").collect()
 
 
+def test_store_finds_losses(spark, tmp_path):
+    """Lost or exchanged recipes, a lost range with its manifest row, and lost chunks, on both ways of reading."""
+    import shutil
+
+    docs = spark.createDataFrame([(k, f"words of text {k} " * (k + 1)) for k in range(12)], "doc_id long, text string")
+    token_store.write_store(docs, f"file://{tmp_path}/whole", queries.tokenizer_path(), 2)
+    assert token_store.read_checksums(spark, f"file://{tmp_path}/whole").count() == 12
+    index = spark.read.schema(token_store._INDEX).parquet(f"{tmp_path}/whole/index")
+    other = F.when(F.col("doc_id") == 3, 4).when(F.col("doc_id") == 4, 3).otherwise(F.col("doc_id")).cast("long")
+    part = index.where("row IS NULL").agg(F.max("part")).first()[0]
+    damages = {
+        "lost": ("index", index.where("doc_id IS NULL OR doc_id <> 5"), "match|start"),
+        "exchanged": ("index", index.withColumn("doc_id", other), "match|start"),
+        "range": ("index", index.where(F.col("part") != part), "top manifest"),
+        "chunks": ("data/kind=chunk", spark.read.parquet(f"{tmp_path}/whole/data/kind=chunk").limit(3), "missing"),
+    }
+    for name, (table, damaged, says) in damages.items():
+        damaged.write.parquet(f"{tmp_path}/{name}-new")
+        shutil.copytree(tmp_path / "whole", tmp_path / name)
+        shutil.rmtree(tmp_path / name / table)
+        shutil.move(tmp_path / f"{name}-new", tmp_path / name / table)
+        for read in (token_store.read_checksums, token_store.read_documents):
+            with pytest.raises(Exception, match=says):
+                read(spark, f"file://{tmp_path}/{name}").collect()
+
+
 def test_quality(spark, odd, none, labels, sf_dir):
     out = quality.quality(odd, labels).collect()
     assert len(out) == len(ODD) and all(0 <= r.score <= 1 for r in out)
