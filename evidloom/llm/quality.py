@@ -1,8 +1,9 @@
 """Quality classifier: nearest-neighbour voting in a latent-semantic space.
 
 A text's terms are the trigrams of its bytes' classes (letters by case, digits, white space and
-each sign as itself), how words follow equal words, and hashed endings of words; none names a
-topic, a language or a source. Weighted term vectors of at most ``sample`` labelled documents are
+each sign as itself), and counts of words that repeat; none names a topic, a language or a source.
+No word itself is a term: the space holds shape and repetition only, so texts whose fault is in
+their choice or order of words, with equal shape, are not told apart. Weighted term vectors of at most ``sample`` labelled documents are
 decomposed, and every document is placed in the space of the leading ``rank`` directions. Its
 cosine with all labelled vectors, a broadcast matrix of bounded size, is computed exactly, in
 blocks of documents, and the ``neighbours`` nearest vote with weights by similarity. Votes are
