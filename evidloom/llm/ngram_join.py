@@ -14,7 +14,8 @@ first ``n - ceil(t n) + 1`` n-grams, and the shorter set one of its first ``n -
 4. Groups that still hold several components: where they are small, classes are paired if the
    positions of their n-gram allow the needed overlap. Classes that large groups connect form
    blocks, in which each class is sent once for each chunk that it meets, and no pairs are made.
-5. Sets are compared in ``trie_matches``: candidates, most common n-gram first, form a prefix
+5. Of pairs those go whose sketches (bitmaps of the parities of hashed members) differ in more
+   bits than similar sets differ in members. The others' sets are compared in ``trie_matches``: candidates, most common n-gram first, form a prefix
    tree; a walk counts each shared prefix once for all probes and leaves subtrees whose remaining
    lengths cannot reach the needed overlap.
 
@@ -31,6 +32,7 @@ it has one, from any of its rows, found by the class itself.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -44,12 +46,14 @@ from evidloom.llm.textvec import NOT_SPACE, mix, shingles, slabs, span_hashes, w
 _U = np.uint64
 COUNTERS = 1 << 20  # of the table of counts: 4 MB, the bound of what is broadcast
 _PIECE = 1 << 12  # counters in a row
-SALT_ABOVE = 2000  # rows above the mean counter that one group takes
+SALT_ABOVE = 2000  # rows above the mean counter that one group takes,
+NOISE = 8  # and standard deviations of a counter at least, so that n-grams which only share a full counter are not salted
 PIVOTS = 3
 BITS = 25  # 2**25 bits, 4 MB, of the bitmap of documents to be verified
 _PIECE_BITS = 1 << 15
 PAIRED = 32  # classes of a group that are paired one by one; more are met in blocks
 CHUNK = 150_000  # n-grams of a chunk of a block
+BAND = 1.12  # ratio of set sizes within a chunk of a block of several
 ANCHOR_GROUP = 256  # candidates of an anchor in one group
 
 
@@ -69,6 +73,32 @@ def class_of(own: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True) if len(own) else None
 
 
+def sketch_of(own: np.ndarray) -> np.ndarray:
+    """A bitmap of the parities of hashed members, of about two bits a member (64 to 65,536)."""
+    size = min(1 << 16, max(64, 1 << (2 * len(own) - 1).bit_length()))
+    return np.packbits(np.bincount((own >> _U(48)).astype(np.int64) % size, minlength=size) & 1 == 1)
+
+
+def could_link(n: int, x: np.ndarray, m: int, y: np.ndarray, percent: int) -> bool:
+    """Whether sets of n and m members with sketches x and y may have that similarity.
+
+    No sketches differ in more bits than their sets in members, so this rejects no link.
+    """
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) > len(y):
+        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)))
+    most = n + m - 2 * (-(-percent * (n + m) // (100 + percent)))
+    return int(np.bitwise_count(x ^ y).sum()) <= most
+
+
+def _could_link(percent: int):
+    def test(n: pd.Series, x: pd.Series, m: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([could_link(i, np.frombuffer(a, np.uint8), k, np.frombuffer(b, np.uint8), percent) for i, a, k, b in zip(n.tolist(), x, m.tolist(), y, strict=True)], dtype=bool)
+
+    return F.pandas_udf(test, "boolean")
+
+
 def _counter(own: np.ndarray) -> np.ndarray:
     return (own >> _U(44)).astype(np.int64)  # COUNTERS is 2**20
 
@@ -80,23 +110,30 @@ def in_order(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _scan(size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("piece", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary()), ("piece", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
         counts = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            n, cls = [], []
+            n, cls, sketch = [], [], []
+            pending: list[np.ndarray] = []
+            held = 0
             for own in sets_of(batch.column("text"), size):
-                counts += np.bincount(_counter(own), minlength=COUNTERS).astype(np.uint32) if len(own) > COUNTERS // 8 else 0
-                if len(own) <= COUNTERS // 8:
-                    np.add.at(counts, _counter(own), 1)
+                pending.append(_counter(own))
+                held += len(own)
+                if held > COUNTERS:
+                    counts += np.bincount(np.concatenate(pending), minlength=COUNTERS).astype(np.uint32)
+                    pending, held = [], 0
                 n.append(len(own))
                 cls.append(class_of(own))
+                sketch.append(sketch_of(own).tobytes() if len(own) else None)
+            if pending:
+                counts += np.bincount(np.concatenate(pending), minlength=COUNTERS).astype(np.uint32)
             k = len(n)
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
         pieces = counts.reshape(-1, _PIECE)
         some = np.flatnonzero(pieces.any(axis=1))
-        yield pa.record_batch([pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([pieces[i].tobytes() for i in some], pa.binary())], schema=schema)
+        yield pa.record_batch([*[pa.nulls(len(some), pa.int64())] * 3, pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array([pieces[i].tobytes() for i in some], pa.binary())], schema=schema)
 
     return run
 
@@ -116,7 +153,7 @@ def _prefixes(size: int, percent: int, counts):
 
     def run(batches):
         table = np.frombuffer(counts.value, np.uint32)
-        mean = float(table.mean())
+        salted = 1 + (np.maximum(table - table.mean(), 0) // max(SALT_ABOVE, NOISE * float(table.mean()) ** 0.5)).astype(np.int32)
         seen: set[int] = set()
         for batch in batches:
             parts: list[tuple[np.ndarray, int, int]] = []
@@ -131,14 +168,14 @@ def _prefixes(size: int, percent: int, counts):
                 parts.append((in_order(own, table)[: n - -(-percent * n // 100) + 1], cls, n))
                 held += len(parts[-1][0])
                 if held > 200_000:
-                    yield from _flat(parts, table, mean, schema)
+                    yield from _flat(parts, salted, schema)
                     parts, held = [], 0
-            yield from _flat(parts, table, mean, schema)
+            yield from _flat(parts, salted, schema)
 
     return run
 
 
-def _flat(parts, table, mean, schema):
+def _flat(parts, salted, schema):
     if not parts:
         return
     length = np.array([len(p[0]) for p in parts])
@@ -146,7 +183,7 @@ def _flat(parts, table, mean, schema):
     cls = np.repeat(np.array([p[1] for p in parts], np.int64), length)
     n = np.repeat(np.array([p[2] for p in parts], np.int32), length)
     pos = (np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32)
-    salts = 1 + (np.maximum(table[_counter(token)] - mean, 0) // SALT_ABOVE).astype(np.int32)
+    salts = salted[_counter(token)]
     salt = ((cls.view(_U) >> _U(7)) % salts.astype(_U)).astype(np.int32)
     yield pa.record_batch([pa.array(x) for x in (token.view(np.int64), salt, salts, cls, n, pos)], schema=schema)
 
@@ -205,13 +242,7 @@ def trie_matches(probes: list[np.ndarray], sets: list[np.ndarray], percent: int)
 
 
 def _arrays(group: pa.Table) -> list[np.ndarray]:
-    """Sets as they were sent: of each n-gram the upper 48 bits."""
-    out = []
-    for x in group.column("grams").to_pylist():
-        own = np.zeros((len(x) // 6, 8), np.uint8)
-        own[:, 2:] = np.frombuffer(x, np.uint8).reshape(-1, 6)
-        out.append(own.reshape(-1).view(_U))
-    return out
+    return [np.frombuffer(x, _U) for x in group.column("grams").to_pylist()]
 
 
 def _verify(percent: int):
@@ -289,7 +320,7 @@ def _ordered_sets(size: int, counts, marks):
             cls, out = [], []
             for own in sets_of(batch.column("text"), size):
                 cls.append(class_of(own))
-                out.append(np.ascontiguousarray(in_order(own, table)[::-1]).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes())
+                out.append(in_order(own, table)[::-1].tobytes())
             yield pa.record_batch([pa.array(cls, pa.int64()), batch.column("doc_id"), pa.array(out, pa.binary())], names=["cls", "doc_id", "grams"])
 
     return run
@@ -313,7 +344,7 @@ def _ordered_sets_of_nameless(size: int, counts, marks):
                 if len(seen) < 200_000:
                     seen.add(c)
                 cls.append(c)
-                out.append(np.ascontiguousarray(in_order(own, table)[::-1]).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes())
+                out.append(in_order(own, table)[::-1].tobytes())
             yield pa.record_batch([pa.array(cls, pa.int64()), pa.array(out, pa.binary())], names=["cls", "grams"])
 
     return run
@@ -349,6 +380,9 @@ class _Join:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the (a, b) that are similar; b's of an anchor are dealt over groups."""
+        a, b = (self.classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+        pairs = pairs.join(a, "a").join(b, "b").where(_could_link(self.percent)("n_a", "sketch_a", "n_b", "sketch_b")).select("a", "b")
+        pairs = self.keep(pairs, "pairs")
         groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / ANCHOR_GROUP).cast("int").alias("groups"))
         pairs = pairs.join(groups, "a").withColumn("part", F.pmod(F.xxhash64("b"), "groups").cast("int"))
         anchors = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.col("a").alias("cls"))
@@ -358,38 +392,45 @@ class _Join:
     def block_links(self, rows: DataFrame) -> DataFrame:
         """Links between components among the classes that n-grams of large groups connect.
 
-        ``rows`` has token, cls, n and comp. Connected classes form a block, dealt over chunks of
-        about CHUNK n-grams; a component beyond that has chunks of its own. Each two chunks of a
-        block meet in one task, but for two of one component.
+        ``rows`` has token, cls, n and comp. Connected classes form a block. One of more than CHUNK
+        n-grams is dealt over chunks of about as many, of sets of like size; a component beyond
+        that has chunks of its own. Two chunks of a block meet in one task unless they are of one
+        component or no two of their sets are near enough in size.
         """
+        percent = self.percent
+        rows = self.keep(rows, "rows")
         least = rows.groupBy("token").agg(F.min("cls").alias("least"))
         blocks = connected_components(rows.join(least, "token").select(F.col("cls").alias("a"), F.col("least").alias("b")))
         members = rows.select("cls", "n", "comp").distinct().join(blocks.select(F.col("node").alias("cls"), F.col("component").alias("block")), "cls")
         members = self.keep(members, "members")
         total = members.groupBy("block", "comp").agg(F.sum("n").alias("total"))
-        members = members.join(total, ["block", "comp"]).withColumn("owner", F.when(F.col("total") > CHUNK, F.col("comp")))
-        members = self.keep(members.drop("total"), "members")
-        chunks = members.groupBy("block", "owner").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
-        placed = members.join(chunks.select(F.col("block").alias("_b"), F.col("owner").alias("_o"), "chunks"), F.expr("block = _b AND owner <=> _o"))
-        placed = placed.select("cls", "comp", "block", F.struct(F.col("owner"), F.pmod(F.xxhash64("cls"), "chunks").cast("int").alias("k")).alias("chunk"))
+        whole = total.groupBy("block").agg(F.sum("total").alias("whole"))
+        band = F.when(F.col("whole") > CHUNK, F.floor(F.log("n") / math.log(BAND)).cast("int")).otherwise(0)
+        members = members.join(total, ["block", "comp"]).join(whole, "block").select("cls", "n", "comp", "block", F.when(F.col("total") > CHUNK, F.col("comp")).alias("owner"), band.alias("band"))
+        members = self.keep(members, "members")
+        chunks = members.groupBy("block", "owner", "band").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
+        placed = members.join(chunks.select(F.col("block").alias("_b"), F.col("owner").alias("_o"), F.col("band").alias("_d"), "chunks"), F.expr("block = _b AND owner <=> _o AND band = _d"))
+        placed = placed.select("cls", "n", "comp", "block", F.struct("owner", "band", F.pmod(F.xxhash64("cls"), "chunks").cast("int").alias("k")).alias("chunk"))
         placed = self.keep(placed, "placed")
-        all_chunks = placed.select("block", "chunk").distinct()
-        i, j = all_chunks.withColumnRenamed("chunk", "i"), all_chunks.withColumnRenamed("chunk", "j")
-        meet = i.join(j, "block").where("i <= j AND NOT coalesce(i.owner = j.owner, false)")
+        all_chunks = placed.groupBy("block", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+        i, j = (all_chunks.select("block", *[F.col(c).alias(f"{c}_{side}") for c in ("chunk", "lo", "hi")]) for side in "ij")
+        meet = i.join(j, "block").where(f"chunk_i <= chunk_j AND NOT coalesce(chunk_i.owner = chunk_j.owner, false) AND lo_i * {percent} <= hi_j * 100 AND lo_j * {percent} <= hi_i * 100")
+        meet = meet.select("block", F.col("chunk_i").alias("i"), F.col("chunk_j").alias("j"))
         meet = meet.select("block", "i", "j", F.explode(F.expr("CASE WHEN i = j THEN array(struct(i AS chunk, 2 AS side)) ELSE array(struct(i AS chunk, 0 AS side), struct(j AS chunk, 1 AS side)) END")).alias("x"))
         seats = meet.select("block", "i", "j", "x.chunk", "x.side").join(placed, ["block", "chunk"]).select("block", "i", "j", "side", "cls", "comp")
         return self.with_sets(seats).groupBy("block", "i", "j").applyInArrow(_verify_block(self.percent), "a long, b long")
 
     def components(self) -> DataFrame:
         size, percent = self.size, self.percent
-        scan = self.keep(self.docs.mapInArrow(_scan(size), "doc_id long, n long, cls long, piece int, counts binary"), "sets")
+        scan = self.keep(self.docs.mapInArrow(_scan(size), "doc_id long, n long, cls long, sketch binary, piece int, counts binary"), "sets")
         self.per_doc = scan.where("piece IS NULL").select("doc_id", "n", "cls")
         pieces = scan.where("piece IS NOT NULL").select("piece", "counts").repartition(16, "piece").mapInArrow(_add_pieces, "piece int, counts binary")
         counts = np.zeros(COUNTERS, np.uint32)
         for piece, blob in pieces.collect():  # at most COUNTERS counters, whatever the input
             counts[piece * _PIECE : (piece + 1) * _PIECE] = np.frombuffer(blob, np.uint32)
         self.counts = self.spark.sparkContext.broadcast(counts.tobytes())
-        self.classes = self.per_doc.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+        named = scan.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        self.classes = self.keep(named, "classes")
         self.nameless = self.per_doc.where("cls IS NOT NULL AND doc_id IS NULL").count() > 0
 
         rows = self.docs.mapInArrow(_prefixes(size, percent, self.counts), "token long, salt int, salts int, cls long, n int, pos int")
@@ -397,8 +438,10 @@ class _Join:
         pivots = [F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls", "n", "pos")).over(group).alias(f"p{k}") for k in range(PIVOTS)]
         shared = (
             rows.repartition(F.col("token"), F.col("salt"))
-            .select("*", F.lag("cls").over(group.orderBy("cls")).alias("last"), F.min("cls").over(group).alias("lo"), F.max("cls").over(group).alias("hi"), *pivots)
-            .where("(last IS NULL OR last <> cls) AND (lo <> hi OR salts > 1)")
+            .select("*", F.lag("cls").over(group.orderBy("cls")).alias("last"), F.lead("cls").over(group.orderBy("cls")).alias("next"))
+            .where("(last IS NULL OR last <> cls) AND (last IS NOT NULL OR next IS NOT NULL OR salts > 1)")
+            .select("*", F.min("cls").over(group).alias("lo"), F.max("cls").over(group).alias("hi"), *pivots)
+            .where("lo <> hi OR salts > 1")
             .select("token", "salts", "cls", "n", "pos", *[f"p{k}" for k in range(PIVOTS)])
         )
         shared = self.keep(shared, "shared")
