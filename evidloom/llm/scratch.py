@@ -29,6 +29,13 @@ def remove(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Fewer rows in an Arrow batch than Spark's default, which is set for narrow rows; a setting of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def shielded(docs: DataFrame, *keep: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``docs`` with all columns but ``keep`` under names that no operator uses, and what selects the first names again."""
     names = [c if c in keep else f"__c{i}" for i, c in enumerate(docs.columns)]

@@ -1,7 +1,7 @@
 """Vectorised work on the UTF-8 bytes of an Arrow string column, for use inside Spark tasks.
 
-A batch is cut into slabs of about ``SLAB`` bytes at document ends, so that memory follows the
-slab and the longest single document, not the batch.
+A batch is cut into slabs of about ``SLAB`` bytes, and ``MOST`` documents at most, at document
+ends, so that memory follows the slab and the longest single document, not the batch.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLAB = 1 << 19
+MOST = 256
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV_BASE = pow(_BASE, -1, 1 << 64)
@@ -82,11 +83,11 @@ class Slab:
         return self.last - self.first
 
 
-def slabs(column, limit: int = SLAB) -> Iterator[Slab]:
+def slabs(column, limit: int = SLAB, most: int = MOST) -> Iterator[Slab]:
     data, at = utf8(column)
     i, n = 0, len(at) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
+        j = min(i + most, max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1))
         yield Slab(i, j, data[at[i] : at[j]], at[i : j + 1] - at[i])
         i = j
 

@@ -16,7 +16,9 @@ is a folder of Parquet tables:
                       tree over the ranges
 
 Tokens are looked up by word in a bounded cache, so the tokenizer sees each distinct word of a
-task about once; texts are cut only where the tokenizer's own pattern always cuts.
+worker about once; texts are cut only where the tokenizer's own pattern always cuts, which is
+tried out as it is loaded: texts are encoded whole by one that cuts otherwise. Words are told
+apart by 64-bit hashes: two of a slab have the same with probability 2**-64.
 
 Only chunks that a task has not sent yet are shuffled, by digest, and once. Reading back first
 recomputes count and root of each range over its ordered recipes and compares them with the
@@ -35,16 +37,18 @@ import os
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from evidloom.llm.scratch import new_path
+from evidloom.llm.scratch import new_path, small_batches
 from evidloom.llm.textvec import LOWER, mix, slabs, span_hashes
 
 _U = np.uint64
 ROLL, LEAST, MOST, MEAN = 16, 128, 2048, 512
-CACHED = 2_000_000  # words of which a task holds the ids
+CACHED = 500_000  # words of which a worker holds the ids, and
+SENT = 50_000  # chunks that a task remembers to have sent
 DIGEST = 16
 
 _SPACE = np.zeros(256, bool)
@@ -55,6 +59,7 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _SIGN = ~_SPACE & ~_LETTER
 _SIGN[0x80:] = False
 _SIGN[0x27] = False
+_CODES = mix(np.arange(1, (1 << 20) + 1, dtype=_U))  # of ids; larger vocabularies are refused
 
 
 class Encoder:
@@ -74,33 +79,52 @@ class Encoder:
         for piece, i in self.full.get_vocab(with_added_tokens=True).items():
             ends[i] = piece.endswith("</w>")
         self.ends = ends
+        if len(ends) > len(_CODES):
+            raise ValueError(f"vocabularies of more than {len(_CODES)} ids are not supported")
+        self.odd = not self._cuts_as_assumed()
         self._clear()
 
+    def _cuts_as_assumed(self) -> bool:
+        """Whether the tokenizer never joins ASCII letters with signs, or anything over a space."""
+        ids = lambda text: self.full.encode(text, add_special_tokens=False).ids
+        signs = [chr(i) for i in np.flatnonzero(_SIGN)]
+        a, b = ids("a"), ids("b")
+        return all(ids(f"a{s}b") == [*a, *ids(s), *b] for s in signs) and ids("a b\na") == [*a, *b, *a]
+
     def _clear(self) -> None:
         self.keys, self.at, self.n = np.zeros(0, _U), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.int32)
 
-    def _learn(self, keys: np.ndarray, units: list[bytes]) -> None:
-        """Adds the ids of units; those of letters only are encoded in one text and told apart by their ends."""
-        n, at = np.zeros(len(units), np.int32), np.zeros(len(units), np.int32)
-        rest = np.ones(len(units), bool)
-        letters = np.array([k for k, u in enumerate(units) if u.isalpha() and u.isascii()], np.int64)
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Adds the ids of words; those of letters only are encoded in one text and told apart by their ends."""
+        size = ends - starts
+        n, at = np.zeros(len(keys), np.int32), np.zeros(len(keys), np.int32)
+        rest = np.ones(len(keys), bool)
+        count = np.concatenate(([0], np.cumsum(_LETTER[data])))
+        letters = np.flatnonzero(count[ends] - count[starts] == size)
         if len(letters):
-            flat = np.array(self.plain.encode_batch_fast([b" ".join([units[k] for k in letters]).decode()], add_special_tokens=False)[0].ids, np.int32)
+            own = size[letters] + 1  # a space follows each
+            begin = np.cumsum(own) - own
+            text = np.full(int(own.sum()), 0x20, np.uint8)
+            step = np.arange(len(text)) - np.repeat(begin, own)
+            inside = step < np.repeat(own - 1, own)
+            text[inside] = data[(np.repeat(starts[letters], own) + step)[inside]]
+            flat = np.array(self.plain.encode_batch_fast([text.tobytes().decode()], add_special_tokens=False)[0].ids, np.int32)
             cut = np.flatnonzero(self.ends[flat]) + 1
             if len(cut) == len(letters):
-                begin = np.concatenate(([0], cut[:-1]))
-                n[letters], at[letters] = cut - begin, len(self.pool) + begin
+                first = np.concatenate(([0], cut[:-1]))
+                n[letters], at[letters] = cut - first, len(self.pool) + first
                 self.pool = np.concatenate([self.pool, flat])
                 rest[letters] = False
         left = np.flatnonzero(rest)
         if len(left):
-            ids = [e.ids for e in self.full.encode_batch_fast([units[k].decode() for k in left], add_special_tokens=False)]
+            ids = [e.ids for e in self.full.encode_batch_fast([data[a:b].tobytes().decode() for a, b in zip(starts[left].tolist(), ends[left].tolist(), strict=True)], add_special_tokens=False)]
             n[left] = [len(x) for x in ids]
             at[left] = len(self.pool) + np.cumsum(n[left]) - n[left]
             self.pool = np.concatenate([self.pool, np.array([i for x in ids for i in x], np.int32)])
-        into = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.n = np.insert(self.keys, into, keys), np.insert(self.at, into, at), np.insert(self.n, into, n)
+        order = np.argsort(keys)
+        into = np.searchsorted(self.keys, keys[order])
+        self.keys, self.at, self.n = np.insert(self.keys, into, keys[order]), np.insert(self.at, into, at[order]), np.insert(self.n, into, n[order])
 
     def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Spans that the tokenizer's pattern never joins: cut at spaces, and between ASCII letters and signs."""
@@ -113,47 +137,69 @@ class Encoder:
         ends = np.flatnonzero(some & (cut[1:] | np.concatenate((~some[1:], [True])))) + 1
         return starts, ends
 
-    def documents(self, column):
-        """The ids of each text, in order."""
-        for slab in slabs(column, 1 << 20):
-            if not len(slab.data):
-                yield from (np.zeros(0, np.int32) for _ in range(len(slab)))
-                continue
-            starts, ends = self._cut(slab.data, slab.offsets)
-            keys, first, which = np.unique(span_hashes(LOWER[slab.data] if self.folds else slab.data, starts, ends), return_index=True, return_inverse=True)
+    def documents(self, column, end_id: int):
+        """(ids of the documents of a slab, one after the other and each with its end id, and where each ends)."""
+        for slab in slabs(column, 1 << 20, 4096):
+            starts, ends = self._cut(slab.data, slab.offsets) if len(slab.data) else (np.zeros(0, np.int64),) * 2
+            which, keys = pd.factorize(span_hashes(LOWER[slab.data] if self.folds else slab.data, starts, ends))
+            first = np.empty(len(keys), np.int64)
+            first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
             if len(self.keys) + len(keys) > CACHED:
                 self._clear()
-            raw = slab.data.tobytes()
-            at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-            missing = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
-            if len(missing):
-                self._learn(keys[missing], [raw[starts[i] : ends[i]] for i in first[missing]])
             at = np.searchsorted(self.keys, keys)
-            begin, n = self.at[at][which], self.n[at][which]
-            total = np.concatenate(([0], np.cumsum(n)))
-            ids = self.pool[np.repeat(begin - total[:-1], n) + np.arange(total[-1])]
-            bound = total[np.searchsorted(starts, slab.offsets)]
-            special = any(t in raw for t in self.special)
-            for d in range(len(slab)):
-                own = raw[slab.offsets[d] : slab.offsets[d + 1]] if special else b""
-                if special and any(t in own for t in self.special):
-                    yield np.array(self.full.encode(own.decode(), add_special_tokens=False).ids, np.int32)
-                else:
-                    yield ids[bound[d] : bound[d + 1]]
-
-
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Where chunks end: after ids whose last ROLL have a hash of a certain kind, LEAST to MOST apart."""
+            missing = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
+            if len(missing):
+                self._learn(keys[missing], slab.data, starts[first[missing]], ends[first[missing]])
+                at = np.searchsorted(self.keys, keys)
+            # One unit more a document: its end id, which is added to the pool for this slab.
+            bound = np.searchsorted(starts, slab.offsets)
+            begin = np.insert(self.at[at][which], bound[1:], len(self.pool))
+            n = np.insert(self.n[at][which], bound[1:], 1)
+            total = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
+            ids = np.append(self.pool, np.int32(end_id))[np.repeat(begin - total[:-1], n) + np.arange(total[-1])]
+            yield self._with_special(slab, ids, total[bound[1:] + np.arange(1, len(slab) + 1)], end_id)
+
+    def _with_special(self, slab, ids: np.ndarray, stops: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes documents that hold a special token's text, or all where words are not told apart so, as they are."""
+        raw = slab.data.tobytes()
+        if not (self.odd or any(t in raw for t in self.special)):
+            return ids, stops
+        out, last = [], 0
+        for d, stop in enumerate(stops.tolist()):
+            own = raw[slab.offsets[d] : slab.offsets[d + 1]]
+            if self.odd or any(t in own for t in self.special):
+                out.append(np.array([*self.full.encode(own.decode(), add_special_tokens=False).ids, end_id], np.int32))
+            else:
+                out.append(ids[last:stop])
+            last = stop
+        return np.concatenate(out), np.cumsum([len(x) for x in out])
+
+
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def chunk_marks(ids: np.ndarray) -> np.ndarray:
+    """Where the last ROLL ids have a hash of a certain kind; what follows those ids is not looked at."""
     n = len(ids)
-    if n <= LEAST:
-        return [n]
-    code = mix(ids.astype(_U) + _U(1))
-    rolled = np.zeros(n - ROLL + 1, _U)
-    for k in range(ROLL):
-        rolled = rolled * _U(0x9E3779B97F4A7C15) + code[k : n - ROLL + 1 + k]
-    marks = np.flatnonzero(mix(rolled) % _U(MEAN - LEAST) == 0) + ROLL
+    if n < ROLL:
+        return np.zeros(0, np.int64)
+    power = np.full(n, _BASE, _U)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    sums = np.zeros(n + 1, _U)
+    np.cumsum(_CODES[ids] * power, out=sums[1:])
+    back = np.full(n, _INVERSE, _U)
+    back[0] = 1
+    back = np.multiply.accumulate(back)
+    rolled = (sums[ROLL:] - sums[:-ROLL]) * back[: n - ROLL + 1]
+    return np.flatnonzero(mix(rolled) % _U(MEAN - LEAST) == 0) + ROLL
+
+
+def chunk_ends(n: int, marks: list[int]) -> list[int]:
+    """Where the chunks of n ids end: at marks, LEAST to MOST apart."""
     out, last = [], 0
-    for m in [*marks.tolist(), n]:
+    for m in [*marks, n]:
         while m - last > MOST:
             last += MOST
             out.append(last)
@@ -214,28 +260,29 @@ def _encoded(path: str, end_id: int):
             return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[f.split()[0] for f in _DATA.split(", ")])
 
         for batch in batches:
-            chunks, recipes = [], []
-            held = 0
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.documents(batch.column("text")), strict=True):
-                ids = np.append(ids, end_id).astype(width)
-                digests, lengths, last = [], [], 0
-                for e in chunk_ends(ids):
-                    raw = ids[last:e].tobytes()
-                    digest = hashlib.blake2b(raw, digest_size=DIGEST).digest()
-                    digests.append(digest)
-                    lengths.append(e - last)
-                    if digest not in seen:
-                        if len(seen) < 200_000:
-                            seen.add(digest)
-                        chunks.append((digest, e - last, raw))
-                    last = e
-                recipes.append((row, doc_id, len(ids), b"".join(digests), lengths, merkle(digests)))
-                row += 1
-                held += len(ids)
-                if held > 1_000_000:
-                    yield table(chunks, recipes)
-                    chunks, recipes, held = [], [], 0
-            yield table(chunks, recipes)
+            doc_ids = iter(batch.column("doc_id").to_pylist())
+            for ids, stops in encoder.documents(batch.column("text"), end_id):
+                chunks, recipes = [], []
+                marks = chunk_marks(ids)
+                raw, size = memoryview(ids.astype(width).tobytes()), np.dtype(width).itemsize
+                starts = np.concatenate(([0], stops[:-1]))
+                low, high = np.searchsorted(marks, starts + ROLL).tolist(), np.searchsorted(marks, stops).tolist()
+                marks = marks.tolist()
+                for start, stop, a, b in zip(starts.tolist(), stops.tolist(), low, high, strict=True):
+                    digests, lengths, last = [], [], 0
+                    for e in chunk_ends(stop - start, [m - start for m in marks[a:b]]):
+                        own = raw[(start + last) * size : (start + e) * size]
+                        digest = hashlib.blake2b(own, digest_size=DIGEST).digest()
+                        digests.append(digest)
+                        lengths.append(e - last)
+                        if digest not in seen:
+                            if len(seen) < SENT:
+                                seen.add(digest)
+                            chunks.append((digest, e - last, own))
+                        last = e
+                    recipes.append((row, next(doc_ids), stop - start, b"".join(digests), lengths, merkle(digests)))
+                    row += 1
+                yield table(chunks, recipes)
 
     return run
 
@@ -263,6 +310,7 @@ def _indexed(batches):
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Writes the store of ``docs`` (doc_id, text) to the folder ``path``."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.mapInArrow(_encoded(tokenizer, end_id), _DATA).withColumn("key", F.coalesce("digest", F.col("row").cast("string").cast("binary")))
     first = F.row_number().over(Window.partitionBy("key").orderBy("n"))
