@@ -5,9 +5,14 @@ sequences end. A document's words stream through it and the length of the longes
 ends at each word is tracked; a length of ``window`` or more marks words as hit. Items of fewer
 words than a window match as a whole. Words are compared by 64-bit hashes.
 
-The items are a stated test set and go to the tasks in blocks of at most ``BLOCK_WORDS`` words,
-one automaton a block, so what a task holds does not grow with the test set. Documents are only
-scanned: no shuffle, whatever their number or skew.
+The items go to the tasks in blocks of about ``BLOCK_WORDS`` words, one automaton a block. An
+item of more words is cut into pieces that overlap by a window less one word, so none is lost.
+A test set of one block, the usual case, is scanned for in one pass over the documents, without
+a shuffle, whatever their number or skew. A larger one takes a scan of its own for each block,
+in tasks of its own, so a task never holds more than one automaton. What these scans find is a
+row a text and block with hits, keyed by the text's digest; marks depend on the text alone, so
+they are joined back to all documents of that text. The driver holds one block at a time, and a
+broadcast for each.
 
 Null texts and texts without words have no hits. Repeated documents give repeated rows. Items
 that are null or without words match nothing; items of equal id count as one; a null id reads
@@ -16,11 +21,13 @@ that are null or without words match nothing; items of equal id count as one; a
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from evidloom.llm.scratch import shielded
+from evidloom.llm.scratch import shielded, small_batches
 from evidloom.llm.textvec import WORD, Slab, Words, slabs, span_hashes, words
 
 WINDOW = 10
@@ -46,6 +53,7 @@ class SuffixAutomaton:
         for v in range(1, len(self.link)):
             self.children.setdefault(self.link[v], []).append(v)
         self._items: dict[int, frozenset[str]] = {}
+        self._base: dict[int, int] = {}
         self._short: dict[int, tuple[tuple[int, str], ...]] = {}
 
     def _state(self, length: int, link: int, nxt: dict[int, int]) -> int:
@@ -79,8 +87,12 @@ class SuffixAutomaton:
 
     def holders(self, v: int) -> frozenset[str]:
         """Items that hold the last ``window`` words of the sequences of v."""
-        while self.length[self.link[v]] >= self.window:
+        passed = []
+        while v not in self._base and self.length[self.link[v]] >= self.window:
+            passed.append(v)
             v = self.link[v]
+        v = self._base.get(v, v)
+        self._base.update(dict.fromkeys(passed, v))
         if v not in self._items:
             found, todo = set(), [v]
             while todo:
@@ -157,18 +169,26 @@ class _Block:
                     names.setdefault(int(np.searchsorted(offsets, a, "right")) - 1, set()).update(found)
 
 
-def _item_blocks(items):
+def _pieces(name: str, words_of: np.ndarray, window: int):
+    """An item in pieces of about BLOCK_WORDS words at most, which hold all of its windows."""
+    size = max(BLOCK_WORDS, 2 * window)
+    for start in range(0, max(1, len(words_of) - window + 1), size - window + 1):
+        yield name, words_of[start : start + size]
+
+
+def _item_blocks(items, window: int):
     """The items with words, in lists of about BLOCK_WORDS words."""
     block, held = [], 0
     for name, text in items:
         h = _hashed(text)
-        if len(h):
-            block.append((name, h))
-            held += len(h)
-        if held >= BLOCK_WORDS:
-            yield block
-            block, held = [], 0
-    yield block
+        for piece in _pieces(name, h, window) if len(h) else ():
+            block.append(piece)
+            held += len(piece[1])
+            if held >= BLOCK_WORDS:
+                yield block
+                block, held = [], 0
+    if block:
+        yield block
 
 
 def _rest(slab: Slab, d: int, w: Words, spans: list[dict]) -> str:
@@ -181,70 +201,113 @@ def _rest(slab: Slab, d: int, w: Words, spans: list[dict]) -> str:
     return b"".join([*kept, raw[here:]]).decode()
 
 
-def _marks(shared, window: int):
-    """Adds the hits of one block of items to those of the blocks before."""
+def _spans_of(hit: np.ndarray) -> list[dict]:
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
+    return [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
+
+
+def _found(block: _Block | None, slab: Slab) -> tuple[Words, list[list[dict]], list[list[str]]]:
+    """Words of a slab, and of each document the spans and items that a block finds."""
+    w, data = words(slab, WORD)
+    hit, names = np.zeros(len(w.starts), bool), {}
+    if block:
+        block.scan(span_hashes(data, w.starts, w.ends), w.offsets, hit, names)
+    spans = [_spans_of(hit[w.offsets[d] : w.offsets[d + 1]]) if d in names else [] for d in range(len(slab))]
+    return w, spans, [sorted(names.get(d, ())) for d in range(len(slab))]
+
+
+def _scan_one(shared, window: int, max_coverage: float, with_text: bool):
+    """All that is told of each document, from the only block of items."""
 
     def run(batches):
-        block = _Block(shared.value, window) if shared.value else None
+        block = _Block(shared.value, window) if shared else None
         for batch in batches:
-            hits, items = [], []
-            before = [batch.column(k).to_pylist() for k in ("_hit", "_items")]
+            out = _Rows(max_coverage, with_text)
             for slab in slabs(batch.column("text")):
-                w, data = words(slab, WORD)
-                hit = np.zeros(len(w.starts), bool)
-                names: dict[int, set[str]] = {}
-                if block:
-                    block.scan(span_hashes(data, w.starts, w.ends), w.offsets, hit, names)
+                w, spans, items = _found(block, slab)
                 for d in range(len(slab)):
-                    own, old = hit[w.offsets[d] : w.offsets[d + 1]], before[0][slab.first + d]
-                    if old:
-                        own = own | np.unpackbits(np.frombuffer(old, np.uint8), count=len(own)).astype(bool)
-                    hits.append(np.packbits(own).tobytes() if own.any() else b"")
-                    items.append(sorted(names.get(d, set()) | set(before[1][slab.first + d] or ())))
-            out = {name: batch.column(name) for name in batch.schema.names} | {"_hit": pa.array(hits, pa.binary()), "_items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+                    out.add(slab, d, w, spans[d], items[d])
+            yield out.beside(batch, batch.schema.names)
 
     return run
 
 
-def _spans(max_coverage: float, with_text: bool):
-    """From the marks: numbers of words, spans, and the text without them."""
+def _scan_block(shared, window: int):
+    """(digest, spans, items) of texts in which a block of several finds something."""
 
     def run(batches):
+        block = _Block(shared.value, window)
         for batch in batches:
-            cols: dict[str, list] = {k: [] for k in ("n_words", "n_hit", "spans", "clean")}
-            marks = batch.column("_hit").to_pylist()
+            rows = []
+            digests = batch.column("digest").to_pylist()
+            for slab in slabs(batch.column("text")):
+                _, spans, items = _found(block, slab)
+                rows += [(digests[slab.first + d], spans[d], items[d]) for d in range(len(slab)) if spans[d]]
+            cols = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.binary(), _SPANS, pa.list_(pa.string())), strict=True)], names=["digest", "spans", "items"])
+
+    return run
+
+
+def _merge(max_coverage: float, with_text: bool):
+    """All that is told of each document, from what the blocks found in its text."""
+
+    def run(batches):
+        for batch in batches:
+            out = _Rows(max_coverage, with_text)
+            found = batch.column("_found").to_pylist()
             for slab in slabs(batch.column("text")):
                 w, _ = words(slab, WORD)
                 for d in range(len(slab)):
-                    n, hit, spans, clean = int(w.offsets[d + 1] - w.offsets[d]), 0, [], None
-                    if mark := marks[slab.first + d]:
-                        own = np.unpackbits(np.frombuffer(mark, np.uint8), count=n)
-                        hit = int(own.sum())
-                        edge = np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0]))))
-                        spans = [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
-                        if with_text and hit <= max_coverage * n:
-                            clean = _rest(slab, d, w, spans)
-                    for k, v in zip(cols, (n, hit, spans, clean), strict=True):
-                        cols[k].append(v)
-            own = {"_n_words": pa.array(cols["n_words"], pa.int64()), "_n_hit": pa.array(cols["n_hit"], pa.int64()), "_spans": pa.array(cols["spans"], _SPANS), "_clean": pa.array(cols["clean"], pa.string())}
-            out = {name: batch.column(name) for name in batch.schema.names if name != "_hit"} | own
-            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+                    own = found[slab.first + d] or ()
+                    hit = np.zeros(w.offsets[d + 1] - w.offsets[d] if own else 0, bool)
+                    for f in own:
+                        for s in f["spans"]:
+                            hit[s["start"] : s["end"]] = True
+                    out.add(slab, d, w, _spans_of(hit), sorted({x for f in own for x in f["items"]}))
+            yield out.beside(batch, [n for n in batch.schema.names if n != "_found"])
 
     return run
 
 
+class _Rows:
+    """The columns that are told of the documents of a batch."""
+
+    def __init__(self, max_coverage: float, with_text: bool):
+        self.max_coverage, self.with_text = max_coverage, with_text
+        self.cols: dict[str, list] = {k: [] for k in ("_items", "_n_words", "_n_hit", "_spans", "_clean")}
+
+    def add(self, slab: Slab, d: int, w: Words, spans: list[dict], items: list[str]) -> None:
+        n, hit = int(w.offsets[d + 1] - w.offsets[d]), sum(s["end"] - s["start"] for s in spans)
+        clean = _rest(slab, d, w, spans) if self.with_text and spans and hit <= self.max_coverage * n else None
+        for k, v in zip(self.cols, (items, n, hit, spans, clean), strict=True):
+            self.cols[k].append(v)
+
+    def beside(self, batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
+        types = (pa.list_(pa.string()), pa.int64(), pa.int64(), _SPANS, pa.string())
+        own = [pa.array(v, t) for v, t in zip(self.cols.values(), types, strict=True)]
+        return pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *own], names=[*names, *self.cols])
+
+
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_TOLD = "_items array<string>, _n_words long, _n_hit long, _spans array<struct<start:long,end:long>>, _clean string"
 
 
 def _scanned(docs: DataFrame, benchmark: DataFrame, columns: list[str], window: int, max_coverage: float, with_text: bool) -> DataFrame:
+    spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.where("text IS NOT NULL").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), "text").distinct()
     docs = docs.select(*columns)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
-    out = docs.withColumns({"_hit": F.lit(None).cast("binary"), "_items": F.lit(None).cast("array<string>")})
-    for block in _item_blocks(tuple(r) for r in items.toLocalIterator()):
-        out = out.mapInArrow(_marks(docs.sparkSession.sparkContext.broadcast(block), window), f"{fields}_hit binary, _items array<string>")
-    return out.mapInArrow(_spans(max_coverage, with_text), f"{fields}_items array<string>, _n_words long, _n_hit long, _spans array<struct<start:long,end:long>>, _clean string")
+    blocks = [spark.sparkContext.broadcast(b) for b in _item_blocks((tuple(r) for r in items.toLocalIterator()), window)]
+    if len(blocks) < 2:
+        return docs.mapInArrow(_scan_one(blocks[0] if blocks else None, window, max_coverage, with_text), fields + _TOLD)
+    keyed = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)))
+    texts = keyed.select(F.col("_digest").alias("digest"), "text")
+    found = [texts.mapInArrow(_scan_block(b, window), "digest binary, spans array<struct<start:long,end:long>>, items array<string>").dropDuplicates(["digest"]) for b in blocks]
+    found = reduce(DataFrame.union, found).groupBy("digest").agg(F.collect_list(F.struct("spans", "items")).alias("_found"))  # a row a block at most
+    rows = keyed.join(found.withColumnRenamed("digest", "_digest"), "_digest", "left").select(*docs.columns, "_found")
+    return rows.mapInArrow(_merge(max_coverage, with_text), fields + _TOLD)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

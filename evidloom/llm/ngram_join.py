@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from evidloom.llm.components import connected_components
-from evidloom.llm.scratch import remove, shielded, written
+from evidloom.llm.scratch import remove, shielded, small_batches, written
 from evidloom.llm.textvec import NOT_SPACE, mix, shingles, slabs, span_hashes, words
 
 _U = np.uint64
@@ -355,6 +355,7 @@ class _Join:
         self.spark, self.size, self.percent = docs.sparkSession, size, percent
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.paths: list[str] = []
+        small_batches(self.spark)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df, path = written(df, name)

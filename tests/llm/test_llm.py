@@ -100,7 +100,10 @@ def test_token_store(spark, odd, none, tmp_path):
     encoder = token_store.Encoder(path)
     import pyarrow as pa
 
-    assert [x.tolist() for x in encoder.documents(pa.array(texts))] == ids
+    assert not encoder.odd
+    for odd_cuts in (False, True):
+        encoder.odd = odd_cuts
+        assert [x.tolist() for own, stops in encoder.documents(pa.array(texts), 2) for x in np.split(own, stops[:-1])] == [[*x, 2] for x in ids]
     store = f"file://{tmp_path}/store"
     token_store.write_store(odd, store, path, 2)
     back = token_store.read_documents(spark, store).orderBy("start").collect()
@@ -309,6 +312,36 @@ def test_decontaminate(spark, odd, none):
     assert decontaminate.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontaminate_by_many_blocks(spark):
+    """Blocks and pieces of long items find what one automaton finds, and that is what brute force finds."""
+    r = np.random.default_rng(5)
+    items = [" ".join(f"w{x}" for x in r.integers(0, 60, n)) for n in (300, 90, 12, 7, 3, 1, 45)]
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 60, 30)) + " " + " ".join(items[k % 7].split()[5:40]) + " w99 " + " ".join(items[0].split()[k : k + 25]) for k in range(30)]
+    texts += [texts[0]] * 5 + ["", items[0], "w1 " * 400]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    windows = {tuple(w[i : i + min(10, len(w))]): set() for w in map(str.split, items) for i in range(max(1, len(w) - 9))}
+    for k, w in enumerate(map(str.split, items)):
+        for i in range(max(1, len(w) - 9)):
+            windows[tuple(w[i : i + min(10, len(w))])].add(str(k))
+    want = {}
+    for d, w in enumerate(map(str.split, texts)):
+        hit, names = set(), set()
+        for size in {len(x) for x in windows}:
+            for i in range(len(w) - size + 1):
+                if found := windows.get(tuple(w[i : i + size])):
+                    hit |= {*range(i, i + size)}
+                    names |= found
+        want[d] = (len(hit), sorted(names))
+    for block in (decontaminate.BLOCK_WORDS, 40):
+        kept, decontaminate.BLOCK_WORDS = decontaminate.BLOCK_WORDS, block
+        try:
+            got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.contamination(docs, bench).collect()}
+        finally:
+            decontaminate.BLOCK_WORDS = kept
+        assert got == want
+
+
 def brute_secrets(text: str) -> list[tuple[int, int, str, int]]:
     out = []
     for kind, (name, pattern, least, group) in enumerate((("assign", r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 12, 1), ("access", r"AKIA[A-Z0-9]+", 18, 0), ("hex", r"[0-9a-f]+", 16, 0))):
