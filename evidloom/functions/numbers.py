@@ -51,3 +51,8 @@ RANKING = {"gap": 0.30, "demand": 0.25, "forecast": 0.15, "evidence": 0.15, "con
 def priority(gap, evidence, demand, forecast, relevance) -> Column:
     cols = dict(zip(PRIORITY, (gap, evidence, demand, forecast, relevance), strict=True))
     return F.round(clip(sum((cols[k] * w for k, w in PRIORITY.items()), F.lit(0.0))), 4)
+
+
+def exact_mean(column: str) -> Column:
+    """A mean of which the sum is exact (four decimals), so that it does not depend on the order of rows."""
+    return F.sum(F.col(column).cast("decimal(18,4)")).cast("double") / F.count(column)

@@ -39,6 +39,11 @@ def duplicate_key(c: Column) -> Column:
     return F.array_join(F.filter(words, lambda w: ~w.isin(*_STOP)), " ")
 
 
+def skill_label(c: Column) -> Column:
+    """Lower case, with the signs of names such as c++, c# and .net, single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9+#. ]", " "), " +", " "))
+
+
 _SENIORITY = r"\b(senior|junior|lead|principal|graduate|intern|trainee|entry level|mid level)\b"
 
 

@@ -67,3 +67,29 @@ def filled_months(df: DataFrame, key: list[str], month: str, value: str) -> Data
     months = ends.select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 MONTH"))).alias(month))
     grid = df.select(*key).distinct().join(F.broadcast(months))  # a row a month of the calendar
     return grid.join(df.select(*key, month, value), [*key, month], "left").fillna(0, [value])
+
+
+def top_of(df: DataFrame, keys: list[str], order: list, most: int) -> DataFrame:
+    """The first ``most`` rows of each key in that order; Spark keeps as many in each task before it shuffles."""
+    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= most).drop("_rn")
+
+
+def safe_boundary(rows: DataFrame, group: str, order: str, share: float) -> DataFrame:
+    """(boundary, total, share): the number of first rows, nearest to that share, that no group stands across.
+
+    Groups become intervals of ``order`` first, so what one task orders are groups, not rows.
+    """
+    groups = rows.groupBy(group).agg(F.min(order).alias("a"), F.max(order).alias("b"), F.count("*").alias("n"))
+    before = Window.orderBy("a", group).rowsBetween(Window.unboundedPreceding, 0)
+    cut = groups.select("b", F.sum("n").over(before).alias("boundary"), F.max("b").over(before).alias("last"), F.lead("a").over(Window.orderBy("a", group)).alias("next"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    cut = cut.where("next > last").select("boundary", "total", (F.col("boundary").cast("double") / F.col("total")).alias("share"))
+    return cut.orderBy(F.abs(F.col("boundary") - F.col("total") * share), "boundary").limit(1)
+
+
+def stratified(rows: DataFrame, stratum: str, key: str, take: int, seed: int = 0) -> DataFrame:
+    """``take`` rows dealt evenly over the strata, one more for the first ones, by a seeded hash of the key."""
+    strata = rows.select(stratum).distinct().withColumns({"_k": F.row_number().over(Window.orderBy(stratum)), "_s": F.count("*").over(Window.partitionBy())})
+    own = strata.select(stratum, (F.floor(F.lit(take) / F.col("_s")) + F.when(F.col("_k") <= F.lit(take) % F.col("_s"), 1).otherwise(0)).alias("_take"))
+    order = Window.partitionBy(stratum).orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key)
+    ranked = rows.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= take)
+    return ranked.join(own, stratum).where("_rn <= _take").drop("_rn", "_take")

@@ -49,17 +49,17 @@ def indicator_signals(spark, sf):
     return j.groupBy(F.col("p_type").alias("indicator"), F.col("p_brand").alias("dimension"), F.year("l_shipdate").alias("year"), dates.quarter(F.col("l_shipdate")).alias("quarter")).agg(F.round(F.avg("l_quantity"), 4).alias("value"), F.count("*").alias("evidence"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("flags"))
 
 
-@query("signal_scores", """WITH g AS (SELECT l_partkey, count(*) AS n, avg(l_discount) AS conf FROM lineitem GROUP BY 1)
-SELECT l_partkey, n, round(n::DOUBLE / (SELECT max(n) FROM g), 4) AS demand, round(least(1.0, 0.5 + 0.05 * n) * (1 - conf), 6) AS confidence FROM g""")
+@query("signal_scores", """WITH g AS (SELECT l_partkey, count(*) AS n, sum(l_discount::DECIMAL(18, 4))::DOUBLE / count(l_discount) AS conf FROM lineitem GROUP BY 1)
+SELECT l_partkey, n, n::DOUBLE / (SELECT max(n) FROM g) AS demand, least(1.0::DOUBLE, 0.5::DOUBLE + 0.05::DOUBLE * n) * (1 - conf) AS confidence FROM g""")
 def signal_scores(spark, sf):
-    g = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.avg("l_discount").alias("conf"))
+    g = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), numbers.exact_mean("l_discount").alias("conf"))
     most = g.agg(F.max("n").alias("most"))
-    return g.join(F.broadcast(most)).select("l_partkey", "n", F.round(F.col("n") / F.col("most"), 4).alias("demand"), F.round(F.least(F.lit(1.0), 0.5 + 0.05 * F.col("n")) * (1 - F.col("conf")), 6).alias("confidence"))
+    return g.join(F.broadcast(most)).select("l_partkey", "n", (F.col("n").cast("double") / F.col("most")).alias("demand"), (F.least(F.lit(1.0), 0.5 + 0.05 * F.col("n")) * (1 - F.col("conf"))).alias("confidence"))
 
 
-@query("demand_weights", "SELECT l_partkey, round(1 + least(count(*) / 25.0, 1) + 0.75 * avg(l_tax) + 0.35 * avg(l_discount), 4) AS weight FROM lineitem GROUP BY 1")
+@query("demand_weights", "SELECT l_partkey, 1 + least(count(*) / 25.0, 1)::DOUBLE + 0.75::DOUBLE * (sum(l_tax::DECIMAL(18, 4))::DOUBLE / count(l_tax)) + 0.35::DOUBLE * (sum(l_discount::DECIMAL(18, 4))::DOUBLE / count(l_discount)) AS weight FROM lineitem GROUP BY 1")
 def demand_weights(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.round(1 + F.least(F.count("*") / 25.0, F.lit(1.0)) + 0.75 * F.avg("l_tax") + 0.35 * F.avg("l_discount"), 4).alias("weight"))
+    return table(spark, sf, "lineitem").groupBy("l_partkey").agg((1 + F.least(F.count("*") / 25.0, F.lit(1.0)) + 0.75 * numbers.exact_mean("l_tax") + 0.35 * numbers.exact_mean("l_discount")).alias("weight"))
 
 
 @query("status_histogram", "SELECT c_mktsegment, o_orderstatus, count(*) AS n, max(o_totalprice) AS best FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2")

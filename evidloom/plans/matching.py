@@ -20,9 +20,9 @@ def left_join_counts(spark, sf):
     return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.expr("c_custkey = o_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("orders"), F.coalesce(F.max("o_totalprice"), F.lit(0.0)).alias("most"))
 
 
-@query("without_orders", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("without_orders", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')")
 def without_orders(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.expr("c_custkey = o_custkey"), "left_anti").select("c_custkey", "c_name")
+    return table(spark, sf, "customer").join(table(spark, sf, "orders").where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'"), F.expr("c_custkey = o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("with_open_orders", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O' AND o_orderpriority = '1-URGENT')")
@@ -32,11 +32,11 @@ def with_open_orders(spark, sf):
 
 
 @query("fallback_join", """WITH k AS (SELECT s_suppkey, 'Supplier#' || lpad(s_suppkey::VARCHAR, 9, '0') AS name, s_nationkey FROM supplier), n AS (SELECT n_nationkey, any_value(n_name) AS n_name FROM nation GROUP BY 1)
-SELECT s_suppkey, coalesce(a.c_mktsegment, b.c_mktsegment) AS c_mktsegment FROM supplier LEFT JOIN (SELECT c_custkey, max(c_mktsegment) AS c_mktsegment FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1) a ON a.c_custkey = s_suppkey LEFT JOIN (SELECT c_nationkey, max(c_mktsegment) AS c_mktsegment FROM customer GROUP BY 1) b ON b.c_nationkey = s_nationkey""")
+SELECT s_suppkey, coalesce(a.c_mktsegment, b.c_mktsegment) AS c_mktsegment FROM supplier LEFT JOIN (SELECT c_custkey, max(c_mktsegment) AS c_mktsegment FROM customer WHERE c_acctbal > 5000 GROUP BY 1) a ON a.c_custkey = s_suppkey LEFT JOIN (SELECT c_nationkey, max(c_mktsegment) AS c_mktsegment FROM customer GROUP BY 1) b ON b.c_nationkey = s_nationkey""")
 def fallback_join(spark, sf):
     c = table(spark, sf, "customer")
     best = c.groupBy("c_nationkey").agg(F.max("c_mktsegment").alias("c_mktsegment"))
-    own = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("long").alias("by_key"), F.lit(None).cast("int").alias("by_nation"), "c_mktsegment")
+    own = c.where("c_acctbal > 5000").select(F.col("c_custkey").cast("long").alias("by_key"), F.lit(None).cast("int").alias("by_nation"), "c_mktsegment")
     both = own.union(best.select(F.lit(None).cast("long"), F.col("c_nationkey"), "c_mktsegment"))
     return matching.fallback_join(table(spark, sf, "supplier"), both, ("s_suppkey", "by_key"), ("s_nationkey", "by_nation"), "c_mktsegment").select("s_suppkey", "c_mktsegment")
 
@@ -48,11 +48,11 @@ def parent_levels(spark, sf):
     return n.join(F.broadcast(p), "n_regionkey").select("n_nationkey", F.when(F.col("parent") != F.col("n_nationkey"), F.col("parent")).alias("parent"))
 
 
-@query("alias_matches", """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), a AS (SELECT DISTINCT x AS alias FROM (SELECT unnest(['the of', 'and the', 'that', 'licensed under', 'de la']) AS x)),
+@query("alias_matches", """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), a AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+')[1:2], ' ') AS alias FROM benchmark),
 t AS (SELECT alias, regexp_extract_all(alias, '[a-z0-9]+') AS t FROM a), p AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM w)
 SELECT doc_id, alias, count(*) AS hits, min(i)::INT AS first_at FROM p JOIN t ON w[i + 1] = t[1] AND w[i + 1:i + len(t)] = t GROUP BY 1, 2""")
 def alias_matches(spark, sf):
-    aliases = spark.createDataFrame([(x,) for x in ("the of", "and the", "that", "licensed under", "de la")], "alias string")
+    aliases = table(spark, sf, "benchmark").select(F.array_join(F.slice(text.tokens(F.col("text")), 1, 2), " ").alias("alias")).distinct()
     return matching.alias_matches(table(spark, sf, "documents"), aliases, "text", "alias", ["doc_id"])
 
 
@@ -144,13 +144,13 @@ def rule_classes(spark, sf):
 
 
 @query("token_jaccard", """WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark), w AS (SELECT item_id, unnest(t) AS x FROM t), n AS (SELECT item_id, len(t) AS n FROM t)
-SELECT a.item_id AS a, b.item_id AS b, round(count(*)::DOUBLE / (x.n + y.n - count(*)), 4) AS jaccard FROM w a JOIN w b ON a.x = b.x AND a.item_id < b.item_id JOIN n x ON x.item_id = a.item_id JOIN n y ON y.item_id = b.item_id GROUP BY a.item_id, b.item_id, x.n, y.n HAVING count(*)::DOUBLE / (x.n + y.n - count(*)) >= 0.3""")
+SELECT a.item_id AS a, b.item_id AS b, round(count(*)::DOUBLE / (x.n + y.n - count(*)), 4) AS jaccard FROM w a JOIN w b ON a.x = b.x AND a.item_id < b.item_id JOIN n x ON x.item_id = a.item_id JOIN n y ON y.item_id = b.item_id GROUP BY a.item_id, b.item_id, x.n, y.n HAVING count(*)::DOUBLE / (x.n + y.n - count(*)) >= 0.1""")
 def token_jaccard(spark, sf):
     t = table(spark, sf, "benchmark").select("item_id", F.array_distinct(text.tokens(F.col("text"))).alias("t")).withColumn("n", F.size("t"))
     w = t.select("item_id", "n", F.explode("t").alias("x"))
     a, b = w.select(F.col("item_id").alias("a"), F.col("n").alias("m"), "x"), w.select(F.col("item_id").alias("b"), "n", "x")
     g = a.join(b, "x").where("a < b").groupBy("a", "b", "m", "n").agg(F.count("*").alias("c"))
-    return g.withColumn("j", F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).where("j >= 0.3").select("a", "b", F.round("j", 4).alias("jaccard"))
+    return g.withColumn("j", F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).where("j >= 0.1").select("a", "b", F.round("j", 4).alias("jaccard"))
 
 
 @query("vector_top", """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))), 6) AS score FROM embeddings, q)

@@ -107,10 +107,11 @@ def freshness(spark, sf):
     return j.groupBy(F.when(F.col("o_custkey").isNull(), "never").when(F.datediff("now", "last") > 180, "stale").otherwise("fresh").alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("upserted", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'REVIEWED' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0")
+@query("upserted", "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 480000) THEN 'REVIEWED' ELSE c_mktsegment END AS c_mktsegment FROM customer")
 def upserted(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    return quality.upserted(c.where("c_custkey % 2 = 0"), c.where("c_custkey % 3 = 0").withColumn("c_mktsegment", F.lit("REVIEWED")), "c_custkey")
+    new = table(spark, sf, "orders").where("o_totalprice > 480000").select(F.col("o_custkey").alias("c_custkey"), F.lit("REVIEWED").alias("c_mktsegment")).distinct()
+    return quality.upserted(c, new, "c_custkey")
 
 
 @query("snapshot_hash", "SELECT count(*) AS n, (sum(('0x' || substr(sha256(c_custkey || '|' || c_name), 1, 12))::HUGEINT) % 9007199254740992)::BIGINT AS digest FROM customer")

@@ -8,12 +8,15 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 
-def read_csv(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """All columns as text, a byte-order mark dropped, quotes doubled inside quotes."""
-    df = spark.read.option("header", True).option("sep", separator).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+def read_csv(spark: SparkSession, path: str, separator: str = ",", multi_line: bool = False) -> DataFrame:
+    """All columns as text, a byte-order mark dropped, quotes doubled inside quotes.
+
+    Files are split over tasks, unless quoted fields hold line ends (``multi_line``), when a file is one task.
+    """
+    df = spark.read.option("header", True).option("sep", separator).option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
     return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
 
 
@@ -25,6 +28,47 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, best)
 
 
+def read_csv_rows(spark: SparkSession, path: str, schema: str, start_row: int = 1, max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows from ``start_row`` on (the first is 1), ``max_rows`` at most, in two lanes: those of the schema, and the text of those that are not.
+
+    The number of a row is its place in the order of files and lines; a file may be read by many tasks.
+    """
+    typed = T.StructType.fromDDL(schema)
+    lines = spark.read.text(path)
+    header = lines.first()
+    parsed = F.from_csv("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "escape": '"', "columnNameOfCorruptRecord": "_corrupt_record"})
+    part = lines.where(F.col("value") != (header[0] if header else "")).select(parsed.alias("r")).select("r.*").withColumns({"_id": F.monotonically_increasing_id()}).withColumn("_part", F.shiftright("_id", 33))
+    before = part.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a task
+    rows = part.join(before, "_part").withColumn("_row", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    rows = rows.where(F.col("_row") >= start_row)
+    if max_rows is not None:
+        rows = rows.where(F.col("_row") < start_row + max_rows)
+    return rows.where("_corrupt_record IS NULL").select("_row", *typed.names), rows.where("_corrupt_record IS NOT NULL").select("_row", F.col("_corrupt_record").alias("line"))
+
+
+def import_csv(spark: SparkSession, folder: str, schema: str, to: str, checkpoint: str, key: str, files_a_batch: int = 1) -> list[int]:
+    """Imports the files of a folder as a stream of what is there, some files a batch; returns the rows of each batch.
+
+    Keys that came before are left out, so a repeated file adds nothing; a rerun goes on where the last one ended.
+    """
+    stream = spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", files_a_batch).csv(folder).dropDuplicates([key])
+    query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").option("path", to).start()
+    query.awaitTermination()
+    return [int(p["numInputRows"]) for p in query.recentProgress]
+
+
+def checked_bundle(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+    """(file, phase, state) of a bundle's ``manifest`` (file, phase, sha256, rows): ok, missing, changed or short; rows are lines less the header."""
+    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("_hash"), (F.size(F.split(F.rtrim(F.col("content").cast("string")), "\n")) - 1).alias("_rows"))
+    state = F.when(F.col("_hash").isNull(), "missing").when(F.col("_hash") != F.col("sha256"), "changed").when(F.col("_rows") < F.col("rows"), "short").otherwise("ok")
+    return manifest.join(files, "file", "left").select("file", "phase", state.alias("state"))
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A record a line; files are split over tasks."""
+    return spark.read.schema(schema).json(path)
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str, under: tuple[str, ...] = ("jobs", "items", "results", "data", "records", "rows")) -> DataFrame:
     """Records of a list, of the first of those fields that holds one, or a single record."""
     record = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
