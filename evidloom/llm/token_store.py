@@ -43,11 +43,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from evidloom.llm.scratch import new_path, small_batches
-from evidloom.llm.textvec import LOWER, mix, slabs, span_hashes
+from evidloom.llm.textvec import LOWER, give_back, mix, slabs, span_hashes
 
 _U = np.uint64
 ROLL, LEAST, MOST, MEAN = 16, 128, 2048, 512
-CACHED = 500_000  # words of which a worker holds the ids, and
+CACHED = 2_000_000  # words of which a worker holds the ids, and
 SENT = 50_000  # chunks that a task remembers to have sent
 DIGEST = 16
 
@@ -59,6 +59,8 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _SIGN = ~_SPACE & ~_LETTER
 _SIGN[0x80:] = False
 _SIGN[0x27] = False
+_LATIN = np.zeros(256, bool)
+_LATIN[[*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]] = True  # second bytes; the others are signs of arithmetic
 _CODES = mix(np.arange(1, (1 << 20) + 1, dtype=_U))  # of ids; larger vocabularies are refused
 
 
@@ -96,11 +98,13 @@ class Encoder:
         self.pool = np.zeros(0, np.int32)
 
     def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        """Adds the ids of words; those of letters only are encoded in one text and told apart by their ends."""
+        """Adds the ids of words, whose ``keys`` ascend; those of letters only are encoded in one text and told apart by their ends."""
         size = ends - starts
         n, at = np.zeros(len(keys), np.int32), np.zeros(len(keys), np.int32)
         rest = np.ones(len(keys), bool)
-        count = np.concatenate(([0], np.cumsum(_LETTER[data])))
+        # ASCII letters, and the letters from U+00C0 to U+00FF (in two bytes), which are in normal form whatever stands beside them.
+        lead = (data == 0xC3) & _LATIN[np.append(data[1:], 0)]
+        count = np.concatenate(([0], np.cumsum(_LETTER[data] | lead | np.concatenate(([False], lead[:-1])))))
         letters = np.flatnonzero(count[ends] - count[starts] == size)
         if len(letters):
             own = size[letters] + 1  # a space follows each
@@ -122,9 +126,8 @@ class Encoder:
             n[left] = [len(x) for x in ids]
             at[left] = len(self.pool) + np.cumsum(n[left]) - n[left]
             self.pool = np.concatenate([self.pool, np.array([i for x in ids for i in x], np.int32)])
-        order = np.argsort(keys)
-        into = np.searchsorted(self.keys, keys[order])
-        self.keys, self.at, self.n = np.insert(self.keys, into, keys[order]), np.insert(self.at, into, at[order]), np.insert(self.n, into, n[order])
+        into = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.n = np.insert(self.keys, into, keys), np.insert(self.at, into, at), np.insert(self.n, into, n)
 
     def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Spans that the tokenizer's pattern never joins: cut at spaces, and between ASCII letters and signs."""
@@ -144,6 +147,11 @@ class Encoder:
             which, keys = pd.factorize(span_hashes(LOWER[slab.data] if self.folds else slab.data, starts, ends))
             first = np.empty(len(keys), np.int64)
             first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+            order = np.argsort(keys)
+            keys, first = keys[order], first[order]
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            which = rank[which]
             if len(self.keys) + len(keys) > CACHED:
                 self._clear()
             at = np.searchsorted(self.keys, keys)
@@ -264,7 +272,7 @@ def _encoded(path: str, end_id: int):
             for ids, stops in encoder.documents(batch.column("text"), end_id):
                 chunks, recipes = [], []
                 marks = chunk_marks(ids)
-                raw, size = memoryview(ids.astype(width).tobytes()), np.dtype(width).itemsize
+                raw, size = ids.astype(width).tobytes(), np.dtype(width).itemsize
                 starts = np.concatenate(([0], stops[:-1]))
                 low, high = np.searchsorted(marks, starts + ROLL).tolist(), np.searchsorted(marks, stops).tolist()
                 marks = marks.tolist()
@@ -283,6 +291,8 @@ def _encoded(path: str, end_id: int):
                     recipes.append((row, next(doc_ids), stop - start, b"".join(digests), lengths, merkle(digests)))
                     row += 1
                 yield table(chunks, recipes)
+                del chunks, recipes, raw, ids
+            give_back()
 
     return run
 
