@@ -80,8 +80,9 @@ def secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     part = lambda kind, of: F.transform(of, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     parts = F.when(weak, F.concat(part("part", "part"), part("part", "assign_short"), part("id", "id"), part("endpoint", "endpoint"), part("access", "access")))
     base = F.concat(_named("assign", 0, "assign"), _named("access", 1, "access"), _named("hex", 2, "hex"))
-    rows = df.select("_row", "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")], base.alias("base"), F.explode_outer(parts).alias("x"))
-    rows = rows.select("_row", "doc_id", "n_assign", "n_access", "n_hex", "base", "x.*")
+    rows = df.select("_row", "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")], base.alias("base"), F.posexplode_outer(parts).alias("at", "x"))
+    # The strong spans go along with the first part only, so a document's rows follow its parts, not parts times spans.
+    rows = rows.select("_row", "doc_id", "n_assign", "n_access", "n_hex", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("base")).alias("base"), "x.*")
 
     near = Window.partitionBy("_row").orderBy("start").rangeBetween(-scope, scope)
     there = lambda kind: F.coalesce(F.max(F.col("kind") == kind).over(near), F.lit(False))
@@ -89,5 +90,5 @@ def secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     rows = rows.withColumn("linked", F.col("linked") | (F.col("kind").isin("id", "endpoint") & F.coalesce(F.max("linked").over(near), F.lit(False))))
     order = F.when(F.col("kind") == "id", 3).when(F.col("kind") == "part", 4).otherwise(5)
     linked = F.when(F.col("linked"), F.struct("start", order.alias("place"), "end", F.concat(F.lit("linked_"), "kind").alias("kind")))
-    out = rows.groupBy("_row").agg(*[F.first(c).alias(c) for c in ("doc_id", "n_assign", "n_access", "n_hex", "base")], F.collect_list(linked).alias("linked"))
+    out = rows.groupBy("_row").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("doc_id", "n_assign", "n_access", "n_hex", "base")], F.collect_list(linked).alias("linked"))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", _text_of(F.col("base")).alias("base"), _text_of(F.concat("base", "linked")).alias("spans"))
