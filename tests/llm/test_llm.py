@@ -6,10 +6,12 @@ import hashlib
 import itertools
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from evidloom.llm import decontaminate, fingerprints, language, mixing, ngram_join, quality, queries, secret_scan, token_store, toxicity, url_filter
@@ -64,30 +66,68 @@ def test_fingerprints(spark, odd, none):
     assert a == d and share(a, b) > 0.8 > 0.3 > share(a, c)
 
 
-def test_fingerprint_by_brute_force(spark):
-    """Picks, order and repeats of a text, against the definition."""
-    text = "a b c a b c a b c d e f g a b c"
-    m = 8
-    df = spark.createDataFrame([(text,)], "text string")
-    sig = fingerprints.with_signature(df, "text", "sig", components=m).first().sig
-    words = text.split()
-    hashes = [r[0] for r in spark.createDataFrame([tuple(words[i : i + 3]) for i in range(len(words) - 2)], "x string, y string, z string").select(F.xxhash64("x", "y", "z")).collect()]
-    seen, rows = {}, []
-    for at, h in enumerate(hashes, 1):
-        c = seen[h >> 24] = seen.get(h >> 24, -1) + 1
-        rows.append((h >> 24, c, at))
-    numbered = spark.createDataFrame([r for r in rows if r[1]], "h long, c int, at int").select("at", F.xxhash64("h", "c").alias("k")).collect()
-    renamed = {r["at"]: r.k >> 24 for r in numbered}
-    items = sorted((renamed.get(at, h), at) for h, _, at in rows)
-    mask = (1 << 40) - 1
-    tuples = []
-    for j in range(m):
-        low = (-(1 << 63) + j * ((1 << 64) // m)) >> 24
-        first = sum(h < low for h, _ in items)
-        pair = sorted(((items[(first + i) % len(items)]) for i in range(2)), key=lambda x: x[1])
-        tuples.append(tuple(h & mask for h, _ in pair))
-    want = [r[0] for r in spark.createDataFrame([(j, *t) for j, t in enumerate(tuples)], "j int, a long, b long").orderBy("j").select(F.xxhash64("a", "b")).collect()]
-    assert sig == want
+def _xxh(*values: int | str, seed: int = 42) -> int:
+    """Spark's xxhash64 of strings, 64-bit numbers, and places (given as 1-tuples, of 32 bits)."""
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v)
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def brute_signature(text: str, functions: int, turns: int) -> list[int] | None:
+    """Order MinHash by its definition: k-mers told apart as such, picks by sorting."""
+    symbols = re.findall(r"[^\x20\x09-\x0D]{1,8}", text)
+    if not symbols:
+        return None
+    seen, items = {}, []
+    for at in range(max(1, len(symbols) - 2)):
+        kmer = tuple(symbols[at : at + 3])
+        c = seen[kmer] = seen.get(kmer, -1) + 1
+        h = _xxh(*kmer)
+        items.append((at, _xxh(h, (c,)) if c else h))
+    out = []
+    for f in range(functions):
+        order = sorted((_xxh(h, (f,)), at, h) for at, h in items)
+        for j in range(turns):
+            first = sum(o[0] < -(1 << 63) + j * ((1 << 64) // turns) for o in order)
+            pair = sorted((order[(first + i) % len(order)][1:]) for i in range(2))
+            out.append(_xxh(*[h for _, h in pair]) & 0xFFFFFFFF)
+    return out
+
+
+def _alike(a, b) -> float:
+    return float(a is b is None) if a is None or b is None else sum(x == y for x, y in zip(a, b, strict=True)) / len(a)
+
+
+def test_fingerprint_query_by_brute_force(spark):
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcdefg") * r.randint(1, 11) for _ in range(n)) for n in (0, 1, 2, 3, 5, 30, 200, 7, 60)] + ["a b c a b c a b c d e f g a b c", "same", "same", "é𝄞 ü x y z"]
+    got = {x.doc_id: x for x in fingerprints.edit_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    show = lambda s: "-" if s is None else "".join(f"{x:08x}" for x in s)
+    for k, t in enumerate(texts):
+        after = texts[(k + 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        own, new, following = (brute_signature(x, fingerprints.COMPONENTS // fingerprints.TURNS, fingerprints.TURNS) for x in (t, edited, after))
+        assert (got[k].n_chars, got[k].fingerprint, got[k].edited_fingerprint) == (len(t), show(own), show(new))
+        assert (got[k].near_edited, got[k].near_next) == (_alike(own, new), _alike(own, following))
+
+
+@pytest.mark.parametrize("size", (25, 150))
+def test_fingerprint_error_beside_independent_orders(size):
+    """Likeness by few orders read at several points errs little more than by an order for each component."""
+    r = random.Random(size)
+    few, each = [], []
+    for _ in range(15):
+        words = [f"w{r.randint(0, 500)}" for _ in range(size)]
+        edited = list(words)
+        for _ in range(size // 25):
+            edited[r.randrange(size)] = "new"
+        pair = " ".join(words), " ".join(edited)
+        truth = _alike(*[brute_signature(t, 300, 1) for t in pair])
+        few.append(_alike(*[brute_signature(t, fingerprints.COMPONENTS // fingerprints.TURNS, fingerprints.TURNS) for t in pair]) - truth)
+        each.append(_alike(*[brute_signature(t, fingerprints.COMPONENTS, 1) for t in pair]) - truth)
+    error = lambda e: float(np.sqrt(np.mean(np.square(e))))
+    assert abs(np.mean(few)) < 0.06 and error(few) < 0.15 and error(few) < 2 * error(each) + 0.02
 
 
 def test_token_store(spark, odd, none, tmp_path):
@@ -363,6 +403,14 @@ def test_secrets(spark, odd, none):
     assert secret_scan.secrets(odd).count() == len(ODD) and secret_scan.secrets(none).count() == 0
 
 
+def test_secrets_of_one_crowded_document(spark):
+    """Strong spans and weak parts by the ten thousand in one text; time and rows follow their number."""
+    text = "token=abcdefghijkl1 pwd=abcdefg user=someone http://h.example/x\n" * 10_000
+    r = secret_scan.secrets(spark.createDataFrame([(1, text), (2, "nothing")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert r[0].n_assign == 10_000 and r[0].spans.count("linked_part") == 10_000 and r[1].spans == ""
+    assert r[0].base.split(",")[1] == f"assign:{len(text) // 10_000}:{len(text) // 10_000 + 19}"
+
+
 def test_url_filter(spark):
     link = '<link href="{}" rel="canonical">'
     pages = [(1, "https://Bad.example.org/es/1?x=1", ""), (2, "http://other.net/a", link.format("https://bad.example.org/es/1?x=1")), (3, "http://third.net/b#top", '<META http-equiv=refresh content="0; url=http://other.net/a">'), (4, "http://ok.org/c", link.format("//third.net/b")), (5, None, None), (6, "mailto:x", "x"), (7, "http://lone.net", link.format("/")), (8, "http://fourth.net/d", ""), (8, "http://fourth.net/d", "")]
