@@ -144,12 +144,13 @@ def fit(docs: DataFrame, learnt: Column, per_language: int = PER_LANGUAGE) -> Mo
     chosen = parts[0]
     for p in parts[1:]:
         chosen = chosen.union(p)
-    texts = known.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("lang", "text")
+    # A row an id and language, so that an id that very many rows have stays one; the shuffle also sets the scan apart from what follows.
+    texts = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
     families: dict[str, list[str]] = {}
     for v in languages:
         families.setdefault(family(v), []).append(v)
     of_family = F.create_map(*[F.lit(x) for v in languages for x in (v, family(v))])
-    rows = texts.mapInArrow(_vectors, "lang string, x array<double>").select("lang", of_family[F.col("lang")].alias("family"), array_to_vector("x").alias("x")).coalesce(4).cache()
+    rows = texts.mapInArrow(_vectors, "lang string, x array<double>").select("lang", of_family[F.col("lang")].alias("family"), array_to_vector("x").alias("x")).cache()
     duels = {"": _duels(rows, "family", sorted(families))}
     for name, members in families.items():
         duels[name] = _duels(rows.where(F.col("family") == name), "lang", members)

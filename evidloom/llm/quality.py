@@ -11,7 +11,8 @@ weighed back to the frequencies of the labels.
 
 Documents are only scanned; nothing is shuffled but ids of labels. A null text is the empty one
 and, like any text without terms, gets the frequency of label 1 as its score. Without labels
-every score is 0.5. Labels given twice count once, as the least.
+every score is 0.5. Labels given twice count once, as the least, and so do texts given twice to an
+id, in learning. Of neighbours that are alike at the last place any may vote.
 """
 
 from __future__ import annotations
@@ -110,7 +111,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnt: Colu
     n, ones = known.agg(F.count("*"), F.sum("label")).first()
     parts = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for v in (0, 1)]
     chosen = F.broadcast(parts[0].union(parts[1]))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id"), (ones / n if n else 0.5)
+    # A row an id, of the least text, so that an id that very many rows have stays one.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return rows, (ones / n if n else 0.5)
 
 
 def _count_rows(batches):
