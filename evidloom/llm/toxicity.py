@@ -24,7 +24,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evidloom.llm.quality import held_out, labelled_sample
-from evidloom.llm.textvec import LOWER, WORD, Slab, byte_class, slabs, span_hashes, words
+from evidloom.llm.textvec import LOWER, WORD, Slab, byte_class, shingles, slabs, span_hashes, words
 
 SAMPLE = 6000
 STEMS = 300
@@ -125,18 +125,19 @@ def features(slab: Slab, known: Words) -> np.ndarray:
 
 
 def _stem_rows(batches):
-    """The distinct stems of each sampled text, and a name that near copies share."""
+    """The distinct stems of each sampled text, and a name that near copies share: the least hash of its runs of three words."""
     for batch in batches:
         stems, name = [], []
         for slab in slabs(batch.column("text")):
             w, data = words(slab, WORD)
             h = span_hashes(data, w.starts, w.ends)
             raw = data.tobytes()
+            grams, at = shingles(h, w.offsets, 3)
             for d in range(len(slab)):
                 a, b = w.offsets[d], w.offsets[d + 1]
                 stems.append(sorted({raw[s : s + k].hex() for s, e in zip(w.starts[a:b].tolist(), w.ends[a:b].tolist(), strict=True) for k in STEM_BYTES if e - s >= k}))
-                name.append(int(h[a:b].min().view(np.int64)) if b > a else 0)
-        yield pa.record_batch([batch.column("label"), pa.array(name, pa.int64()), pa.array(stems, pa.list_(pa.string()))], names=["label", "name", "stems"])
+                name.append(int(grams[at[d] : at[d + 1]].min().view(np.int64)) if b > a else 0)
+        yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array(name, pa.int64()), pa.array(stems, pa.list_(pa.string()))], names=["doc_id", "label", "name", "stems"])
 
 
 def learn_stems(texts: DataFrame) -> dict[int, np.ndarray]:
@@ -144,7 +145,7 @@ def learn_stems(texts: DataFrame) -> dict[int, np.ndarray]:
 
     Of stems that start alike the shortest that is as telling stays.
     """
-    rows = texts.mapInArrow(_stem_rows, "label int, name long, stems array<string>").dropDuplicates(["label", "name"])
+    rows = texts.select("doc_id", "label", "text").mapInArrow(_stem_rows, "doc_id long, label int, name long, stems array<string>").groupBy("label", "name").agg(F.min_by("stems", "doc_id").alias("stems"))
     total = dict(rows.groupBy("label").count().collect())
     if set(total) < {0, 1}:
         return {k: np.zeros(0, np.uint64) for k in STEM_BYTES}
@@ -198,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnt: Column, sample: int = SAMPLE
     texts, frequency = labelled_sample(docs, labels, "toxic", learnt, sample)
     texts = texts.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4))).cache()
     known = Words(_hash_words(LEXICON), _hash_words(SECOND_PERSON), learn_stems(texts.where("fold <> 0")))
-    rows = with_features(texts.select("label", "fold", "text"), known).drop("text").withColumn("label", F.col("label").cast("double")).coalesce(4).cache()
+    rows = with_features(texts.select("label", "fold", "text"), known).drop("text").withColumn("label", F.col("label").cast("double")).cache()
     kinds = {(r.part, r.label): r["count"] for r in rows.groupBy((F.col("fold") == 0).alias("part"), "label").count().collect()}
     model = Model(known, None, None, frequency if kinds else 0.0)
     if all(kinds.get((part, v), 0) for part in (True, False) for v in (0.0, 1.0)):
