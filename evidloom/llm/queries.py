@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidloom.llm import secret_scan
+from evidloom.llm import secret_scan, url_filter
 from evidloom.llm.decontaminate import contamination
 from evidloom.llm.fingerprints import edit_fingerprints
 from evidloom.llm.language import language
@@ -148,6 +148,34 @@ FROM w LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+def _url_sql() -> str:
+    """Verdicts by rules, and by a closure over the pages' canonical links and refreshes."""
+    up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    host = lambda u: f"translate(coalesce(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), ''), '{up}', '{low}')"
+    path = lambda u: f"coalesce(regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+    rest = lambda u: f"regexp_extract({u}, '(?s)^.*?://[^/?#]*([^#]*)', 1)"
+    resource = lambda u: f"CASE WHEN {host(u)} <> '' THEN {host(u)} || CASE WHEN {rest(u)} = '' THEN '/' ELSE {rest(u)} END END"
+    rules = sorted(RULES, key=lambda r: (-len(r.name), r.allow))
+    fits = lambda r, u: f"({host(u)} = '{r.host}' OR ends_with({host(u)}, '.{r.host}')) AND starts_with({path(u)}, '{r.path}')"
+    pick = lambda u, value: "CASE " + " ".join(f"WHEN {fits(r, u)} THEN {value(r)}" for r in rules) + " END"
+    allowed = lambda u: pick(u, lambda r: str(r.allow).lower())
+    q = lambda p: p.replace("'", "''")
+    tags = lambda tag, kind, to: f"list_filter(list_transform(list_filter(regexp_extract_all(html, '{q(tag)}'), lambda t: regexp_matches(t, '{q(kind)}')), lambda t: regexp_extract(t, '{q(to)}', 1)), lambda u: u <> '')"
+    origin = "regexp_extract(a, '(?s)^.*?://[^/?#]*', 0)"
+    folder = f"{origin} || coalesce(nullif(regexp_extract({path('a')}, '(?s)^.*/', 0), ''), '/')"
+    absolute = f"CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(a, '(?s)^(.*?:)//', 1) || t WHEN starts_with(t, '/') THEN {origin} || t ELSE {folder} || t END"
+    return f"""
+WITH RECURSIVE t AS (SELECT url AS a, unnest(list_concat({tags(url_filter.LINK, url_filter.CANONICAL, url_filter.HREF)}, {tags(url_filter.META, url_filter.REFRESH, url_filter.MOVED)})) AS t FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+l AS (SELECT a, {absolute} AS b FROM t), e AS (SELECT a, b, {resource('a')} AS ra, {resource('b')} AS rb FROM l),
+u AS (SELECT ra, rb FROM e WHERE ra <> rb UNION SELECT rb, ra FROM e WHERE ra <> rb), r AS (SELECT ra AS x, ra AS y FROM u UNION SELECT r.x, u.rb FROM r JOIN u ON r.y = u.ra),
+n AS (SELECT {resource('url')} AS y FROM pages WHERE NOT {allowed('url')} UNION SELECT {resource('x')} FROM (SELECT a AS x FROM e WHERE ra <> rb UNION SELECT b FROM e WHERE ra <> rb) WHERE NOT {allowed('x')}),
+bad AS (SELECT DISTINCT x FROM r JOIN n ON r.y = n.y)
+SELECT page_id, {host('url')} AS host, {path('url')} AS path, {pick('url', lambda r: f"'{r.name}'")} AS rule, CASE WHEN coalesce({allowed('url')}, {resource('url')} NOT IN (SELECT x FROM bad), true) THEN 'allow' ELSE 'block' END AS verdict FROM pages"""
+
+
+SQL["op10_url_filter"] = _url_sql()
+
+
 def _spans_sql(kind: str, pattern: str, group: int, low: int, high: int | None = None) -> str:
     """Rows (doc_id, kind, s, e) of the matches of which ``group`` has low (to high) characters."""
     p = pattern.replace("'", "''")

@@ -62,12 +62,19 @@ def resource(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(host_of(url), F.when(rest == "", "/").otherwise(rest)))
 
 
+LINK, CANONICAL, HREF = r"(?is)<link\b[^>]*>", r"""(?i)\brel\s*=\s*["']?canonical\b""", r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
+META, REFRESH, MOVED = r"(?is)<meta\b[^>]*>", r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b""", r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
+
+
 def _target(html: Column) -> Column:
     """URLs that a page says it is the same as."""
-    attr = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
-    refresh = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
-    canonical = F.when(html.contains("anonical") | html.contains("ANONICAL"), F.regexp_extract_all(html, F.lit(attr), F.lit(1)))
-    moved = F.when(html.contains("efresh") | html.contains("EFRESH"), F.regexp_extract_all(html, F.lit(refresh), F.lit(1)))
+
+    def found(tag: str, kind: str, target: str) -> Column:
+        tags = F.filter(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: t.rlike(kind))
+        return F.filter(F.transform(tags, lambda t: F.regexp_extract(t, target, 1)), lambda u: u != "")
+
+    canonical = F.when(html.contains("anonical") | html.contains("ANONICAL"), found(LINK, CANONICAL, HREF))
+    moved = F.when(html.contains("efresh") | html.contains("EFRESH"), found(META, REFRESH, MOVED))
     none = F.array().cast("array<string>")
     return F.concat(F.coalesce(canonical, none), F.coalesce(moved, none))
 

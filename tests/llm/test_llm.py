@@ -422,3 +422,41 @@ def test_url_filter(spark):
     assert got[5] == ("", "", None, "allow") == got[6] and got[7] == ("lone.net", "", None, "allow")
     assert url_filter.judged(df, queries.RULES).where("page_id = 8 AND verdict = 'allow'").count() == 2
     assert url_filter.judged(df.limit(0), queries.RULES).count() == 0
+
+
+def test_url_filter_of_many_aliases(spark, duck):
+    """Chains, a hub and lone pages by canonical links and refreshes, against a union by hand and the SQL."""
+    r = random.Random(9)
+    url = lambda k: f"HTTP://h{k}.example.net/p/{k}?q=1" if k % 3 else f"https://h{k}.example.com/en/{k}"
+    link = lambda to: r.choice([f'<LINK href="{to}" Rel=canonical>', f"<link rel='canonical' href='{to}'>", f'<meta http-equiv="refresh" content="0; url={to}">'])
+    pages, joined = [], []
+    for k in range(900):
+        to = 0 if k < 300 else k + 1 if k < 600 and k % 50 != 49 else None  # a hub, then chains of fifty
+        pages.append((k, url(k), f"<html>{link(url(to))} x</html>" if to is not None else "<html></html>"))
+        joined += [(k, to)] if to is not None else []
+    bad = {10: "http://a.com/de/1#f", 320: "http://example.org/es/x", 700: "http://b.com/de/2"}
+    allow = {40: "http://c.com/fr/1", 330: "http://example.org/other", 720: "http://d.org/", 100: "https://e.com/fr/"}
+    for k, u in {**bad, **allow}.items():
+        pages += [(1000 + k, u, f"<html>{link(url(k))}</html>")]
+        joined.append((1000 + k, k))
+    pages += [(2000, None, "x"), (2001, "no scheme", None), (2002, url(5) + "#part", None), (2003, "http://z.com/" + "y" * 100_000, "<link rel=canonical>")]
+    group = {p[0]: p[0] for p in pages}
+
+    def top(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for a, b in joined:
+        group[top(a)] = top(b)
+    blocked = {top(1000 + k) for k in bad}
+    want = {p[0]: "allow" if p[0] - 1000 in allow or top(p[0]) not in blocked else "block" for p in pages} | {2002: "block" if top(5) in blocked else "allow"}
+    df = spark.createDataFrame([(*p, "x", "y", "z") for p in pages], "page_id long, url string, html string, host string, path string, rule string")
+    got = url_filter.judged(df, queries.RULES).toPandas()
+    assert dict(zip(got.page_id, got.verdict, strict=True)) == want and "block" in set(want.values())
+    one = duck.cursor()
+    given = df.select("page_id", "url", "html").toPandas()
+    one.register("generated", given)
+    by_sql = one.execute(queries.SQL["op10_url_filter"].replace("FROM pages", "FROM generated")).df()
+    assert normal(got).equals(normal(by_sql))
+    assert url_filter.judged(df.limit(0), queries.RULES).count() == 0
