@@ -219,6 +219,107 @@ def test_quality_is_right_on_held_out(spark, sf_dir):
     assert sum(r.predicted == r.quality for r in held) / len(held) >= 0.9
 
 
+def brute_quality(model, text: str) -> float:
+    """Trigrams of byte classes and repeats counted one by one, cosines with all labelled vectors, votes of the nearest."""
+    raw = text.encode()
+    c = [int(x) for x in quality._CLASS[np.frombuffer(raw, np.uint8)]] if raw else []
+    counts = np.zeros(quality.TERMS + 8)
+    for i in range(len(c) - 2):
+        counts[(((c[i] * 3 + c[i + 1] * 5 + c[i + 2] * 7) % 2**64) * 0x9E3779B97F4A7C15 % 2**64) >> 54] += 1
+    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), raw))
+    for k in range(1, 8):
+        counts[quality.TERMS + k - 1] = sum(a == b for a, b in zip(words[k:], words, strict=False))
+    counts[-1] = len(words) - len(set(words))
+    x = np.sqrt(counts) * model.idf
+    x = x / max(np.linalg.norm(x), 1e-9) @ model.directions
+    cosine = model.vectors @ (x / max(np.linalg.norm(x), 1e-9))
+    near = np.argsort(-cosine, kind="stable")[: model.neighbours]
+    share = model.labels.mean()
+    weight = np.maximum(cosine[near], 0) ** 8 * np.where(model.labels[near] == 1, model.frequency / share, (1 - model.frequency) / (1 - share))
+    return float((weight * model.labels[near]).sum() / weight.sum()) if weight.sum() > 1e-9 else model.frequency
+
+
+def test_quality_by_brute_force(spark, sf_dir):
+    docs, marks = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs, marks, "quality", ~quality.held_out("doc_id", 3, 1))
+    got = {r.doc_id: r.score for r in quality.quality(docs, marks).collect()}
+    off = [abs(got[r.doc_id] - brute_quality(model, r.text or "")) for r in docs.select("doc_id", "text").collect()]
+    assert np.mean(np.array(off) < 1e-3) > 0.98  # single precision moves which neighbour is last
+
+
+def test_samples_do_not_grow_with_repeated_rows(spark):
+    docs = spark.range(20_000).selectExpr("CASE WHEN id < 10000 THEN 1 ELSE id END AS doc_id", "'text ' || id AS text", "CASE WHEN id < 10050 THEN 'en' ELSE 'de' END AS lang")
+    marks = spark.createDataFrame([(1, 1, 0), (10_001, 0, 1)], "doc_id long, quality int, toxic int")
+    rows, frequency = quality.labelled_sample(docs, marks, "quality", F.lit(True), 6000)
+    assert rows.count() == 2 and frequency == 0.5
+    assert language.fit(docs, F.lit(True), 50).families == {"germanic": ["de", "en"]}
+
+
+def brute_language(model, text: str) -> str:
+    raw = [int(x) for x in language._LETTER[np.frombuffer((text or "").encode(), np.uint8)]]
+    if not any(ch.isalpha() for ch in text or ""):
+        return "und"
+    x = np.zeros(2 * language.TERMS)
+    for k in (2, 3):
+        for i in range(len(raw) - k + 1):
+            if raw[i] != 32 or raw[i + 1] != 32:
+                code = sum(raw[i + j] << 8 * j for j in range(k))
+                x[(k - 2) * language.TERMS + ((code * 0x9E3779B1 % 2**32) >> 23)] += 1
+    x = np.sqrt(x) / max(np.linalg.norm(np.sqrt(x)), 1e-9)
+
+    def best(names, duels):
+        wins, margins = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0)
+        for d in duels:
+            m = float(x @ d.weights + d.bias)
+            wins[d.first if m > 0 else d.second] += 1
+            margins[d.first] += m
+            margins[d.second] -= m
+        return max(names, key=lambda n: (wins[n], margins[n]))
+
+    family = best(sorted(model.families), model.duels[""])
+    return best(model.families[family], model.duels[family])
+
+
+def test_language_by_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language.fit(docs, ~quality.held_out("doc_id", 5, 0))
+    got = {r.doc_id: r.lang_pred for r in language.language(docs).collect()}
+    same = [got[r.doc_id] == brute_language(model, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert np.mean(same) > 0.98
+
+
+def test_toxicity_features_by_brute_force():
+    import pyarrow as pa
+
+    from evidloom.llm.textvec import slabs
+
+    texts = ["You are a STUPID idiot!! 1d1ot", "Nothing here, 12 signs.", "", "dumm du dumm", "plain words only " * 30]
+    known = toxicity.Words(toxicity._hash_words(toxicity.LEXICON), toxicity._hash_words(toxicity.SECOND_PERSON), {k: np.zeros(0, np.uint64) for k in toxicity.STEM_BYTES})
+    got = np.concatenate([toxicity.features(s, known) for s in slabs(pa.array(texts))])
+    for row, text in zip(got, texts, strict=True):
+        w = re.findall(r"[0-9a-z\u0080-\uffff]+", text.lower())
+        raw = max(len(text.encode()), 1)
+        bad = [x in toxicity.LEXICON for x in w]
+        you = [x in toxicity.SECOND_PERSON for x in w]
+        near = [bad[i] and any(you[max(0, i - toxicity.NEAR) : i] + you[i + 1 : i + 1 + toxicity.NEAR]) for i in range(len(w))]
+        n = max(len(w), 1)
+        want = [sum(bad) / n, np.log1p(sum(bad)), 0, 0, sum(near) / n, sum(you) / n, sum(c.isupper() for c in text) / max(sum(c.isalpha() for c in text), 1), text.count("!") / raw]
+        assert row[:8].tolist() == pytest.approx(want) and row[9] == pytest.approx(sum(c.isdigit() for c in text) / raw)
+    assert got[0, 11] > 0  # the insult written with figures
+
+
+def test_toxic_documents_are_found(spark):
+    """On held-out rows both toxic and clean documents are told, which no constant does."""
+    sf = "/root/testdata/sf0.01"
+    try:
+        marks = spark.read.parquet(f"{sf}/labels.parquet")
+    except Exception:
+        pytest.skip("no test data here")
+    out = toxicity.toxicity(spark.read.parquet(f"{sf}/documents.parquet"), marks).where("held_out").join(marks, "doc_id")
+    rows = {(r.toxic, r.predicted): r["count"] for r in out.groupBy("toxic", "predicted").count().collect()}
+    assert rows.get((1, 1), 0) >= 2 * rows.get((1, 0), 0) and rows.get((0, 1), 0) <= 0.02 * rows[0, 0]
+
+
 def test_toxicity(spark, odd, none, labels, sf_dir):
     out = toxicity.toxicity(odd, labels).collect()
     assert len(out) == len(ODD) and all(0 <= r.score <= 1 for r in out)
