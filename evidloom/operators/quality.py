@@ -96,6 +96,25 @@ def regression_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.round(F.avg(F.abs(e)), 4).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse"), F.round(F.avg(F.when(F.abs(F.col(truth)) + F.abs(F.col(predicted)) > 0, 2 * F.abs(e) / (F.abs(F.col(truth)) + F.abs(F.col(predicted)))).otherwise(0.0)), 4).alias("smape"))
 
 
+def nearest_rank(df: DataFrame, group: str | None, value: str, share: float, bins: int = 4096) -> DataFrame:
+    """(group, value): the least value that at least that share of a group's rows does not exceed.
+
+    Values are counted first, then summed by bins between approximate percentiles, and only the
+    values of the bin in which the rank falls are ordered. So no task holds a group's values.
+    """
+    keys = [group] if group else []
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    ends = counts.groupBy(*keys).agg(F.min(value).alias("_a"), F.max(value).alias("_b"), F.sum("_n").alias("_all"))
+    on = (lambda a, b: a.join(b, keys)) if keys else (lambda a, b: a.join(F.broadcast(b)))
+    binned = on(counts, ends).withColumn("_rank", F.ceil(F.col("_all") * F.lit(share))).withColumn("_bin", F.when(F.col("_b") > F.col("_a"), F.least(F.floor((F.col(value) - F.col("_a")) / (F.col("_b") - F.col("_a")) * bins), F.lit(bins - 1))).otherwise(0))
+    sums = binned.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_m"), F.first("_rank").alias("_r"))
+    w = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # a row a bin
+    at = sums.withColumn("_before", F.coalesce(F.sum("_m").over(w), F.lit(0))).where("_before < _r AND _before + _m >= _r").select(*keys, "_bin", "_before")
+    inside = binned.join(at, [*keys, "_bin"])
+    run = F.sum("_n").over(Window.partitionBy(*keys).orderBy(value)) + F.col("_before")
+    return inside.withColumn("_run", run).where("_run >= _rank").groupBy(*keys).agg(F.min(value).alias(value))
+
+
 def winsorised(df: DataFrame, columns: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Columns held between one pair of percentiles over all of them together."""
     pooled = df.select(F.explode(F.array(*[F.col(c).cast("double") for c in columns])).alias("v"))

@@ -16,10 +16,12 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where that is unset (tests)."""
+    """spark.checkpoint.dir of the session; a temporary folder only where that is unset on one machine (tests)."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="evidloom-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
