@@ -33,7 +33,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         # Large star: greater neighbours of u move to the least of u and its neighbours.
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")  # at most a row an edge; made distinct below
         large, p1 = written(large, "large")
         # Small star: lesser neighbours of u, and u, move to the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
