@@ -3,6 +3,10 @@
 Documents of low quality go; one of each group of near copies stays; passages of the benchmark
 go, with the documents that they mostly make up; sources are mixed to their weights, which
 repeats or leaves out documents; and the rest is stored as token ids, checked by reading back.
+
+Documents without doc_id stay through all stages. Rows that repeat a doc_id with one text become one in
+the second stage. Null and empty texts are scored, linked with nothing, and stored as their end id, unless
+a stage's rule drops them. Columns of any names go through up to the last stage; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from evidloom.llm.mixing import mixed
 from evidloom.llm.ngram_join import one_of_each_group
 from evidloom.llm.quality import good_documents
 from evidloom.llm.queries import tokenizer_path
-from evidloom.llm.scratch import written
+from evidloom.llm.scratch import remove, written
 from evidloom.llm.token_store import token_store
 
 
@@ -47,12 +51,15 @@ STAGES = [
     ("token_store", store_tokens),
 ]
 
-#: The quality stage is learnt, which SQL cannot express; tests hold the stages against brute force.
+#: The quality stage is learnt, which SQL cannot express; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs, _ = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last:
+            remove(spark, last)
+        last = path
     return docs
