@@ -36,6 +36,24 @@ def alias_matches(texts: DataFrame, aliases: DataFrame, text: str, alias: str, k
     return hit.groupBy(*key, alias).agg(F.count("*").alias("hits"), F.min("_i").alias("first_at"))
 
 
+def jaccard_pairs(sets: DataFrame, key: str, items: str, least: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs of rows whose sets are that alike.
+
+    Such sets share one of the first ``n - ceil(least n) + 1`` of their items, rarest first; only those
+    are joined, and the sets of the pairs found are then compared.
+    """
+    rows = sets.select(F.col(key).alias("_k"), F.col(items).alias("_s")).where(F.size("_s") > 0)
+    each = rows.select("_k", F.size("_s").alias("_n"), F.explode("_s").alias("_x"))
+    rare = each.join(each.groupBy("_x").agg(F.count("*").alias("_df")), "_x")
+    place = F.row_number().over(Window.partitionBy("_k").orderBy("_df", "_x"))
+    prefix = rare.withColumn("_at", place).where(F.col("_at") <= F.col("_n") - F.ceil(F.col("_n") * F.lit(least)) + 1).select("_k", "_x")
+    a, b = prefix.select(F.col("_k").alias("a"), "_x"), prefix.select(F.col("_k").alias("b"), "_x")
+    pairs = a.join(b, "_x").where("a < b").select("a", "b").distinct()
+    both = pairs.join(rows.select(F.col("_k").alias("a"), F.col("_s").alias("_sa")), "a").join(rows.select(F.col("_k").alias("b"), F.col("_s").alias("_sb")), "b")
+    shared = F.size(F.array_intersect("_sa", "_sb"))
+    return both.select("a", "b", (shared / (F.size("_sa") + F.size("_sb") - shared)).alias("jaccard")).where(F.col("jaccard") >= least)
+
+
 def containing_range(points: DataFrame, ranges: DataFrame, group: str, point: str, start: str, end: str, take: list[str]) -> DataFrame:
     """For each point the latest range of its group that starts at or before it, and whether it contains it.
 

@@ -57,11 +57,27 @@ def binary_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return c.select("tn", "fp", "fn", "tp", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(safe(2 * p * r, p + r), 4).alias("f1"), F.round(safe(tp + tn, tp + tn + fp + fn), 4).alias("accuracy"), F.round((r + safe(tn, tn + fp)) / 2, 4).alias("balanced"))
 
 
+def running(g: DataFrame, order: str, columns: list[str], bins: int = 1024) -> DataFrame:
+    """``g``, a row a value of ``order``, with the sum of each column over lesser values as ``_below_`` and its name.
+
+    Sums are taken by equal-width bins first (a row a bin), then within each bin, so no task orders all values.
+    """
+    ends = g.agg(F.min(order).alias("_a"), F.max(order).alias("_b"))
+    at = F.when(F.col("_b") > F.col("_a"), F.least(F.floor((F.col(order) - F.col("_a")) / (F.col("_b") - F.col("_a")) * bins), F.lit(bins - 1))).otherwise(0)
+    binned = g.join(F.broadcast(ends)).withColumn("_bin", at).drop("_a", "_b")
+    before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = binned.groupBy("_bin").agg(*[F.sum(c).alias(f"_s_{c}") for c in columns])
+    sums = sums.select("_bin", *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0.0)).alias(f"_t_{c}") for c in columns])
+    within = Window.partitionBy("_bin").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = binned.join(sums, "_bin").withColumns({f"_below_{c}": F.col(f"_t_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0.0)) for c in columns})
+    return out.drop("_bin", *[f"_t_{c}" for c in columns])
+
+
 def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Area under the ROC curve by ranks; ties share their rank. Scores are counted first, so a common score is one row."""
     g = df.groupBy(score).agg(F.sum(F.col(truth)).cast("double").alias("p"), (F.count("*") - F.sum(F.col(truth))).cast("double").alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))  # a row a distinct score
-    return g.select("p", "q", (F.col("p") * (below + F.col("q") / 2)).alias("w")).agg(F.round(F.sum("w") / (F.sum("p") * F.sum("q")), 4).alias("auc"))
+    g = running(g, score, ["q"])
+    return g.select("p", "q", (F.col("p") * (F.col("_below_q") + F.col("q") / 2)).alias("w")).agg(F.round(F.sum("w") / (F.sum("p") * F.sum("q")), 4).alias("auc"))
 
 
 def calibration(df: DataFrame, truth: str, score: str, bins: int = 10) -> DataFrame:
@@ -85,9 +101,8 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
 def ks_statistic(df: DataFrame, group: str, value: str) -> DataFrame:
     """Greatest distance of the distributions of two groups (0 and 1). Values are counted first."""
     g = df.groupBy(value).agg(F.sum(F.when(F.col(group) == 0, 1.0).otherwise(0.0)).alias("a"), F.sum(F.when(F.col(group) == 1, 1.0).otherwise(0.0)).alias("b"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)  # a row a distinct value
     total = g.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    run = g.select(F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb")).join(F.broadcast(total))
+    run = running(g, value, ["a", "b"]).select((F.col("_below_a") + F.col("a")).alias("ca"), (F.col("_below_b") + F.col("b")).alias("cb")).join(F.broadcast(total))
     return run.agg(F.round(F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))), 4).alias("ks"))
 
 

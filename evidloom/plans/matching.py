@@ -146,11 +146,8 @@ def rule_classes(spark, sf):
 @query("token_jaccard", """WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark), w AS (SELECT item_id, unnest(t) AS x FROM t), n AS (SELECT item_id, len(t) AS n FROM t)
 SELECT a.item_id AS a, b.item_id AS b, round(count(*)::DOUBLE / (x.n + y.n - count(*)), 4) AS jaccard FROM w a JOIN w b ON a.x = b.x AND a.item_id < b.item_id JOIN n x ON x.item_id = a.item_id JOIN n y ON y.item_id = b.item_id GROUP BY a.item_id, b.item_id, x.n, y.n HAVING count(*)::DOUBLE / (x.n + y.n - count(*)) >= 0.1""")
 def token_jaccard(spark, sf):
-    t = table(spark, sf, "benchmark").select("item_id", F.array_distinct(text.tokens(F.col("text"))).alias("t")).withColumn("n", F.size("t"))
-    w = t.select("item_id", "n", F.explode("t").alias("x"))
-    a, b = w.select(F.col("item_id").alias("a"), F.col("n").alias("m"), "x"), w.select(F.col("item_id").alias("b"), "n", "x")
-    g = a.join(b, "x").where("a < b").groupBy("a", "b", "m", "n").agg(F.count("*").alias("c"))
-    return g.withColumn("j", F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).where("j >= 0.1").select("a", "b", F.round("j", 4).alias("jaccard"))
+    t = table(spark, sf, "benchmark").select("item_id", F.array_distinct(text.tokens(F.col("text"))).alias("t"))
+    return matching.jaccard_pairs(t, "item_id", "t", 0.1).select("a", "b", F.round("jaccard", 4).alias("jaccard"))
 
 
 @query("vector_top", """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))), 6) AS score FROM embeddings, q)
