@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from evidloom.llm.scratch import shielded, small_batches
-from evidloom.llm.textvec import WORD, Slab, Words, slabs, span_hashes, words
+from evidloom.llm.textvec import WORD, Slab, Words, slabs, span_hashes, tidy, words
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -301,7 +301,7 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, columns: list[str], window:
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
     blocks = [spark.sparkContext.broadcast(b) for b in _item_blocks((tuple(r) for r in items.toLocalIterator()), window)]
     if len(blocks) < 2:
-        return docs.mapInArrow(_scan_one(blocks[0] if blocks else None, window, max_coverage, with_text), fields + _TOLD)
+        return docs.mapInArrow(tidy(_scan_one(blocks[0] if blocks else None, window, max_coverage, with_text)), fields + _TOLD)
     keyed = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)))
     texts = keyed.select(F.col("_digest").alias("digest"), "text")
     found = [texts.mapInArrow(_scan_block(b, window), "digest binary, spans array<struct<start:long,end:long>>, items array<string>").dropDuplicates(["digest"]) for b in blocks]

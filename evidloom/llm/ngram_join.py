@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from evidloom.llm.components import connected_components
 from evidloom.llm.scratch import remove, shielded, small_batches, written
-from evidloom.llm.textvec import NOT_SPACE, mix, shingles, slabs, span_hashes, words
+from evidloom.llm.textvec import NOT_SPACE, mix, shingles, slabs, span_hashes, tidy, words
 
 _U = np.uint64
 COUNTERS = 1 << 20  # of the table of counts: 4 MB, the bound of what is broadcast
@@ -369,11 +369,11 @@ class _Join:
     def with_sets(self, members: DataFrame) -> DataFrame:
         """``members``, which have cls, with grams: the class's n-grams, most common first."""
         one = self.keep(self.classes.join(members.select("cls").distinct(), "cls").select("cls", "doc_id"), "one")
-        sets = self.docs.where("doc_id IS NOT NULL").mapInArrow(_ordered_sets(self.size, self.counts, bitmap(one.where("doc_id IS NOT NULL"))), "cls long, doc_id long, grams binary")
+        sets = self.docs.where("doc_id IS NOT NULL").mapInArrow(tidy(_ordered_sets(self.size, self.counts, bitmap(one.where("doc_id IS NOT NULL")))), "cls long, doc_id long, grams binary")
         if self.nameless:
             bare = one.where("doc_id IS NULL").select("cls")
             bits = bitmap(bare.select(F.col("cls").alias("doc_id")))
-            own = self.docs.where("doc_id IS NULL").mapInArrow(_ordered_sets_of_nameless(self.size, self.counts, bits), "cls long, grams binary")
+            own = self.docs.where("doc_id IS NULL").mapInArrow(tidy(_ordered_sets_of_nameless(self.size, self.counts, bits)), "cls long, grams binary")
             own = own.join(bare, "cls", "left_semi").groupBy("cls").agg(F.first("grams").alias("grams"))
             sets = sets.union(own.select("cls", F.lit(0).cast("long").alias("doc_id"), "grams"))
             one = one.fillna(0, ["doc_id"])  # the class is in the key too, so an id of 0 is not mistaken
@@ -423,7 +423,7 @@ class _Join:
 
     def components(self) -> DataFrame:
         size, percent = self.size, self.percent
-        scan = self.keep(self.docs.mapInArrow(_scan(size), "doc_id long, n long, cls long, sketch binary, piece int, counts binary"), "sets")
+        scan = self.keep(self.docs.mapInArrow(tidy(_scan(size)), "doc_id long, n long, cls long, sketch binary, piece int, counts binary"), "sets")
         self.per_doc = scan.where("piece IS NULL").select("doc_id", "n", "cls")
         pieces = scan.where("piece IS NOT NULL").select("piece", "counts").repartition(16, "piece").mapInArrow(_add_pieces, "piece int, counts binary")
         counts = np.zeros(COUNTERS, np.uint32)
@@ -434,7 +434,7 @@ class _Join:
         self.classes = self.keep(named, "classes")
         self.nameless = self.per_doc.where("cls IS NOT NULL AND doc_id IS NULL").count() > 0
 
-        rows = self.docs.mapInArrow(_prefixes(size, percent, self.counts), "token long, salt int, salts int, cls long, n int, pos int")
+        rows = self.docs.mapInArrow(tidy(_prefixes(size, percent, self.counts)), "token long, salt int, salts int, cls long, n int, pos int")
         group = Window.partitionBy("token", "salt")
         pivots = [F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls", "n", "pos")).over(group).alias(f"p{k}") for k in range(PIVOTS)]
         shared = (

@@ -23,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evidloom.llm.scratch import shielded
-from evidloom.llm.textvec import NOT_SPACE, mix, slabs, span_hashes, words
+from evidloom.llm.scratch import shielded, small_batches
+from evidloom.llm.textvec import NOT_SPACE, mix, slabs, span_hashes, tidy, words
 
 SAMPLE = 6000
 RANK = 32
@@ -154,8 +154,9 @@ def _score(shared):
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with _score; any columns stay."""
+    small_batches(docs.sparkSession)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
-    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), f"{fields}_score double")
+    return docs.mapInArrow(tidy(_score(docs.sparkSession.sparkContext.broadcast(model))), f"{fields}_score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, **how) -> DataFrame:

@@ -28,10 +28,21 @@ _INV_BASE = pow(_BASE, -1, 1 << 64)
 
 def give_back() -> None:
     """Returns freed memory to the system, which a worker would otherwise keep for as long as it lives."""
+    pa.default_memory_pool().release_unused()
     if _trim:
         _trim(0)
 
 
+def tidy(run):
+    """A function on the batches of a task that gives back what it freed once the task ends."""
+
+    def tidied(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose output bits all depend on all input bits."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from evidloom.llm.scratch import new_path, small_batches
-from evidloom.llm.textvec import LOWER, give_back, mix, slabs, span_hashes
+from evidloom.llm.textvec import LOWER, give_back, mix, slabs, span_hashes, tidy
 
 _U = np.uint64
 ROLL, LEAST, MOST, MEAN = 16, 128, 2048, 512
@@ -431,7 +431,7 @@ def _steps(batches):
 
 def _with_chunks(docs: DataFrame, chunks: DataFrame, value: str) -> DataFrame:
     """The steps of all recipes with n and ``value`` of their chunks; raises where a chunk is missing or of another length."""
-    steps = docs.select("row", "n_tokens", "digests", "lengths", "root").mapInArrow(_steps, "row long, seq int, digest binary, size int, after long")
+    steps = docs.select("row", "n_tokens", "digests", "lengths", "root").mapInArrow(tidy(_steps), "row long, seq int, digest binary, size int, after long")
     n = F.when(F.col("n") == F.col("size"), F.col("n")).otherwise(F.raise_error(F.when(F.col("n").isNull(), "a chunk is missing").otherwise("a chunk has another length than its recipe says")).cast("int"))
     return steps.join(chunks, "digest", "left").select("row", "seq", "after", n.alias("n"), value)
 
@@ -470,9 +470,9 @@ def _contributions(batches):
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document of a store; raises where a check fails."""
     chunks, docs, _ = _read(spark, path)
-    sums = chunks.mapInArrow(_checked_chunks, "digest binary, n int, crc long")
+    sums = chunks.mapInArrow(tidy(_checked_chunks), "digest binary, n int, crc long")
     parts = _with_chunks(docs, sums, "crc").select("row", "n", "crc", "after")
-    crc = parts.mapInArrow(_contributions, "row long, part long").groupBy("row").agg(F.bit_xor("part").alias("ids_crc32"))
+    crc = parts.mapInArrow(tidy(_contributions), "row long, part long").groupBy("row").agg(F.bit_xor("part").alias("ids_crc32"))
     return docs.join(crc, "row").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -13,7 +13,6 @@ twice count once, as the least.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
