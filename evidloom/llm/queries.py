@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,6 +13,7 @@ from evidloom.llm.fingerprints import edit_fingerprints
 from evidloom.llm.language import language
 from evidloom.llm.mixing import mixture
 from evidloom.llm.ngram_join import ngram_join
+from evidloom.llm.periodic import periodic_runs
 from evidloom.llm.quality import quality
 from evidloom.llm.secret_scan import secrets
 from evidloom.llm.token_store import token_store
@@ -101,6 +103,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_table(spark, sf_dir, "pages"), RULES)
 
 
+def planted_period(n: int, doc_id: int | None) -> tuple[int, int] | None:
+    """Where and with which period a document of n words repeats itself in this query; nine of ten, and those without id, do not."""
+    h = 0 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    g = h // 10
+    return g % n, 1 + (n - g % n) // (3 + g % 8)
+
+
+@_query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(_table(spark, sf_dir, "documents"), edit=planted_period)
+
+
 #: Words of A-Z lower-cased text, as RE2 and Java write the class alike.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
 
