@@ -75,13 +75,13 @@ def test_query(spark, sf_dir):
 
 def test_odd_rows(spark):
     long = " ".join(["so", "it", "goes"] * 20_000)
-    rows = [(None, None, 1), (1, None, 1), (2, "", 1), (3, " \n\t ", 1), (4, "a " * 12, 1), (4, "a " * 12, 1), (5, "a " * 11, 2), (6, long, 1), (7, "é ü " * 13, 1)]
+    rows = [(None, None, 1), (1, None, 1), (2, "", 1), (3, " \n\t ", 1), (4, "a " * 12, 1), (4, "a " * 12, 1), (5, "a " * 11, 2), (6, long, 1), (7, "é\u00a0ü " * 13, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_runs int").selectExpr("*", "1 AS period", "'x' AS runs")
     got = sorted(periodic_runs(docs, whole=True).collect(), key=lambda r: (r.doc_id or 0, r.collapsed))
     assert [(r.doc_id, r.n_runs, r.start, r.length, r.period, r.exponent_milli) for r in got] == [
         (None, 0, *[None] * 4), (1, 0, *[None] * 4), (2, 0, *[None] * 4), (3, 0, *[None] * 4), (4, 1, 0, 12, 1, 12_000), (4, 1, 0, 12, 1, 12_000),
         (5, 0, *[None] * 4), (6, 1, 0, 60_000, 3, 20_000_000), (7, 1, 0, 13, 1, 13_000),
     ]
-    assert [r.collapsed for r in got] == ["", "", "", "", "a", "a", " ".join("a" * 11), "so it goes", "é ü"]
+    assert [r.collapsed for r in got] == ["", "", "", "", "a", "a", " ".join("a" * 11), "so it goes", "é\u00a0ü"]
     assert [tuple(x) for x in got[7].runs] == [(0, 60_000, 3)]
     assert periodic_runs(docs.where("false")).count() == 0
