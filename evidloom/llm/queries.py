@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidloom.llm import secret_scan, url_filter
+from evidloom.llm.alignment import alignment
 from evidloom.llm.decontaminate import contamination
 from evidloom.llm.fingerprints import edit_fingerprints
 from evidloom.llm.language import language
@@ -33,10 +34,10 @@ def _query(f):
     return f
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @_query
@@ -103,6 +104,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_table(spark, sf_dir, "pages"), RULES)
 
 
+@_query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")).documents
+
+
 def planted_period(n: int, doc_id: int | None) -> tuple[int, int] | None:
     """Where and with which period a document of n words repeats itself in this query; nine of ten, and those without id, do not."""
     h = 0 if doc_id is None else zlib.crc32(str(doc_id).encode())
