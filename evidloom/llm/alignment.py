@@ -312,8 +312,8 @@ def _encoded(paths: tuple[str, str], whole: bool, doc_type: pa.DataType, code_ty
     names = ["kind", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "groups", "codes", "code", "n"]
     types = [pa.string(), doc_type, *[pa.int64()] * 3, pa.string(), pa.string(), pa.list_(code_type), code_type, pa.int64()]
 
-    def rows(n: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns[k].cast(t) if k in columns else pa.nulls(n, t) for k, t in zip(names, types, strict=True)], names)
+    def rows(size: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[k].cast(t) if k in columns else pa.nulls(size, t) for k, t in zip(names, types, strict=True)], names)
 
     def run(batches):
         aligner = _aligner(paths)
