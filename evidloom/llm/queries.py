@@ -11,6 +11,7 @@ from evidloom.llm import secret_scan, url_filter
 from evidloom.llm.alignment import alignment
 from evidloom.llm.decontaminate import contamination
 from evidloom.llm.fingerprints import edit_fingerprints
+from evidloom.llm.impact_index import impact_index, top_k
 from evidloom.llm.language import language
 from evidloom.llm.mixing import mixture
 from evidloom.llm.ngram_join import ngram_join
@@ -109,6 +110,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")).documents
 
 
+@_query
+def op12_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(*impact_index(_table(spark, sf_dir, "embeddings")), "id % 50 = 0")
+
+
 def planted_period(n: int, doc_id: int | None) -> tuple[int, int] | None:
     """Where and with which period a document of n words repeats itself in this query; nine of ten, and those without id, do not."""
     h = 0 if doc_id is None else zlib.crc32(str(doc_id).encode())
@@ -218,3 +224,10 @@ SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) F
   sha256(coalesce(string_agg(name, ',' ORDER BY s, place, e) FILTER (WHERE place < 3), '')) AS base_sha256, coalesce(string_agg(name, ',' ORDER BY s, place, e), '') AS spans
 FROM d LEFT JOIN o ON d.doc_id = o.doc_id GROUP BY d.doc_id
 """
+
+SQL["op12_impact_top_k"] = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.r AS c, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER o)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 5 WINDOW o AS (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, c)
+"""
