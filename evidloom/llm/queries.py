@@ -229,5 +229,5 @@ SQL["op12_impact_top_k"] = """
 WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.r, q.vec_id AS query_id, c.r AS c, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
-SELECT query_id, (row_number() OVER o)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 5 WINDOW o AS (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, c)
+SELECT query_id, (row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, c))::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 5
 """
