@@ -150,15 +150,6 @@ def token_jaccard(spark, sf):
     return matching.jaccard_pairs(t, "item_id", "t", 0.1).select("a", "b", F.round("jaccard", 4).alias("jaccard"))
 
 
-@query("vector_top", """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))), 6) AS score FROM embeddings, q)
-SELECT vec_id, score FROM s WHERE score >= 0.05 ORDER BY score DESC, vec_id LIMIT 20""")
-def vector_top(spark, sf):
-    e = table(spark, sf, "embeddings")
-    q = e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))  # one row
-    s = e.join(F.broadcast(q)).select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return s.where("score >= 0.05").orderBy(F.desc("score"), "vec_id").limit(20)
-
-
 @query("vector_norms", "SELECT label, count(*) AS n, round(avg(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS mean_norm FROM embeddings GROUP BY 1")
 def vector_norms(spark, sf):
     return table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(vectors.norm(F.col("embedding"))), 6).alias("mean_norm"))
