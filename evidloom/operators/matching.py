@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from evidloom.functions.text import tokens
-
-
-FIRST_TOKENS = 10_000
+from evidloom.operators.dictionary import automata, dictionary_matches
 
 
 def fallback_join(left: DataFrame, right: DataFrame, first: tuple[str, str], second: tuple[str, str], take: str) -> DataFrame:
@@ -18,22 +15,9 @@ def fallback_join(left: DataFrame, right: DataFrame, first: tuple[str, str], sec
 
 
 def alias_matches(texts: DataFrame, aliases: DataFrame, text: str, alias: str, key: list[str]) -> DataFrame:
-    """Rows of ``texts`` in which an alias stands as whole words.
-
-    Candidates come from an equi-join on the alias's first token; the rest of its tokens are
-    then looked for behind it, so no text is held against every alias. As long as the first tokens
-    are few (FIRST_TOKENS), places of other words are left out before any rows are made.
-    """
-    a = aliases.select(alias, tokens(F.col(alias)).alias("_t")).where(F.size("_t") > 0).distinct().withColumn("_first", F.get("_t", F.lit(0)))
-    longest = a.agg(F.max(F.size("_t"))).first()[0] or 1
-    words = texts.select(*key, tokens(F.col(text)).alias("_w"))
-    firsts = [r[0] for r in a.select("_first").distinct().limit(FIRST_TOKENS + 1).collect()]
-    places = F.transform("_w", lambda w, i: F.struct(w.alias("_first"), i.alias("_i")))
-    if len(firsts) <= FIRST_TOKENS:
-        places = F.filter(places, lambda p: p["_first"].isin(firsts))
-    words = words.withColumn("_p", places).select(*key, F.explode(F.transform("_p", lambda p: F.struct(p["_first"].alias("_first"), p["_i"].alias("_i"), F.slice("_w", p["_i"] + 1, F.lit(longest)).alias("_from")))).alias("_x"))
-    hit = words.select(*key, "_x.*").join(a, "_first").where(F.slice("_from", F.lit(1), F.size("_t")) == F.col("_t"))
-    return hit.groupBy(*key, alias).agg(F.count("*").alias("hits"), F.min("_i").alias("first_at"))
+    """(key, alias, hits, first_at) of the aliases that stand in texts as whole words, by automata over all aliases."""
+    found = dictionary_matches(texts, automata(aliases, alias), text, key)
+    return found.select(*key, F.col("name").alias(alias), "hits", F.col("first_at").cast("int").alias("first_at"))
 
 
 def jaccard_pairs(sets: DataFrame, key: str, items: str, least: float) -> DataFrame:
