@@ -8,7 +8,8 @@ from evidloom.functions import dates, numbers
 from evidloom.operators import quality
 from evidloom.plans.registry import query, table
 from evidloom.sources import files
-from evidloom.streaming import windows
+from evidloom.streaming import silence, windows
+from evidloom.tables import new_folder
 
 
 @query("json_predicate", "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE coalesce(json_extract_string(props, '$.k'), '') <> '') AS with_k, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS most FROM events GROUP BY 1")
@@ -75,20 +76,60 @@ def latency_summary(spark, sf):
     return some.join(quality.nearest_rank(e, "event_type", "value", 0.95).withColumnRenamed("value", "p95"), "event_type")
 
 
+def _events(spark, sf):
+    return windows.events(spark, f"{sf}/events.parquet*")
+
+
 @query("stream_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, sf):
-    out = windows.drained(windows.tumbling(windows.events(spark, sf)), windows.tumbling(table(spark, sf, "events")))
+    out = windows.drained(_events(spark, sf), windows.tumbling)
     return out.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 @query("stream_sliding", "SELECT s AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([b, b - INTERVAL 6 HOUR, b - INTERVAL 12 HOUR, b - INTERVAL 18 HOUR]) AS s FROM (SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts) AS b FROM events)) GROUP BY 1, 2")
 def stream_sliding(spark, sf):
-    out = windows.drained(windows.sliding(windows.events(spark, sf)), windows.sliding(table(spark, sf, "events")))
+    out = windows.drained(_events(spark, sf), windows.sliding)
     return out.select(F.col("window.start").alias("start"), "event_type", "n")
 
 
 @query("stream_sessions", """WITH o AS (SELECT user_id, ts, ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE AS new FROM events), s AS (SELECT user_id, ts, sum(coalesce(new, true)::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
 SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_sessions(spark, sf):
-    out = windows.drained(windows.sessions(windows.events(spark, sf)), windows.sessions(table(spark, sf, "events")))
+    out = windows.drained(_events(spark, sf), windows.sessions)
     return out.select("user_id", F.col("session_window.start").alias("start"), "n")
+
+
+#: Events as four deliveries; some of each come again with the next.
+_DELIVERED = "a AS (SELECT *, event_id % 4 AS b FROM events UNION ALL SELECT *, event_id % 4 + 1 FROM events WHERE event_id % 11 = 0 AND event_id % 4 < 3), m AS (SELECT b, max(max(ts)) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM a GROUP BY b), x AS (SELECT a.*, coalesce(ts <= latest - INTERVAL 1 DAY, false) AS late FROM a JOIN m USING (b))"
+
+
+def _delivered(spark, sf):
+    """Takes the deliveries in one by one; gives what took them, and the counts of the rows in time, each once."""
+    path = new_folder(spark, "deliveries")
+    e, take, counts = table(spark, sf, "events"), None, None
+    for k in range(4):
+        e.where((F.col("event_id") % 4 == k) | ((F.col("event_id") % 11 == 0) & (F.col("event_id") % 4 == k - 1))).write.mode("append").parquet(path)
+        take = take or windows.Arrivals(windows.events(spark, path))
+        take.run()
+        counts = counts or windows.Appended(take.in_time(), lambda s: windows.tumbling(windows.deduplicated(s)))
+        counts.run()
+    return take, counts
+
+
+@query("stream_late", f"WITH {_DELIVERED} SELECT event_id, b::INT AS batch FROM x WHERE late")
+def stream_late(spark, sf):
+    """Events that came after the watermark had passed them, and with which delivery."""
+    return _delivered(spark, sf)[0].late_rows().select("event_id", "batch")
+
+
+@query("stream_exact_counts", f"WITH {_DELIVERED} SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT DISTINCT event_id, ts, event_type, value FROM x WHERE NOT late) GROUP BY 1, 2")
+def stream_exact_counts(spark, sf):
+    return _delivered(spark, sf)[1].close().select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+@query("stream_silences", """WITH o AS (SELECT user_id, epoch_us(ts) AS t, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS following FROM events WHERE user_id IS NOT NULL)
+SELECT user_id, 'stale' AS state, make_timestamp(t + 86400000000) AS at FROM o WHERE following IS NULL OR following - t > 86400000000 UNION ALL SELECT user_id, 'recovered', make_timestamp(following) FROM o WHERE following - t > 86400000000""")
+def stream_silences(spark, sf):
+    """Users who were silent for a day, marked once by a timer, and when they came back."""
+    with silence.rocksdb(spark):
+        return windows.drained(_events(spark, sf), lambda s: silence.silences(s, "user_id", silence_minutes=24 * 60))
