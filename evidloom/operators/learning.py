@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -162,19 +162,6 @@ def boosted(rows: DataFrame, features: list[str], label: str, train: Column, see
     return out.select(*rows.columns, "score"), list(zip(features, map(float, model.featureImportances.toArray()), strict=True))
 
 
-def balanced_logistic(weights: DataFrame, key: str, vocabulary: DataFrame, labels: DataFrame, label: str, train: Column) -> DataFrame:
-    """(key, label, score): logistic regression on term weights, both classes weighing alike. The vocabulary has a fixed size."""
-    place = vocabulary.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("_at"))
-    size = place.count()
-    own = weights.join(F.broadcast(place), "term").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_at", "weight"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
-    rows = labels.join(own, key).select(key, F.col(label).cast("double").alias("label"), array_to_vector(dense).alias("_v"), train.alias("_train"))
-    share = rows.where("_train").agg(F.avg("label")).first()[0] or 0.5
-    rows = rows.withColumn("_w", F.when(F.col("label") == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)))
-    model = LogisticRegression(featuresCol="_v", labelCol="label", weightCol="_w", regParam=0.01).fit(rows.where("_train"))
-    return model.transform(rows).select(key, "label", vector_to_array("probability")[1].alias("score"))
-
-
 def threshold_sweep(scored: DataFrame, label: str, low: int = 25, high: int = 75, step: int = 5) -> DataFrame:
     """(threshold, f1) of each threshold in per cent; scores are first counted by per cent and label."""
     binned = scored.groupBy(F.floor(F.col("score") * 100 / step).alias("_b"), label).agg(F.count("*").alias("n"))

@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from evidloom.tables import stored
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -57,26 +59,24 @@ def binary_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return c.select("tn", "fp", "fn", "tp", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(safe(2 * p * r, p + r), 4).alias("f1"), F.round(safe(tp + tn, tp + tn + fp + fn), 4).alias("accuracy"), F.round((r + safe(tn, tn + fp)) / 2, 4).alias("balanced"))
 
 
-def running(g: DataFrame, order: str, columns: list[str], bins: int = 1024) -> DataFrame:
+def running(g: DataFrame, order: str, columns: list[str]) -> DataFrame:
     """``g``, a row a value of ``order``, with the sum of each column over lesser values as ``_below_`` and its name.
 
-    Sums are taken by equal-width bins first (a row a bin), then within each bin, so no task orders all values.
+    Rows are dealt by ranges of as many rows; sums are taken by range first (a row a range), then within each, so no task orders all values.
     """
-    ends = g.agg(F.min(order).alias("_a"), F.max(order).alias("_b"))
-    at = F.when(F.col("_b") > F.col("_a"), F.least(F.floor((F.col(order) - F.col("_a")) / (F.col("_b") - F.col("_a")) * bins), F.lit(bins - 1))).otherwise(0)
-    binned = g.join(F.broadcast(ends)).withColumn("_bin", at).drop("_a", "_b")
+    binned, _ = stored(g.repartitionByRange(order).withColumn("_bin", F.spark_partition_id()), "ranges")
     before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = binned.groupBy("_bin").agg(*[F.sum(c).alias(f"_s_{c}") for c in columns])
     sums = sums.select("_bin", *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0.0)).alias(f"_t_{c}") for c in columns])
     within = Window.partitionBy("_bin").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = binned.join(sums, "_bin").withColumns({f"_below_{c}": F.col(f"_t_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0.0)) for c in columns})
+    out = binned.join(F.broadcast(sums), "_bin").withColumns({f"_below_{c}": F.col(f"_t_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0.0)) for c in columns})
     return out.drop("_bin", *[f"_t_{c}" for c in columns])
 
 
 def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Area under the ROC curve by ranks; ties share their rank. Scores are counted first, so a common score is one row."""
-    g = df.groupBy(score).agg(F.sum(F.col(truth)).cast("double").alias("p"), (F.count("*") - F.sum(F.col(truth))).cast("double").alias("q"))
-    g = running(g, score, ["q"])
+    g = df.groupBy(F.col(score).alias("_score")).agg(F.sum(F.col(truth)).cast("double").alias("p"), (F.count("*") - F.sum(F.col(truth))).cast("double").alias("q"))
+    g = running(g, "_score", ["q"])
     return g.select("p", "q", (F.col("p") * (F.col("_below_q") + F.col("q") / 2)).alias("w")).agg(F.round(F.sum("w") / (F.sum("p") * F.sum("q")), 4).alias("auc"))
 
 
@@ -100,9 +100,9 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def ks_statistic(df: DataFrame, group: str, value: str) -> DataFrame:
     """Greatest distance of the distributions of two groups (0 and 1). Values are counted first."""
-    g = df.groupBy(value).agg(F.sum(F.when(F.col(group) == 0, 1.0).otherwise(0.0)).alias("a"), F.sum(F.when(F.col(group) == 1, 1.0).otherwise(0.0)).alias("b"))
+    g = df.groupBy(F.col(value).alias("_value")).agg(F.sum(F.when(F.col(group) == 0, 1.0).otherwise(0.0)).alias("a"), F.sum(F.when(F.col(group) == 1, 1.0).otherwise(0.0)).alias("b"))
     total = g.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    run = running(g, value, ["a", "b"]).select((F.col("_below_a") + F.col("a")).alias("ca"), (F.col("_below_b") + F.col("b")).alias("cb")).join(F.broadcast(total))
+    run = running(g, "_value", ["a", "b"]).select((F.col("_below_a") + F.col("a")).alias("ca"), (F.col("_below_b") + F.col("b")).alias("cb")).join(F.broadcast(total))
     return run.agg(F.round(F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))), 4).alias("ks"))
 
 
@@ -111,29 +111,38 @@ def regression_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.round(F.avg(F.abs(e)), 4).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse"), F.round(F.avg(F.when(F.abs(F.col(truth)) + F.abs(F.col(predicted)) > 0, 2 * F.abs(e) / (F.abs(F.col(truth)) + F.abs(F.col(predicted)))).otherwise(0.0)), 4).alias("smape"))
 
 
-def nearest_rank(df: DataFrame, group: str | None, value: str, share: float, bins: int = 4096) -> DataFrame:
+def nearest_rank(df: DataFrame, group: str | None, value: str, share: float) -> DataFrame:
     """(group, value): the least value that at least that share of a group's rows does not exceed.
 
-    Values are counted first, then summed by bins between approximate percentiles, and only the
-    values of the bin in which the rank falls are ordered. So no task holds a group's values.
+    Values are counted first and dealt by ranges of group and value, then summed a range, and only
+    the values of the range in which the rank falls are ordered. So no task holds a group's values.
     """
     keys = [group] if group else []
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    ends = counts.groupBy(*keys).agg(F.min(value).alias("_a"), F.max(value).alias("_b"), F.sum("_n").alias("_all"))
-    on = (lambda a, b: a.join(b, keys)) if keys else (lambda a, b: a.join(F.broadcast(b)))
-    binned = on(counts, ends).withColumn("_rank", F.ceil(F.col("_all") * F.lit(share))).withColumn("_bin", F.when(F.col("_b") > F.col("_a"), F.least(F.floor((F.col(value) - F.col("_a")) / (F.col("_b") - F.col("_a")) * bins), F.lit(bins - 1))).otherwise(0))
-    sums = binned.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_m"), F.first("_rank").alias("_r"))
-    w = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # a row a bin
-    at = sums.withColumn("_before", F.coalesce(F.sum("_m").over(w), F.lit(0))).where("_before < _r AND _before + _m >= _r").select(*keys, "_bin", "_before")
-    inside = binned.join(at, [*keys, "_bin"])
-    run = F.sum("_n").over(Window.partitionBy(*keys).orderBy(value)) + F.col("_before")
+    dealt, _ = stored(counts.repartitionByRange(*keys, value).withColumn("_bin", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_m"))  # a row a group and range
+    w = Window.partitionBy(*keys)
+    sums = sums.withColumn("_rank", F.ceil(F.sum("_m").over(w) * F.lit(share))).withColumn("_before", F.coalesce(F.sum("_m").over(w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = sums.where("_before < _rank AND _before + _m >= _rank").select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_bin", "_before", "_rank")
+    same = [F.col(f"_k_{k}").eqNullSafe(F.col(k)) for k in keys]
+    inside = dealt.alias("d").join(at.withColumnRenamed("_bin", "_at"), [F.col("_bin") == F.col("_at"), *same])
+    run = F.sum("_n").over(Window.partitionBy(*keys, "_bin").orderBy(value)) + F.col("_before")
     return inside.withColumn("_run", run).where("_run >= _rank").groupBy(*keys).agg(F.min(value).alias(value))
 
 
+def percentile(df: DataFrame, value: str, share: float) -> DataFrame:
+    """One row: the percentile of a column, between its two nearest values where none stands there, as ``value``."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").cast("double").alias("n"))
+    run = running(counts, "v", ["n"])
+    at = run.join(F.broadcast(counts.agg(((F.sum("n") - 1) * F.lit(share)).alias("_at"))))
+    low, high = (F.min(F.when(F.col("_below_n") + F.col("n") > f("_at"), F.col("v"))) for f in (F.floor, F.ceil))
+    return at.agg(low.alias("a"), high.alias("b"), F.first("_at").alias("_at")).select((F.col("a") + (F.col("b") - F.col("a")) * (F.col("_at") - F.floor("_at"))).alias(value))
+
+
 def winsorised(df: DataFrame, columns: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Columns held between one pair of percentiles over all of them together."""
     pooled = df.select(F.explode(F.array(*[F.col(c).cast("double") for c in columns])).alias("v"))
-    ends = pooled.agg(F.percentile("v", F.lit(low)).alias("_lo"), F.percentile("v", F.lit(high)).alias("_hi"))
+    ends = percentile(pooled, "v", low).withColumnRenamed("v", "_lo").join(F.broadcast(percentile(pooled, "v", high).withColumnRenamed("v", "_hi")))
     return df.join(F.broadcast(ends)).withColumns({c: F.greatest("_lo", F.least("_hi", F.col(c).cast("double"))) for c in columns}).drop("_lo", "_hi")
 
 

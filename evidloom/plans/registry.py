@@ -29,4 +29,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Registers the queries of all plans."""
-    from evidloom.plans import demand, governance, hierarchies, imputation, ingest, learning, matching, quality, records, reviews, search, signals  # noqa: F401
+    from evidloom.plans import demand, evaluation, governance, hierarchies, imputation, ingest, learning, matching, quality, records, reviews, search, signals  # noqa: F401
