@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 
 def completeness(rows: DataFrame, key: str, parts: dict[str, Column]) -> DataFrame:
@@ -75,40 +72,6 @@ def merged_maps(a: Column, b: Column) -> Column:
     return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("path", StringType()), StructField("value", StringType())])))
-def _leaves(column: pd.Series) -> pd.Series:
-    def walk(at: str, x):
-        if isinstance(x, dict):
-            for k in sorted(x):
-                yield from walk(f"{at}.{k}" if at else k, x[k])
-        elif isinstance(x, list):
-            for i, v in enumerate(x):
-                yield from walk(f"{at}[{i}]", v)
-        else:
-            yield {"path": at, "value": x if isinstance(x, str) or x is None else json.dumps(x)}
-
-    return column.map(lambda s: list(walk("", json.loads(s))) if s else [])
-
-
-def leaves(rows: DataFrame, column: str) -> DataFrame:
-    """``rows`` with a row for each leaf of a JSON column: path (members by dots, places in brackets) and value."""
-    return rows.withColumn("_leaf", F.explode(_leaves(column))).select("*", "_leaf.*").drop("_leaf")
-
-
-@F.pandas_udf(StringType())
-def cleaned_json(column: pd.Series) -> pd.Series:
-    """JSON with the spaces of all strings trimmed and collapsed, keys sorted."""
-
-    def clean(x):
-        if isinstance(x, dict):
-            return {k: clean(v) for k, v in x.items()}
-        if isinstance(x, list):
-            return [clean(v) for v in x]
-        return " ".join(x.split()) if isinstance(x, str) else x
-
-    return column.map(lambda s: json.dumps(clean(json.loads(s)), sort_keys=True, ensure_ascii=False) if s else s)
-
-
 def coverage(reach: DataFrame, every: DataFrame, key: str, module: str, most: int) -> DataFrame:
     """How many modules each key reaches, and the share of all, for the ``most`` keys that reach most."""
     total = every.agg(F.count_distinct(module).alias("_all"))

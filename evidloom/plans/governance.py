@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidloom.functions.numbers import exact_mean
-from evidloom.operators import evidence, governance, series
+from evidloom.operators import evidence, governance, series, variants
 from evidloom.plans.registry import query, table
 
 
@@ -154,7 +154,33 @@ def patched_json(spark, sf):
 def json_leaves(spark, sf):
     """(path, value) of each leaf of a JSON object, whatever its depth."""
     e = table(spark, sf, "events").select("event_id", F.col("props").alias("json"))
-    return governance.leaves(e, "json").groupBy("path").agg(F.count("*").alias("n"), F.max(F.col("value").cast("int")).alias("most"))
+    return variants.leaves(e, "json").groupBy("path").agg(F.count("*").alias("n"), F.max(F.col("value").cast("int")).alias("most"))
+
+
+def _nested_orders(spark, sf):
+    """Each order as JSON, with its customer and lines."""
+    li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_returnflag"))).alias("lines"))
+    o = table(spark, sf, "orders").join(li, F.expr("o_orderkey = l_orderkey"), "left")
+    whole = F.struct(F.col("o_orderkey").alias("key"), F.struct(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("priority")).alias("customer"), "lines")
+    return o.select("o_orderkey", F.to_json(whole, {"ignoreNullFields": "false"}).alias("json"))
+
+
+@query("order_leaves", """WITH l AS (SELECT 'key' AS path, o_orderkey::VARCHAR AS v FROM orders UNION ALL SELECT 'customer.key', o_custkey::VARCHAR FROM orders UNION ALL SELECT 'customer.priority', o_orderpriority FROM orders
+UNION ALL SELECT 'lines', NULL FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT 'lines[].l_linenumber', l_linenumber::VARCHAR FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+UNION ALL SELECT 'lines[].l_quantity', l_quantity::VARCHAR FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT 'lines[].l_returnflag', l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT path, count(*) AS n, count(v) AS given, sum(TRY_CAST(v AS DOUBLE)) AS total, count(DISTINCT CASE WHEN TRY_CAST(v AS DOUBLE) IS NULL THEN v END) AS texts FROM l GROUP BY 1""")
+def order_leaves(spark, sf):
+    """The leaves of nested orders by path, whatever the place in the list of lines."""
+    found = variants.leaves(_nested_orders(spark, sf), "json").select(F.regexp_replace("path", r"\[\d+\]", "[]").alias("path"), "value", F.expr("try_cast(value AS double)").alias("x"))
+    return found.groupBy("path").agg(F.count("*").alias("n"), F.count("value").alias("given"), F.sum("x").alias("total"), F.count_distinct(F.when(F.col("x").isNull(), F.col("value"))).alias("texts"))
+
+
+@query("cleaned_json", r"""SELECT conv_id, md5(to_json({'conv_id': conv_id, 'turns': list({'role': role, 'text': trim(regexp_replace(text, '\s+', ' ', 'g')), 'turn': turn} ORDER BY turn)})::VARCHAR) AS digest FROM conversations GROUP BY conv_id""")
+def cleaned_json(spark, sf):
+    """Whole conversations as JSON, with the spaces of every text in them collapsed."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(turns).select("conv_id", F.to_json(F.struct("conv_id", "turns"), {"ignoreNullFields": "false"}).alias("json"))
+    return variants.cleaned_json(c, "json", "clean").select("conv_id", F.md5("clean").alias("digest"))
 
 
 @query("canonical_json", """SELECT event_id, sha256('{"k":' || json_extract_string(props, '$.k') || ',"type":"' || event_type || '"}') AS hash FROM events""")
