@@ -86,6 +86,14 @@ def drained(stream: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataF
     return run.close()
 
 
+def drained_rows(stream: DataFrame) -> DataFrame:
+    """All rows of a stream that needs no state, once it has run over what is there."""
+    path = new_folder(stream.sparkSession, "stream")
+    query = stream.writeStream.option("checkpointLocation", f"{path}/state").option("path", f"{path}/rows").format("parquet").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 class Arrivals:
     """Takes in a stream and keeps rows that come too late apart: those no later than the watermark, the latest time of all batches before less the delay.
 
