@@ -7,9 +7,9 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import StringType
 
-from evidloom.functions.text import clean_text, duplicate_key, normalise
+from evidloom.functions.text import clean_text
 
 
 def first_filled(*columns: str | Column, default: str | None = None) -> Column:
@@ -144,19 +144,6 @@ def unique_names(header: list[str]) -> list[str]:
     return out
 
 
-@F.pandas_udf(DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
-
-
-def duplicate_score(a: Column, b: Column, same_category: Column) -> Column:
-    """.99 for equal keys, .97 for equal keys without spaces, else the ratio of matching blocks, a little more within a category, .94 at most."""
-    x, y = duplicate_key(a), duplicate_key(b)
-    squeezed = lambda c: F.regexp_replace(c, "[^a-z0-9]", "")
-    ratio = F.least(F.lit(0.94), _ratio(normalise(a), normalise(b)) + F.when(same_category, 0.02).otherwise(0.0))
-    return F.when(x == y, 0.99).when(squeezed(x) == squeezed(y), 0.97).otherwise(ratio)
-
-
 @F.pandas_udf(StringType())
 def line_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     """A unified diff by lines with two lines of context, of 300 lines at most."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evidloom.functions import extract, text
 from evidloom.functions.numbers import clip
-from evidloom.operators import evidence, series
+from evidloom.operators import duplicates, evidence, series
 from evidloom.plans.registry import query, table
 
 
@@ -258,14 +258,18 @@ def profile_facts(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.coalesce(F.regexp_extract(h, "<title>([^<]*)", 1), F.lit("")).alias("title"), F.size(F.regexp_extract_all(h, F.lit('<a href="([^"]*)"'), F.lit(1))).cast("long").alias("links"), F.size(F.regexp_extract_all(h, F.lit("<p>"), F.lit(0))).cast("long").alias("paragraphs"))
 
 
+def _names(rows, of):
+    """Distinct names, each with its least key as id, a category and how often it stands."""
+    return rows.where(f"{of} <> ''").groupBy(F.col(of).alias("name")).agg(F.min("key").alias("id"), F.min("category").alias("category"), F.count("*").alias("uses"))
+
+
 @query("scored_duplicates")
 def scored_duplicates(spark, sf):
-    """Pairs of names of one block with their duplicate score. SQL has no ratio of matching blocks; tests compare it by brute force."""
-    names = table(spark, sf, "part").select("p_name", "p_type").distinct().groupBy("p_name").agg(F.min("p_type").alias("category"))
-    word = names.select("p_name", "category", F.explode(F.split("p_name", " ")).alias("block"))
-    a, b = (word.select("block", F.col("p_name").alias(f"name_{s}"), F.col("category").alias(f"category_{s}")) for s in "ab")
-    pairs = a.join(b, "block").where("name_a < name_b").drop("block").distinct()
-    return pairs.select("name_a", "name_b", extract.duplicate_score(F.col("name_a"), F.col("name_b"), F.col("category_a") == F.col("category_b")).alias("score"))
+    """Long words of conversations that may be one: pairs to merge, with score and reasons. Likeness of matching blocks is not in SQL; tests compare by brute force."""
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("key"), F.col("role").alias("category"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0))).alias("word"))
+    names = _names(c, "word").drop("id").withColumn("id", F.col("name"))
+    plural = names.select("id", F.concat("name", F.lit("s")).alias("alias"))
+    return duplicates.duplicates(names, plural.union(names.select("id", "name")), least=0.9).select("keep", "merge", F.round("score", 6).alias("score"), F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("line_diffs")

@@ -17,23 +17,6 @@ from evidloom.sources import files
 registry.load()
 
 
-def test_scored_duplicates(spark, sf_dir):
-    got = {(r.name_a, r.name_b): r.score for r in registry.QUERIES["scored_duplicates"](spark, sf_dir).collect()}
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_name").agg(F.min("p_type").alias("t")).collect()
-    kinds = {r.p_name: r.t for r in part}
-    want = {}
-    for a in kinds:
-        for b in kinds:
-            if a < b and set(a.split()) & set(b.split()):
-                want[a, b] = min(0.94, difflib.SequenceMatcher(None, a, b).ratio() + 0.02 * (kinds[a] == kinds[b]))
-    assert got == pytest.approx(want)
-
-
-def test_duplicate_score_of_equal_keys(spark):
-    rows = spark.createDataFrame([("Data & skills", "data"), ("e-mail", "email"), (None, "x")], "a string, b string")
-    assert [round(r[0], 2) for r in rows.limit(2).select(extract.duplicate_score(F.col("a"), F.col("b"), F.lit(True))).collect()] == [0.99, 0.97]
-
-
 def test_line_diffs(spark):
     rows = spark.createDataFrame([("a\nb\nc", "a\nx\nc"), (None, "y"), ("same", "same")], "a string, b string")
     got = [r[0] for r in rows.select(extract.line_diff("a", "b")).collect()]
