@@ -344,7 +344,8 @@ def test_mixing(spark, odd, none):
     assert len(out) == len(ODD) and all(r.taken <= 3 * r["size"] for r in out)
     assert mixing.mixture(none).count() == 0
     assert sorted(map(str, out)) == sorted(map(str, mixing.mixture(odd.repartition(5)).collect()))
-    t = mixing.targets({"a": 10, "b": 1000, None: 50}, {"a": 1, "b": 2, None: 3}, 1060)
+    t = mixing.targets(spark.createDataFrame([("a", 10, 1.0), ("b", 1000, 2.0), (None, 50, 3.0)], "_source string, source_size long, _weight double"))
+    t = {r["_source"]: r.target for r in t.collect()}
     assert t["a"] == 30 and t[None] == 150 and abs(sum(t.values()) - 1060) < 1e-6
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 37 + 1).cast("int")).alias("text"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("source"), (F.col("id") % 5).alias("w"))
     for how in ({}, {"weight": "w"}):
@@ -356,6 +357,22 @@ def test_mixing(spark, odd, none):
     assert mixing.mixed(odd).columns == odd.columns
 
 
+def test_mixing_of_equal_rows(spark, duck):
+    """A thousand equal rows, and some among others, come within half a document of the target; SQL takes as many."""
+    rows = [(7, "one two three four", "a")] * 1000 + [(1000 + i, "w " * (i % 9), "b") for i in range(300)] + [(500, "x y", "b")] * 200 + [(None, None, None)] * 3 + [(9, "", "c")] * 5 + [(10, "z", "c")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6).selectExpr("*", "monotonically_increasing_id() AS extra")
+    got = mixing.mixture(docs)
+    for r in got.join(docs.select("doc_id", "source").distinct(), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r.taken - r.target) <= 4.5
+    con = duck.cursor()
+    con.register("given", docs.select("doc_id", "text", "source").toPandas().astype({"doc_id": "Int64"}))
+    want = con.execute(queries.SQL["op4_pareto_mixture"].replace("FROM documents", "FROM given")).df()
+    assert normal(got.toPandas()).values.tolist() == normal(want).values.tolist()
+    out = mixing.mixed(docs)
+    assert out.count() == got.selectExpr("sum(CASE WHEN size > 0 THEN taken / size END)").first()[0] + out.where("text = '' OR text IS NULL").count()
+    assert out.where("doc_id = 7").groupBy("extra").count().agg(F.max("count") - F.min("count")).first()[0] <= 1
+
+
 def brute_components(docs: list[tuple[int, str]]) -> dict[int, tuple[int, int]]:
     sets = {}
     for i, t in docs:
