@@ -5,33 +5,35 @@ sequences end. A document's words stream through it and the length of the longes
 ends at each word is tracked; a length of ``window`` or more marks words as hit. Items of fewer
 words than a window match as a whole. Words are compared by 64-bit hashes.
 
-The items go to the tasks in blocks of about ``BLOCK_WORDS`` words, one automaton a block. An
-item of more words is cut into pieces that overlap by a window less one word, so none is lost.
-A test set of one block, the usual case, is scanned for in one pass over the documents, without
-a shuffle, whatever their number or skew. A larger one takes a scan of its own for each block,
-in tasks of its own, so a task never holds more than one automaton. What these scans find is a
-row a text and block with hits, keyed by the text's digest; marks depend on the text alone, so
-they are joined back to all documents of that text. The driver holds one block at a time, and a
-broadcast for each.
+The items are dealt by hash into blocks of about ``BLOCK_WORDS`` words. An item of more words is
+cut into pieces that overlap by a window less one word, so none is lost. A task builds the
+automaton of a block, and it is written; automata are sent to the executors, and pass the driver
+one at a time on their way. The documents are read once for any number of blocks, and no text is
+shuffled: a task takes batches of some ``HELD`` bytes of text through one automaton after the
+other, and holds one at a time.
 
 Null texts and texts without words have no hits. Repeated documents give repeated rows. Items
 that are null or without words match nothing; items of equal id count as one; a null id reads
-``null``.
+``null``. Texts may be of any length: memory follows the longest. Columns of any names go through.
+An empty benchmark hits nothing.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from evidloom.llm.scratch import shielded, small_batches
+from evidloom.llm.scratch import shielded, small_batches, written
 from evidloom.llm.textvec import WORD, Slab, Words, slabs, span_hashes, tidy, words
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
+_U = np.uint64
+HELD = 16 << 20
 
 
 class SuffixAutomaton:
@@ -115,6 +117,8 @@ class SuffixAutomaton:
     def stream(self, ids: list[int], hit: np.ndarray, names: set[str]) -> None:
         """Marks in ``hit`` the words of ``ids`` that stand in a window, and adds the items."""
         nxt, link, length, window, some_short = self.next, self.link, self.length, self.window, bool(self.whole)
+        seen: set[int] = set()  # states of which the holders are among the names,
+        told: set[int] = set()  # and the states that stand for them
         v = matched = 0
         for i, c in enumerate(ids):
             while v and c not in nxt[v]:
@@ -127,7 +131,12 @@ class SuffixAutomaton:
             matched += 1
             if matched >= window:
                 hit[i - window + 1 : i + 1] = True
-                names |= self.holders(v)
+                if v not in seen:
+                    seen.add(v)
+                    found = self.holders(v)
+                    if (base := self._base.get(v, v)) not in told:
+                        told.add(base)
+                        names |= found
             if some_short:
                 for n, name in self.short(v):
                     if n <= matched:
@@ -169,26 +178,38 @@ class _Block:
                     names.setdefault(int(np.searchsorted(offsets, a, "right")) - 1, set()).update(found)
 
 
-def _pieces(name: str, words_of: np.ndarray, window: int):
-    """An item in pieces of about BLOCK_WORDS words at most, which hold all of its windows."""
-    size = max(BLOCK_WORDS, 2 * window)
-    for start in range(0, max(1, len(words_of) - window + 1), size - window + 1):
-        yield name, words_of[start : start + size]
+def _cut(size: int, window: int):
+    """Items in pieces of at most ``size`` word hashes, which hold all of their windows."""
+
+    def run(batches):
+        size_ = max(size, 2 * window)
+        for batch in batches:
+            names, pieces = [], []
+            for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                h = _hashed(text)
+                for start in range(0, max(1, len(h) - window + 1), size_ - window + 1) if len(h) else ():
+                    names.append(name)
+                    pieces.append(h[start : start + size_].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(pieces, pa.list_(pa.int64()))], ["name", "words"])
+
+    return run
+
+
+def _built(window: int):
+    def run(table: pa.Table) -> pa.Table:
+        items = [(name, np.array(w, np.int64).view(_U)) for name, w in zip(table["name"].to_pylist(), table["words"].to_pylist(), strict=True)]
+        return pa.table({"automaton": pa.array([pickle.dumps(_Block(items, window))], pa.binary())})
+
+    return run
 
 
-def _item_blocks(items, window: int):
-    """The items with words, in lists of about BLOCK_WORDS words."""
-    block, held = [], 0
-    for name, text in items:
-        h = _hashed(text)
-        for piece in _pieces(name, h, window) if len(h) else ():
-            block.append(piece)
-            held += len(piece[1])
-            if held >= BLOCK_WORDS:
-                yield block
-                block, held = [], 0
-    if block:
-        yield block
+def blocks_of(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """A row a block of the items: its automaton. Written."""
+    items = benchmark.where("text IS NOT NULL").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), "text").distinct()
+    pieces, _ = written(items.mapInArrow(_cut(block_words, window), "name string, words array<long>"), "items")
+    total = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("name", "words"), F.lit(max(1, math.ceil(total / block_words)))))
+    return written(dealt.groupBy("block").applyInArrow(_built(window), "automaton binary"), "automata")[0]
 
 
 def _rest(slab: Slab, d: int, w: Words, spans: list[dict]) -> str:
@@ -206,66 +227,45 @@ def _spans_of(hit: np.ndarray) -> list[dict]:
     return [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def _found(block: _Block | None, slab: Slab) -> tuple[Words, list[list[dict]], list[list[str]]]:
-    """Words of a slab, and of each document the spans and items that a block finds."""
-    w, data = words(slab, WORD)
-    hit, names = np.zeros(len(w.starts), bool), {}
-    if block:
-        block.scan(span_hashes(data, w.starts, w.ends), w.offsets, hit, names)
-    spans = [_spans_of(hit[w.offsets[d] : w.offsets[d + 1]]) if d in names else [] for d in range(len(slab))]
-    return w, spans, [sorted(names.get(d, ())) for d in range(len(slab))]
+def _groups(batches):
+    """Batches in lists of about HELD bytes."""
+    group, held = [], 0
+    for batch in batches:
+        group.append(batch)
+        held += batch.column("text").nbytes
+        if held >= HELD:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
 
 
-def _scan_one(shared, window: int, max_coverage: float, with_text: bool):
-    """All that is told of each document, from the only block of items."""
+def _scan(sent: list, max_coverage: float, with_text: bool):
+    """All that is told of each document, from all blocks of items."""
 
     def run(batches):
-        block = _Block(shared.value, window) if shared else None
-        for batch in batches:
-            out = _Rows(max_coverage, with_text)
-            for slab in slabs(batch.column("text")):
-                w, spans, items = _found(block, slab)
-                for d in range(len(slab)):
-                    out.add(slab, d, w, spans[d], items[d])
-            yield out.beside(batch, batch.schema.names)
-
-    return run
-
-
-def _scan_block(shared, window: int):
-    """(digest, spans, items) of texts in which a block of several finds something."""
-
-    def run(batches):
-        block = _Block(shared.value, window)
-        for batch in batches:
-            rows = []
-            digests = batch.column("digest").to_pylist()
-            for slab in slabs(batch.column("text")):
-                _, spans, items = _found(block, slab)
-                rows += [(digests[slab.first + d], spans[d], items[d]) for d in range(len(slab)) if spans[d]]
-            cols = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.binary(), _SPANS, pa.list_(pa.string())), strict=True)], names=["digest", "spans", "items"])
-
-    return run
-
-
-def _merge(max_coverage: float, with_text: bool):
-    """All that is told of each document, from what the blocks found in its text."""
-
-    def run(batches):
-        for batch in batches:
-            out = _Rows(max_coverage, with_text)
-            found = batch.column("_found").to_pylist()
-            for slab in slabs(batch.column("text")):
-                w, _ = words(slab, WORD)
-                for d in range(len(slab)):
-                    own = found[slab.first + d] or ()
-                    hit = np.zeros(w.offsets[d + 1] - w.offsets[d] if own else 0, bool)
-                    for f in own:
-                        for s in f["spans"]:
-                            hit[s["start"] : s["end"]] = True
-                    out.add(slab, d, w, _spans_of(hit), sorted({x for f in own for x in f["items"]}))
-            yield out.beside(batch, [n for n in batch.schema.names if n != "_found"])
+        only = pickle.loads(sent[0].value) if len(sent) == 1 else None
+        for group in _groups(batches):
+            held = []
+            for batch in group:
+                for slab in slabs(batch.column("text")):
+                    w, data = words(slab, WORD)
+                    held.append((slab, w, span_hashes(data, w.starts, w.ends), np.zeros(len(w.starts), bool), {}))
+            for shared in sent:
+                block = only or pickle.loads(shared.value)
+                for _, w, hashes, hit, names in held:
+                    block.scan(hashes, w.offsets, hit, names)
+                if not only:
+                    vars(shared).pop("_value", None)  # read again from the executor's disk when its turn comes
+            found = iter(held)
+            for batch in group:
+                out, d = _Rows(max_coverage, with_text), 0
+                while d < batch.num_rows:
+                    slab, w, _, hit, names = next(found)
+                    for k in range(len(slab)):
+                        out.add(slab, k, w, _spans_of(hit[w.offsets[k] : w.offsets[k + 1]]) if k in names else [], sorted(names.get(k, ())))
+                    d += len(slab)
+                yield out.beside(batch, batch.schema.names)
 
     return run
 
@@ -293,40 +293,32 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _TOLD = "_items array<string>, _n_words long, _n_hit long, _spans array<struct<start:long,end:long>>, _clean string"
 
 
-def _scanned(docs: DataFrame, benchmark: DataFrame, columns: list[str], window: int, max_coverage: float, with_text: bool) -> DataFrame:
+def _scanned(docs: DataFrame, benchmark: DataFrame, columns: list[str], window: int, max_coverage: float, with_text: bool, block_words: int) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.where("text IS NOT NULL").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), "text").distinct()
     docs = docs.select(*columns)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
-    blocks = [spark.sparkContext.broadcast(b) for b in _item_blocks((tuple(r) for r in items.toLocalIterator()), window)]
-    if len(blocks) < 2:
-        return docs.mapInArrow(tidy(_scan_one(blocks[0] if blocks else None, window, max_coverage, with_text)), fields + _TOLD)
-    keyed = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)))
-    texts = keyed.select(F.col("_digest").alias("digest"), "text")
-    found = [texts.mapInArrow(_scan_block(b, window), "digest binary, spans array<struct<start:long,end:long>>, items array<string>").dropDuplicates(["digest"]) for b in blocks]
-    found = reduce(DataFrame.union, found).groupBy("digest").agg(F.collect_list(F.struct("spans", "items")).alias("_found"))  # a row a block at most
-    rows = keyed.join(found.withColumnRenamed("digest", "_digest"), "_digest", "left").select(*docs.columns, "_found")
-    return rows.mapInArrow(_merge(max_coverage, with_text), fields + _TOLD)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    sent = [spark.sparkContext.broadcast(r.automaton) for r in blocks_of(benchmark, window, block_words).toLocalIterator()]
+    return docs.mapInArrow(tidy(_scan(sent, max_coverage, with_text)), fields + _TOLD)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, items and hit spans.
 
     ``benchmark`` has item_id and text. ``items`` are the ids, sorted as strings, of which a
     window occurs; ``spans`` number words, end exclusive.
     """
-    out = _scanned(docs, benchmark, ["doc_id", "text"], window, 1.0, False)
+    out = _scanned(docs, benchmark, ["doc_id", "text"], window, 1.0, False, block_words)
     return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.col("_items").alias("items"), F.col("_spans").alias("spans"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without the hit spans, and without the documents of which they cover more than ``max_coverage``.
 
     Any columns stay; n_chars, where there is one, follows the text.
     """
     rows, back = shielded(docs, "text", "n_chars")
-    out = _scanned(rows, benchmark, rows.columns, window, max_coverage, True)
+    out = _scanned(rows, benchmark, rows.columns, window, max_coverage, True, block_words)
     out = out.where(F.col("_n_hit") <= max_coverage * F.col("_n_words")).withColumn("text", F.coalesce("_clean", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_clean").isNotNull(), F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

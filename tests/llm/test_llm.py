@@ -455,11 +455,7 @@ def test_decontaminate(spark, odd, none):
     bench = spark.createDataFrame([(1, item), (2, "only three words"), (3, None), (4, ""), (None, item)], "item_id long, text string")
     docs = spark.createDataFrame([(1, f"before, {item.upper()} after"), (2, "Only, three WORDS here"), (3, " ".join(item.split()[:9])), (4, None), (5, item)], "doc_id long, text string")
     for block in (decontaminate.BLOCK_WORDS, 5):
-        kept, decontaminate.BLOCK_WORDS = decontaminate.BLOCK_WORDS, block
-        try:
-            got = {r.doc_id: r for r in decontaminate.contamination(docs, bench).collect()}
-        finally:
-            decontaminate.BLOCK_WORDS = kept
+        got = {r.doc_id: r for r in decontaminate.contamination(docs, bench, block_words=block).collect()}
         assert (got[1].n_words, got[1].n_hit, got[1]["items"]) == (18, 16, ["1", "null"])
         assert (got[2].n_hit, got[2]["items"]) == (3, ["2"]) and got[3].n_hit == 0 and got[4].n_words == 0
     clean = {r.doc_id: r.text for r in decontaminate.decontaminated(docs, bench, max_coverage=0.9).collect()}
@@ -470,6 +466,15 @@ def test_decontaminate(spark, odd, none):
     assert decontaminate.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_documents_are_read_once(spark, sf_dir):
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    assert decontaminate.blocks_of(bench, block_words=40).count() >= 20
+    many = decontaminate.contamination(docs, bench, block_words=40)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Join" not in plan
+    assert normal(many.drop("spans").toPandas()).values.tolist() == normal(decontaminate.contamination(docs, bench).drop("spans").toPandas()).values.tolist()
+
+
 def test_decontaminate_by_many_blocks(spark):
     """Blocks and pieces of long items find what one automaton finds, and that is what brute force finds."""
     r = np.random.default_rng(5)
@@ -492,11 +497,7 @@ def test_decontaminate_by_many_blocks(spark):
                     names |= found
         want[d] = (len(hit), sorted(names))
     for block in (decontaminate.BLOCK_WORDS, 40):
-        kept, decontaminate.BLOCK_WORDS = decontaminate.BLOCK_WORDS, block
-        try:
-            got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.contamination(docs, bench).collect()}
-        finally:
-            decontaminate.BLOCK_WORDS = kept
+        got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.contamination(docs, bench, block_words=block).collect()}
         assert got == want
 
 
