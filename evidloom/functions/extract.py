@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
-from evidloom.functions.text import clean_text
+from evidloom.functions.text import clean_text, tokens
 
 
 def first_filled(*columns: str | Column, default: str | None = None) -> Column:
@@ -148,3 +148,32 @@ def unique_names(header: list[str]) -> list[str]:
 def line_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     """A unified diff by lines with two lines of context, of 300 lines at most."""
     return pd.Series(["\n".join([*difflib.unified_diff((x or "").split("\n"), (y or "").split("\n"), n=2, lineterm="")][:300]) for x, y in zip(a, b, strict=True)])
+
+
+#: Fixed: what features of a posting are divided by, and the year that stands for none.
+FEATURE_SCALE = {"posting": 4000.0, "title": 200.0, "matched": 120.0, "evidence": 600.0, "salary": 200_000.0}
+FEATURE_YEAR = 2026.0
+
+
+def training_features(given: dict[str, Column], sources: dict[str, str], regions: dict[str, str], declared: str = "declared_job_skill") -> dict[str, Column]:
+    """The features, each from 0 to 1, that a mapping of a posting to a skill is learnt from.
+
+    ``given`` has description, title, matched, evidence_len, salary_mid, year, quarter, confidence, source, region, employment, skills, processed and
+    method; nulls are like none. ``sources`` and ``regions`` name a feature for each pattern, of which several may hold.
+    """
+    low = lambda k: F.lower(F.coalesce(given[k].cast("string"), F.lit("")))
+    size = lambda k, scale: F.least(F.length(F.coalesce(given[k], F.lit(""))), F.lit(int(FEATURE_SCALE[scale]))) / FEATURE_SCALE[scale]
+    held = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c.cast("double")))
+    flag = lambda c: F.when(F.coalesce(c, F.lit(False)), 1.0).otherwise(0.0)
+    words, own = tokens(F.concat_ws(" ", low("title"), low("description"))), tokens(low("matched"))
+    either = F.size(F.array_union(words, own))
+    out = {
+        "posting_len": size("description", "posting"), "title_len": size("title", "title"), "skills_count": held(F.coalesce(given["skills"], F.lit(0.0))), "matched_len": size("matched", "matched"),
+        "desc_match": flag((low("matched") != "") & F.contains(low("description"), low("matched"))), "token_overlap": F.when(either > 0, F.size(F.array_intersect(words, own)) / either).otherwise(0.0),
+        "evidence_len": held(F.coalesce(given["evidence_len"], F.lit(0.0)) / FEATURE_SCALE["evidence"]), "confidence": held(F.coalesce(given["confidence"], F.lit(0.5))),
+    }
+    out |= {name: flag(low("source").rlike(p)) for name, p in sources.items()} | {name: flag(low("region").rlike(p)) for name, p in regions.items()}
+    return out | {
+        "salary_mid_norm": held(F.coalesce(given["salary_mid"], F.lit(0.0)) / FEATURE_SCALE["salary"]), "employment_full_time": flag(low("employment").startswith("full")), "is_processed": flag(given["processed"]),
+        "year_norm": held((F.coalesce(given["year"], F.lit(FEATURE_YEAR)) - 2000.0) / 40.0), "quarter_norm": held(F.coalesce(given["quarter"], F.lit(1.0)) / 4.0), "is_declared_job_skill": flag(given["method"] == declared),
+    }

@@ -111,6 +111,22 @@ def regression_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.round(F.avg(F.abs(e)), 4).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse"), F.round(F.avg(F.when(F.abs(F.col(truth)) + F.abs(F.col(predicted)) > 0, 2 * F.abs(e) / (F.abs(F.col(truth)) + F.abs(F.col(predicted)))).otherwise(0.0)), 4).alias("smape"))
 
 
+def forecast_report(df: DataFrame, group: str, order: str, truth: str, predicted: str) -> DataFrame:
+    """(group, n, mae, rmse, smape, mape, direction) of each series, in per cent but for the first two.
+
+    mape leaves rows out of which the truth is 0 (null if all are); direction is the share of steps in which both move the same way.
+    """
+    w = Window.partitionBy(group).orderBy(order)
+    y, p = F.col(truth).cast("double"), F.col(predicted).cast("double")
+    rows = df.select(group, y.alias("_y"), p.alias("_p"), F.lag(y).over(w).alias("_y0"), F.lag(p).over(w).alias("_p0"))
+    e = F.abs(F.col("_y") - F.col("_p"))
+    same = F.when(F.col("_y0").isNotNull(), (F.signum(F.col("_y") - F.col("_y0")) == F.signum(F.col("_p") - F.col("_p0"))).cast("double"))
+    return rows.groupBy(group).agg(
+        F.count("*").alias("n"), F.avg(e).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (100 * F.avg(2 * e / (F.abs("_y") + F.abs("_p") + F.lit(1e-8)))).alias("smape"),
+        (100 * F.avg(F.when(F.abs("_y") > 1e-8, e / F.abs("_y")))).alias("mape"), F.avg(same).alias("direction"),
+    )
+
+
 def nearest_rank(df: DataFrame, group: str | None, value: str, share: float) -> DataFrame:
     """(group, value): the least value that at least that share of a group's rows does not exceed.
 
