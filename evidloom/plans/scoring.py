@@ -58,7 +58,7 @@ _REGIONS = {"region_america": "america", "region_a": "^a"}
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 w AS (SELECT *, list_distinct(regexp_extract_all(lower(title || ' ' || description), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(matched, '[a-z0-9]+')) AS b FROM r)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(length(description) / 4000.0::DOUBLE + 2 * (length(title) / 200.0::DOUBLE) + 3 * (length(matched) / 120.0::DOUBLE), 9) AS sizes, contains(lower(description), matched)::INT::DOUBLE AS desc_match, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS token_overlap, round(least(1, coalesce(conf, 0.5)), 6) AS confidence,
-  regexp_matches(source, 'urgent|high')::INT::DOUBLE AS source_urgent, regexp_matches(source, '^5')::INT::DOUBLE AS source_low, regexp_matches(region, 'america')::INT::DOUBLE AS region_america, regexp_matches(region, '^a')::INT::DOUBLE AS region_a, round(least(1, salary / 200000.0), 6) AS salary_mid_norm, round(greatest(0, least(1, (y - 2000) / 40.0)), 6) AS year_norm, q / 4.0 AS quarter_norm, (l_extendedprice > 0)::INT::DOUBLE AS is_processed FROM w""")
+  regexp_matches(source, 'urgent|high')::INT::DOUBLE AS source_urgent, regexp_matches(source, '^5')::INT::DOUBLE AS source_low, regexp_matches(region, 'america')::INT::DOUBLE AS region_america, regexp_matches(region, '^a')::INT::DOUBLE AS region_a, round(least(1, salary / 200000.0::DOUBLE), 9) AS salary_mid_norm, round(greatest(0, least(1, (y - 2000) / 40.0)), 6) AS year_norm, q / 4.0 AS quarter_norm, (l_extendedprice > 0)::INT::DOUBLE AS is_processed FROM w""")
 def training_features(spark, sf):
     """What a line tells of its order as a posting: sizes, overlaps, flags of source and region, money and time."""
     j = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.expr("l_orderkey = o_orderkey")).join(table(spark, sf, "customer"), F.expr("o_custkey = c_custkey")).join(table(spark, sf, "part"), F.expr("l_partkey = p_partkey"))
@@ -69,8 +69,8 @@ def training_features(spark, sf):
     }
     x = extract.training_features(given, _SOURCES, _REGIONS)
     sizes = F.round(x["posting_len"] + 2 * x["title_len"] + 3 * x["matched_len"], 9)
-    shown = ["token_overlap", "confidence", "salary_mid_norm", "year_norm"]
-    return j.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", sizes.alias("sizes"), *[F.round(x[c], 6).alias(c) for c in shown], *[x[c].alias(c) for c in ("desc_match", *_SOURCES, *_REGIONS, "quarter_norm", "is_processed")])
+    shown = ["token_overlap", "confidence", "year_norm"]
+    return j.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", sizes.alias("sizes"), F.round(x["salary_mid_norm"], 9).alias("salary_mid_norm"), *[F.round(x[c], 6).alias(c) for c in shown], *[x[c].alias(c) for c in ("desc_match", *_SOURCES, *_REGIONS, "quarter_norm", "is_processed")])
 
 
 _TASKS = "lineitem JOIN part ON l_partkey = p_partkey"
