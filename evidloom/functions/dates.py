@@ -33,4 +33,4 @@ def age_days(c: Column, now: Column) -> Column:
 
 def seconds_between(a: Column, b: Column) -> Column:
     """Never negative; null where either is."""
-    return F.greatest(F.lit(0.0), b.cast("double") - a.cast("double")) + F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).otherwise(0.0)
+    return F.greatest(F.lit(0.0), b.cast("timestamp").cast("double") - a.cast("timestamp").cast("double")) + F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).otherwise(0.0)

@@ -34,12 +34,15 @@ def read_csv_rows(spark: SparkSession, path: str, schema: str, start_row: int =
     The number of a row is its place in the order of files and lines; a file may be read by many tasks.
     """
     typed = T.StructType.fromDDL(schema)
-    lines = spark.read.text(path)
-    header = lines.first()
+    place = F.monotonically_increasing_id()
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), (F.col("_metadata.file_block_start") == 0).alias("_first"), place.alias("_id"))
+    # The header is the first line of a file; lines that equal it further on are rows.
+    heads = lines.where("_first").groupBy("_file").agg(F.min("_id").alias("_id")).select("_id")
     parsed = F.from_csv("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "escape": '"', "columnNameOfCorruptRecord": "_corrupt_record"})
-    part = lines.where(F.col("value") != (header[0] if header else "")).select(parsed.alias("r")).select("r.*").withColumns({"_id": F.monotonically_increasing_id()}).withColumn("_part", F.shiftright("_id", 33))
+    part = lines.join(heads, "_id", "left_anti").select(parsed.alias("r"), "_id").select("r.*", "_id").withColumn("_part", F.shiftright("_id", 33))
     before = part.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a task
-    rows = part.join(before, "_part").withColumn("_row", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    within = F.row_number().over(Window.partitionBy("_part").orderBy("_id"))
+    rows = part.withColumn("_within", within).join(before, "_part").withColumn("_row", F.col("_before") + F.col("_within"))
     rows = rows.where(F.col("_row") >= start_row)
     if max_rows is not None:
         rows = rows.where(F.col("_row") < start_row + max_rows)
@@ -49,10 +52,21 @@ def read_csv_rows(spark: SparkSession, path: str, schema: str, start_row: int =
 def import_csv(spark: SparkSession, folder: str, schema: str, to: str, checkpoint: str, key: str, files_a_batch: int = 1) -> list[int]:
     """Imports the files of a folder as a stream of what is there, some files a batch; returns the rows of each batch.
 
-    Keys that came before are left out, so a repeated file adds nothing; a rerun goes on where the last one ended.
+    Keys that the target has already are left out, so a repeated file adds nothing; a rerun goes on where the last one ended. What is
+    known is the target itself, so no state grows; a batch that is run again replaces the part that it wrote.
     """
-    stream = spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", files_a_batch).csv(folder).dropDuplicates([key])
-    query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").option("path", to).start()
+    stream = spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", files_a_batch).csv(folder)
+
+    def add(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        written = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField("batch", T.IntegerType())])
+        new = batch.dropDuplicates([key])
+        if number:
+            known = session.read.schema(written).parquet(to).where(F.col("batch") < number).select(key)
+            new = new.join(known, key, "left_anti")
+        new.write.mode("overwrite").parquet(f"{to}/batch={number}")
+
+    query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(add).start()
     query.awaitTermination()
     return [int(p["numInputRows"]) for p in query.recentProgress]
 
