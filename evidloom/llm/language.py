@@ -6,8 +6,11 @@ vector machines, and so are the languages of each family; all are Spark ML model
 most ``per_language`` documents a language. A text's language is that with the most won
 comparisons, ties by total margin; the score is the product of the two steps' confidence.
 
-Documents are only scanned. A text that is null or has no letter is ``und`` with score 0, as is
-every text if no language is learnt. A language of no known family is a family of its own.
+Documents are only scanned: once for the ids to learn from, once for their texts, once to predict. A
+text that is null or has no letter is ``und`` with score 0, as is every text if no language is learnt.
+A language of no known family is a family of its own. Rows that repeat an id and language teach once,
+by the least text, and are predicted each; ids that are null teach nothing. Whole texts are read, of any
+length; other columns may have any names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,12 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidloom.llm.quality import held_out
-from evidloom.llm.textvec import LOWER, slabs
+from evidloom.llm.scratch import remove, small_batches, written
+from evidloom.llm.textvec import LOWER, slabs, tidy
 
 PER_LANGUAGE = 1500
+FIT_PARTS = 4
 TERMS = 512  # of pairs, and of triples
 
 #: Families of common language codes.
@@ -134,27 +139,53 @@ def _duels(rows: DataFrame, of: str, names: list[str]) -> list[Duel]:
     return out
 
 
+def _least(most: int):
+    """Of the rows of a task, for each language the ``most`` distinct ids of least hash."""
+
+    def run(batches):
+        best: dict[str, np.ndarray] = {}
+        for batch in batches:
+            lang = batch.column("lang").dictionary_encode()
+            rows = np.stack((batch.column("h").to_numpy(), batch.column("doc_id").to_numpy()), 1)
+            which = lang.indices.to_numpy()
+            for k, name in enumerate(lang.dictionary.to_pylist()):
+                own = np.concatenate((best.get(name, rows[:0]), rows[which == k]))
+                best[name] = np.unique(own, axis=0)[:most]
+        for name, rows in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["lang", "h", "doc_id"])
+
+    return run
+
+
+def sampled_ids(known: DataFrame, most: int) -> DataFrame:
+    """(doc_id, lang): for each language the ``most`` ids of least hash, in one scan of ids and languages. Written."""
+    thin = known.select("lang", F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
+    few = thin.mapInArrow(_least(most), "lang string, h long, doc_id long").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    return written(few.withColumn("_rn", place).where(F.col("_rn") <= most).select("doc_id", "lang"), "sampled")[0]
+
+
 def fit(docs: DataFrame, learnt: Column, per_language: int = PER_LANGUAGE) -> Model:
     """Learns from at most ``per_language`` documents of each language for which ``learnt`` holds."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learnt)
-    languages = sorted(r[0] for r in known.select("lang").distinct().collect())
-    parts = [known.where(F.col("lang") == v).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(per_language).select("doc_id") for v in languages]
-    if not parts:
+    chosen = sampled_ids(known, per_language)
+    languages = sorted(r[0] for r in chosen.select("lang").distinct().collect())
+    if not languages:
         return Model({}, {"": []})
-    chosen = parts[0]
-    for p in parts[1:]:
-        chosen = chosen.union(p)
     # A row an id and language, so that an id that very many rows have stays one; the shuffle also sets the scan apart from what follows.
-    texts = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
+    texts = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
     families: dict[str, list[str]] = {}
     for v in languages:
         families.setdefault(family(v), []).append(v)
     of_family = F.create_map(*[F.lit(x) for v in languages for x in (v, family(v))])
-    rows = texts.mapInArrow(_vectors, "lang string, x array<double>").select("lang", of_family[F.col("lang")].alias("family"), array_to_vector("x").alias("x")).cache()
+    # Fits are many small jobs over the sample, so it is written and read in a few parts.
+    vectors, path = written(texts.mapInArrow(tidy(_vectors), "lang string, x array<double>"), "letters")
+    rows = vectors.select("lang", of_family[F.col("lang")].alias("family"), array_to_vector("x").alias("x")).coalesce(FIT_PARTS).cache()
     duels = {"": _duels(rows, "family", sorted(families))}
     for name, members in families.items():
         duels[name] = _duels(rows.where(F.col("family") == name), "lang", members)
     rows.unpersist()
+    remove(docs.sparkSession, path)
     return Model(families, duels)
 
 
@@ -174,8 +205,9 @@ def _predict(shared):
 
 def language(docs: DataFrame, folds: int = 5, fold: int = 0, **how) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of each row; learns from (text, lang) outside the held-out fold."""
+    small_batches(docs.sparkSession)
     model = fit(docs, ~held_out("doc_id", folds, fold), **how)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = texts.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), f"doc_id {kind}, lang_pred string, score double")
+    out = texts.mapInArrow(tidy(_predict(docs.sparkSession.sparkContext.broadcast(model))), f"doc_id {kind}, lang_pred string, score double")
     return out.select("doc_id", held_out("doc_id", folds, fold).alias("held_out"), "lang_pred", "score")
