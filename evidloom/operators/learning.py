@@ -32,8 +32,8 @@ def tfidf(counts: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
     """(key, term, weight): counts times smooth inverse frequency, of unit length for each key. The vocabulary has a fixed size."""
     idf = F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
     raw = counts.join(F.broadcast(vocabulary), "term").select(key, "term", (F.col("n") * idf).alias("raw"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))  # a row a term of the vocabulary
+    return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
 
 
 def gaps(weights: DataFrame, key: str, demand: DataFrame) -> DataFrame:
@@ -45,12 +45,11 @@ def gaps(weights: DataFrame, key: str, demand: DataFrame) -> DataFrame:
 
 
 def with_missing(weights: DataFrame, key: str, demand: DataFrame, most: int) -> DataFrame:
-    """``weights`` with the ``most`` terms of the greatest demand that a key lacks, as they are in demand."""
-    keys = weights.select(key).distinct()
-    missing = keys.join(F.broadcast(demand)).join(weights.select(key, "term"), [key, "term"], "left_anti")
-    order = Window.partitionBy(key).orderBy(F.desc("weight"), "term")
-    added = missing.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= most).select(key, "term", "weight")
-    return weights.unionByName(added)
+    """``weights`` with the ``most`` terms of the greatest demand that a key lacks, as they are in demand. Demand has a row a term of the vocabulary."""
+    wanted = demand.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "term"))), lambda x: F.struct(x["term"].alias("term"), (-x["w"]).alias("weight"))).alias("_wanted"))
+    own = weights.groupBy(key).agg(F.collect_set("term").alias("_own")).join(F.broadcast(wanted))
+    lacks = F.slice(F.filter("_wanted", lambda x: ~F.array_contains("_own", x["term"])), 1, most)
+    return weights.unionByName(own.select(key, F.explode(lacks).alias("x")).select(key, "x.term", "x.weight"))
 
 
 def scenario(skills: DataFrame, key: str, add: list[str], drop: list[str], demand: DataFrame, unknown: float = 0.1) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evidloom.operators import evaluation, learning, series
 from evidloom.plans.registry import query, table
+from evidloom.tables import stored
 
 _STOP = ", ".join(f"'{w}'" for w in learning.STOP)
 _TFIDF = f"""c AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_][a-z0-9_]+')) AS term FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') AS text FROM documents)) WHERE term NOT IN ({_STOP}) GROUP BY ALL),
@@ -16,7 +17,7 @@ _DEMAND = "d AS (SELECT term, sum(weight) AS weight FROM w JOIN labels USING (do
 
 def _weights(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", " ").alias("text"))
-    counts = learning.term_counts(docs, "doc_id", "text")
+    counts, _ = stored(learning.term_counts(docs, "doc_id", "text"), "terms")  # read by the vocabulary, the weights and what is made of them
     vocabulary = learning.vocabulary(counts, docs.agg(F.count("*").alias("n_docs")))
     return learning.tfidf(counts, "doc_id", vocabulary), vocabulary
 
