@@ -29,4 +29,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Registers the queries of all plans."""
-    from evidloom.plans import demand, enrichment, evaluation, files, governance, hierarchies, imputation, ingest, learning, matching, paged, quality, records, reviews, scoring, search, signals  # noqa: F401
+    from evidloom.plans import artefacts, demand, enrichment, evaluation, files, governance, hierarchies, imputation, ingest, learning, matching, paged, quality, records, reviews, scoring, search, signals  # noqa: F401
