@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
+from evidloom.functions.blocks import unified
 from evidloom.functions.text import clean_text, tokens
 
 
@@ -147,7 +147,7 @@ def unique_names(header: list[str]) -> list[str]:
 @F.pandas_udf(StringType())
 def line_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     """A unified diff by lines with two lines of context, of 300 lines at most."""
-    return pd.Series(["\n".join([*difflib.unified_diff((x or "").split("\n"), (y or "").split("\n"), n=2, lineterm="")][:300]) for x, y in zip(a, b, strict=True)])
+    return pd.Series(["\n".join(unified((x or "").split("\n"), (y or "").split("\n"))[:300]) for x, y in zip(a, b, strict=True)])
 
 
 #: Fixed: what features of a posting are divided by, and the year that stands for none.
