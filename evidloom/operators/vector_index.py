@@ -74,8 +74,8 @@ def fitted_centres(rows: DataFrame, cells: int, seed: int = 7) -> tuple[np.ndarr
     few = learnt.select("v").orderBy("id").limit(TUNED).toPandas()
     if not len(few):
         return np.zeros((1, 1)), few
-    model = KMeans(k=max(2, min(cells, len(few))), seed=seed, maxIter=15, distanceMeasure="cosine").fit(learnt.coalesce(8)) if len(few) > 1 else None
-    c = np.stack(model.clusterCenters()) if model else np.stack(few["v"])
+    model = KMeans(k=max(2, min(cells, len(few))), seed=seed, maxIter=15, distanceMeasure="cosine").fit(learnt.coalesce(8)) if cells > 1 and len(few) > 1 else None
+    c = np.stack(model.clusterCenters()) if model else np.stack(few["v"][:1])
     return c / np.maximum(np.sqrt((c**2).sum(1))[:, None], 1e-12), few
 
 
@@ -94,7 +94,10 @@ def enough_probes(few: pd.DataFrame, centres: np.ndarray, recall: float, k: int)
 
 
 def vector_index(vectors: DataFrame, id_col: str, vector_col: str, cells: int = 64, recall: float = 0.97, k: int = 20) -> VectorIndex:
-    """Indexes every vector. ``recall`` of the ``k`` nearest is aimed at when the number of probes is chosen on the sample."""
+    """Indexes every vector. ``recall`` of the ``k`` nearest is aimed at when the number of probes is chosen on the sample.
+
+    One cell, cut into slices, is enough for exact search, and nothing is learnt for it.
+    """
     rows, _ = stored(unit(vectors, id_col, vector_col), "unit")
     centres, few = fitted_centres(rows, cells)
     placed = nearest_centres(rows, centres, 1).select("id", "v", F.element_at("cells", 1).alias("cell"))

@@ -24,16 +24,16 @@ def _vectors(rows, key):
     return enrichment.hashed_vectors(rows, key, tokens(F.col("text"))).select(F.col(key).alias("id"), "v")
 
 
-@query("hashed_vectors", f"WITH {_sql('d', 'SELECT doc_id AS id, text FROM documents')} SELECT id AS doc_id, v[1] AS first, v[64] AS last, round(list_sum(list_transform(range(64), lambda i: i * v[i + 1])), 5) AS mark FROM d")
+@query("hashed_vectors", f"WITH {_sql('d', 'SELECT doc_id AS id, text FROM documents')} SELECT id AS doc_id, v[1] AS first, v[64] AS last, round(list_sum(list_transform(range(64), lambda i: i * v[i + 1])), 5) + 0 AS mark FROM d")
 def hashed_vectors(spark, sf):
     """Every text as a vector of hashed words: two of its places and a weighted sum of all."""
     v = _vectors(table(spark, sf, "documents"), "doc_id")
     mark = F.aggregate(F.transform("v", lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
-    return v.select(F.col("id").alias("doc_id"), F.element_at("v", 1).alias("first"), F.element_at("v", -1).alias("last"), F.round(mark, 5).alias("mark"))
+    return v.select(F.col("id").alias("doc_id"), F.element_at("v", 1).alias("first"), F.element_at("v", -1).alias("last"), (F.round(mark, 5) + 0.0).alias("mark"))
 
 
 def _nearest_sql(asked: str, of: str, k: int, least: float) -> str:
-    return f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, round(s, 6) AS score FROM (SELECT q.id AS query_id, t.id, round(list_dot_product(q.u, t.u), 12) AS s FROM (SELECT id, {_UNIT} AS u FROM {asked}) q, (SELECT id, {_UNIT} AS u FROM {of}) t) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) <= {2 * k}) WHERE score >= {least} QUALIFY rank <= {k})"
+    return f"(SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, s, round(s, 6) AS score FROM (SELECT q.id AS query_id, t.id, round(list_dot_product(q.u, t.u), 12) AS s FROM (SELECT id, {_UNIT} AS u FROM {asked}) q, (SELECT id, {_UNIT} AS u FROM {of}) t) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) <= {2 * k}) WHERE s >= {least} QUALIFY rank <= {k})"
 
 
 @query("enriched_postings", f"""WITH {_sql('q', 'SELECT doc_id AS id, text FROM documents')}, {_sql('s', "SELECT item_id::VARCHAR AS id, text FROM benchmark")}, {_sql('o', "SELECT 'c' || conv_id AS id, string_agg(text, ' ') AS text FROM conversations WHERE conv_id < 20 GROUP BY 1")},

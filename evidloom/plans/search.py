@@ -11,8 +11,8 @@ from evidloom.plans.registry import query, table
 _UNIT = "u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) WHERE len(e) > 0 AND list_dot_product(e, e) > 0)"
 
 
-def _index(spark, sf):
-    return vector_index.vector_index(table(spark, sf, "embeddings"), "vec_id", "embedding")
+def _index(spark, sf, **how):
+    return vector_index.vector_index(table(spark, sf, "embeddings"), "vec_id", "embedding", **how)
 
 
 def _asked(spark, sf):
@@ -20,11 +20,11 @@ def _asked(spark, sf):
 
 
 @query("vector_top", f"""WITH {_UNIT}, s AS (SELECT q.vec_id AS query_id, u.vec_id AS id, round(list_dot_product(q.v, u.v), 12) AS score FROM u q, u WHERE q.vec_id % 100 = 0),
-f AS (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM s),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank, id, score FROM f WHERE rn <= 40 AND score >= 0.05) SELECT * FROM r WHERE rank <= 20""")
+f AS (SELECT query_id, id, score AS s, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM s),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank, id, score FROM f WHERE rn <= 40 AND s >= 0.05) SELECT * FROM r WHERE rank <= 20""")
 def vector_top(spark, sf):
     """The twenty nearest rows of every row whose id is divisible by 100, by exact search over all slices."""
-    return vector_index.search(_index(spark, sf), _asked(spark, sf), "vec_id", "embedding", k=20, least=0.05, exact=True)
+    return vector_index.search(_index(spark, sf, cells=1), _asked(spark, sf), "vec_id", "embedding", k=20, least=0.05, exact=True)
 
 
 @query("vector_index_top")
