@@ -11,14 +11,14 @@ from functools import reduce
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from evidloom.functions.text import tokens
 from evidloom.operators.quality import roc_auc, running
-from evidloom.tables import stored
+from evidloom.tables import new_folder, stored
 
 #: Fixed: share of groups that are developed on, where each fold's training ends, and what follows for validation.
 DEVELOPMENT = 0.8
@@ -69,7 +69,14 @@ def text_logistic(train: DataFrame, text: str, label: str, size: int = 1000) ->
     weighted = Pipeline(stages=[IDF(inputCol="_c", outputCol="_i"), Normalizer(inputCol="_i", outputCol="_v")]).fit(found)
     rows, _ = stored(weighted.transform(found).select("label", "_v", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)).alias("_weight")), "weights")
     model = LogisticRegression(featuresCol="_v", labelCol="label", weightCol="_weight", regParam=1.0 / max(n, 1), standardization=False, maxIter=200).fit(rows)
-    return PipelineModel(stages=[*counts.stages, *weighted.stages, model])
+    return PipelineModel(stages=[*counts.stages, *weighted.stages, without_summary(model)])
+
+
+def without_summary(model: LogisticRegressionModel) -> LogisticRegressionModel:
+    """The model as it is saved. A fresh one carries the summary of its training, which holds the session, and a session that has observed a query cannot be sent to tasks."""
+    path = new_folder(SparkSession.active(), "model")
+    model.save(path)
+    return LogisticRegressionModel.load(path)
 
 
 def scored_by(model: PipelineModel, rows: DataFrame, text: str) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from evidloom.operators import evaluation, quality
 from evidloom.plans import registry
@@ -96,3 +96,10 @@ def test_models_beat_chance_on_held_out_rows(spark):
     path = "/root/testdata/sf0.01"
     held = registry.QUERIES["alignment_logistic"](spark, path).where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).withColumn("label", F.col("label").cast("int"))
     assert quality.roc_auc(held, "label", "score").first().auc > 0.65
+
+
+def test_a_model_is_used_after_a_query_was_observed(spark):
+    rows = spark.createDataFrame([(i, "good fine text" if i % 2 else "poor words", float(i % 2)) for i in range(20)], "id int, t string, y double")
+    spark.range(5).observe(Observation(), F.count("*").alias("n")).count()
+    out = evaluation.scored_by(evaluation.text_logistic(rows, "t", "y"), rows, "t").collect()
+    assert all((r.score > 0.5) == (r.y == 1) for r in out) and len(out) == 20
