@@ -154,7 +154,7 @@ def patched_json(spark, sf):
 def json_leaves(spark, sf):
     """(path, value) of each leaf of a JSON object, whatever its depth."""
     e = table(spark, sf, "events").select("event_id", F.col("props").alias("json"))
-    return variants.leaves(e, "json").groupBy("path").agg(F.count("*").alias("n"), F.max(F.col("value").cast("int")).alias("most"))
+    return variants.leaves(e, "json", keep=[]).groupBy("path").agg(F.count("*").alias("n"), F.max(F.col("value").cast("int")).alias("most"))
 
 
 def _nested_orders(spark, sf):
@@ -171,7 +171,7 @@ UNION ALL SELECT 'lines[].l_quantity', l_quantity::VARCHAR FROM lineitem JOIN or
 SELECT path, count(*) AS n, count(v) AS given, sum(TRY_CAST(v AS DOUBLE)) AS total, count(DISTINCT CASE WHEN TRY_CAST(v AS DOUBLE) IS NULL THEN v END) AS texts FROM l GROUP BY 1""")
 def order_leaves(spark, sf):
     """The leaves of nested orders by path, whatever the place in the list of lines."""
-    found = variants.leaves(_nested_orders(spark, sf), "json").select(F.regexp_replace("path", r"\[\d+\]", "[]").alias("path"), "value", F.expr("try_cast(value AS double)").alias("x"))
+    found = variants.leaves(_nested_orders(spark, sf), "json", keep=[]).select(F.regexp_replace("path", r"\[\d+\]", "[]").alias("path"), "value", F.expr("try_cast(value AS double)").alias("x"))
     return found.groupBy("path").agg(F.count("*").alias("n"), F.count("value").alias("given"), F.sum("x").alias("total"), F.count_distinct(F.when(F.col("x").isNull(), F.col("value"))).alias("texts"))
 
 

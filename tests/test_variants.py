@@ -51,6 +51,13 @@ def test_leaves(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_no_table_of_a_row_a_node_is_broadcast(spark):
+    plans = [variants.leaves(table(spark), "j"), variants.leaves(table(spark), "j", keep=["id"]), variants.cleaned_json(table(spark), "j", "c")]
+    assert not any("Broadcast" in p._jdf.queryExecution().executedPlan().toString() for p in plans)
+    assert sorted(map(str, plans[0].select("id", "path", "value").collect())) == sorted(map(str, plans[1].collect()))
+    assert "Join" not in plans[1]._jdf.queryExecution().toString()
+
+
 def test_cleaned(spark):
     got = {r.id: r.clean for r in variants.cleaned_json(table(spark), "j", "clean").collect()}
     for i, t in enumerate(TEXTS):
