@@ -37,11 +37,16 @@ def reconciled(received: DataFrame, landed: DataFrame, key: str) -> DataFrame:
 def by_rules(rows: DataFrame, skills: DataFrame, row_id: str, skill: str, rules: list[tuple[str, float]]) -> DataFrame:
     """(row, skill, rule, confidence) by the first of ``rules``, (column, confidence), in which both agree.
 
-    Each rule is an equi-join; what is emitted are matches, never all pairs.
+    Each rule is an equi-join; what is emitted are matches, never all pairs. Rows that hold the same values (as all rows
+    of an id do, taken together) match alike, so that rules are tried once for each set of values and rows look theirs up.
     """
-    found = [rows.select(row_id, c).join(skills.select(skill, c).distinct(), c).select(row_id, skill, F.lit(k).alias("rule"), F.lit(w).alias("confidence")) for k, (c, w) in enumerate(rules, 1)]
-    best = reduce(DataFrame.unionByName, found).groupBy(row_id, skill).agg(F.min(F.struct("rule", "confidence")).alias("x"))
-    return best.select(row_id, skill, "x.rule", "x.confidence")
+    columns = list(dict.fromkeys(c for c, _ in rules))
+    valued = rows.groupBy(row_id).agg(F.array_sort(F.collect_set(F.struct(*columns))).alias("_values"))
+    each = valued.select("_values").distinct().select("_values", F.explode("_values").alias("_v"))
+    found = [each.select("_values", F.col("_v")[c].alias(c)).join(skills.select(skill, c).distinct(), c).select("_values", skill, F.lit(k).alias("rule")) for k, (c, _) in enumerate(rules, 1)]
+    best = reduce(DataFrame.unionByName, found).groupBy("_values", skill).agg(F.min("rule").alias("rule"))
+    confidence = F.element_at(F.array(*[F.lit(w) for _, w in rules]), F.col("rule"))
+    return valued.join(best, "_values").select(row_id, skill, "rule", confidence.alias("confidence"))
 
 
 def context(rows: DataFrame, key: str, lookups: list[tuple[DataFrame, str]]) -> DataFrame:

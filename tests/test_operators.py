@@ -97,6 +97,17 @@ def test_rules_and_scopes(spark):
     assert (evidence.clamped(0, 5), evidence.clamped(9, 5)) == (1, 5)
 
 
+def test_rules_are_tried_once_for_equal_values(spark):
+    rows = spark.range(4000).selectExpr("id", "concat('w', id % 3) AS whole", "if(id % 2 = 0, 'x', null) AS first").union(spark.createDataFrame([(0, "w1", None)], "id long, whole string, first string"))
+    skills = spark.createDataFrame([("s", "w0", "x"), ("t", "w1", "y")], "skill string, whole string, first string")
+    out = evidence.by_rules(rows, skills, "id", "skill", [("whole", 0.9), ("first", 0.5)])
+    got = {(r.id, r.skill): (r.rule, r.confidence) for r in out.collect()}
+    want = {(i, "s"): (1, 0.9) if i % 3 == 0 else (2, 0.5) for i in range(4000) if i % 3 == 0 or i % 2 == 0} | {(i, "t"): (1, 0.9) for i in range(4000) if i % 3 == 1 or i == 0}
+    assert got == want and out.count() == len(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("rule" in line and "id#" in line.split("[")[1] for line in plan.splitlines() if "Aggregate [" in line)
+
+
 def test_codes_and_votes(spark):
     codes = spark.createDataFrame([("2",), ("25",), ("2512",), ("31",)], "code string")
     assert {r.code: r.parent for r in governance.longest_prefix(codes, "code").collect()} == {"2": None, "25": "2", "2512": "25", "31": None}
