@@ -76,9 +76,12 @@ def enriched_rows(spark, sf):
     """The three occupations that share most skills with each row, by a join on skills."""
     p = table(spark, sf, "part")
     words = lambda d, c: d.select(c, F.explode(F.split("p_name", " ")).alias("w"))
-    m = words(p, "p_partkey").join(words(p.where("p_size = 7"), "p_type").distinct(), "w").groupBy("p_partkey", "p_type").agg(F.count("*").alias("shared"))
-    best = series.top_of(m, ["p_partkey"], [F.desc("shared"), "p_type"], 3).groupBy("p_partkey").agg(F.sort_array(F.collect_list(F.struct((-F.col("shared")).alias("k"), "p_type"))).alias("x"))
-    return best.select("p_partkey", F.array_join(F.transform("x", lambda s: s["p_type"]), ",").alias("best"))
+    # Rows of the same names are enriched alike: names are matched once, and rows look theirs up.
+    named = p.groupBy("p_partkey").agg(F.array_sort(F.collect_list("p_name")).alias("names"))
+    each = named.select("names").distinct().select("names", F.explode("names").alias("p_name"))
+    m = words(each, "names").join(words(p.where("p_size = 7"), "p_type").distinct(), "w").groupBy("names", "p_type").agg(F.count("*").alias("shared"))
+    best = series.top_of(m, ["names"], [F.desc("shared"), "p_type"], 3).groupBy("names").agg(F.sort_array(F.collect_list(F.struct((-F.col("shared")).alias("k"), "p_type"))).alias("x"))
+    return named.join(best, "names").select("p_partkey", F.array_join(F.transform("x", lambda s: s["p_type"]), ",").alias("best"))
 
 
 @query("retrieved_context", """WITH q AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings), u AS (SELECT label, 'first' AS kind, vec_id AS id, 1.0 / (rn + 1) AS score FROM q WHERE rn <= 8 UNION ALL SELECT label, 'text', doc_id, 1.0 / (2 + rn) FROM (SELECT label, doc_id, row_number() OVER (PARTITION BY label ORDER BY n_chars DESC, doc_id) AS rn FROM embeddings JOIN documents ON vec_id = doc_id))
