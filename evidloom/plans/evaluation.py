@@ -75,10 +75,10 @@ def out_of_fold_scores(spark, sf):
 @query("locked_report")
 def locked_report(spark, sf):
     """The untouched last groups, scored by a model of all development groups, at the threshold that was best out of fold."""
-    rows = _folded(spark, sf)
-    curve = evaluation.precision_recall(evaluation.out_of_fold(rows, _fit, lambda m, held: evaluation.scored_by(m, held, "text")), "label")
+    rows = evaluation.stored(_folded(spark, sf), "folded")[0]
+    pooled, model = evaluation.at_once(lambda step: step(), [lambda: evaluation.out_of_fold(rows, _fit, lambda m, held: evaluation.scored_by(m, held, "text")), lambda: _fit(rows.where("split = 'development'"))])
+    curve = evaluation.precision_recall(pooled, "label")
     at = evaluation.best_threshold(curve).select(F.coalesce("threshold", F.lit(0.5)).alias("threshold"))
-    model = _fit(rows.where("split = 'development'"))
     if model is None:
         raise ValueError("not evaluable: the development groups hold one class only")
     scored = evaluation.stored(evaluation.scored_by(model, rows.where("split = 'test'"), "text").select("doc_id", "label", "score"), "locked")[0]

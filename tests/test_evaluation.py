@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -92,6 +93,18 @@ def test_out_of_fold(spark, sf_dir):
     assert report.n > 0 and report.tp + report.fp + report.fn + report.tn == report.n
 
 
+def test_folds_are_learnt_side_by_side(spark):
+    rows = spark.createDataFrame([(i, 1 + i // 4 if i < 12 else None, 1 + i // 4) for i in range(16)], "id int, trains int, validates int")
+    all_there = threading.Barrier(len(evaluation.FOLD_ENDS), timeout=60)
+
+    def fit(train):
+        all_there.wait()  # broken, unless all folds are at it
+        return train.count()
+
+    got = evaluation.out_of_fold(rows, fit, lambda m, held: held.withColumn("score", F.lit(m))).collect()
+    assert {(r.id, r.fold, r.score) for r in got} == {(i, 1 + i // 4, 4 * (1 + i // 4)) for i in range(12)}
+
+
 def test_models_beat_chance_on_held_out_rows(spark):
     path = "/root/testdata/sf0.01"
     held = registry.QUERIES["alignment_logistic"](spark, path).where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).withColumn("label", F.col("label").cast("int"))
