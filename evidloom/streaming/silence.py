@@ -37,12 +37,12 @@ class Silence(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at long, stale boolean")
-        self.ahead = handle.getListState("ahead", "at long")
+        # One value a key, since each call to a state is a message to the JVM: the last final time, whether it was marked, the timer that is set, times ahead.
+        self.state = handle.getValueState("state", "last long, stale boolean, timer long, ahead array<long>")
 
-    def _settled(self, key, ahead: list[int], watermark: int) -> Iterator[pd.DataFrame]:
+    def _settled(self, key, before, ahead: list[int], watermark: int, expired: int | None = None) -> Iterator[pd.DataFrame]:
         """Makes final what the watermark has passed, and sets a timer for what comes next."""
-        last, stale = self.last.get() if self.last.exists() else (None, False)
+        last, stale, timer = before[:3] if before else (None, False, None)
         out, rest = [], []
         for at in sorted(ahead):
             if at > watermark:
@@ -57,30 +57,30 @@ class Silence(StatefulProcessor):
         if last is not None and not stale and last + self.silence <= watermark:
             out.append((key, "stale", last + self.silence))
             stale = True
-        if last is not None:
-            self.last.update((last, stale))
-        self.ahead.clear()
-        if rest:
-            self.ahead.put([(at,) for at in rest])
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
         following = rest[:1] + ([last + self.silence] if last is not None and not stale else [])
-        if following:
-            self.handle.registerTimer(-(-min(following) // 1000))  # milliseconds
+        due = -(-min(following) // 1000) if following else None  # milliseconds
+        if timer == expired:
+            timer = None  # it is gone once it has run
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        self.state.update((last, stale, due, rest))
         if out:
             yield pd.DataFrame(out, columns=[self.key, "state", "at"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        final = self.last.get()[0] if self.last.exists() else None
-        ahead = [at for (at,) in self.ahead.get()] if self.ahead.exists() else []
+        before = self.state.get()
+        final, ahead = (before[0], list(before[3])) if before else (None, [])
         for frame in rows:
             times = frame["heard"].dropna().astype("int64")
             ahead += (times if final is None else times[times > final]).tolist()
-        yield from self._settled(key[0], ahead, 1000 * timerValues.getCurrentWatermarkInMs())
+        yield from self._settled(key[0], before, ahead, 1000 * timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        ahead = [at for (at,) in self.ahead.get()] if self.ahead.exists() else []
-        yield from self._settled(key[0], ahead, 1000 * timerValues.getCurrentWatermarkInMs())
+        before = self.state.get()
+        yield from self._settled(key[0], before, list(before[3]) if before else [], 1000 * timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass

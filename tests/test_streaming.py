@@ -85,3 +85,37 @@ def test_silence(spark, tmp_path, rocksdb):
     got = sorted(tuple(r) for r in run.close().collect())
     want = sorted(tuple(r) for r in silence.silences_of_batch(spark.read.parquet(path), "user_id").collect())
     assert got == want and len(set(got)) == len(got) and seen[0] == 0 < seen[-1] < len(got)
+
+
+def test_a_key_asks_for_little_of_its_state():
+    """Each call to a state or timer is a message to the JVM; a key of a bounded stream makes five in all, whatever its rows."""
+    calls = []
+
+    class Handle:
+        def getValueState(self, *_):  # noqa: N802
+            return self
+
+        def getListState(self, *_):  # noqa: N802
+            return self
+
+        def __getattr__(self, name):
+            return lambda *a: calls.append((name, *a))
+
+    import pandas as pd
+
+    class Now:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.ms
+
+        getExpiryTimeInMs = getCurrentWatermarkInMs  # noqa: N815
+
+    told = silence.Silence("k", 1_000_000)
+    told.init(handle := Handle())
+    handle.get = lambda *a: calls.append(("get", *a)) or next((c[1] for c in reversed(calls) if c[0] == "update"), None)
+    assert list(told.handleInputRows((1,), iter([pd.DataFrame({"heard": [5_000_000, 5_500_000]})]), Now(0))) == []
+    out = pd.concat(told.handleExpiredTimer((1,), Now(60_000), Now(5_000)))
+    assert out["state"].tolist() == ["stale"] and out["at"].tolist() == [6_500_000]
+    assert [c[0] for c in calls] == ["get", "registerTimer", "update", "get", "update"]
