@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
 from hypothesis import given, settings, strategies as st
+from pyspark import cloudpickle
 
 from evidloom.operators import dictionary, matching
 
@@ -53,3 +55,28 @@ def test_matches_over_blocks(spark, monkeypatch):
         assert {(r.doc_id, r["name"]): (r.hits, r.first_at) for r in got} == by_hand(rows, names)
     empty = spark.createDataFrame([], "alias string")
     assert matching.alias_matches(texts.drop("_words", "name"), empty, "text", "alias", ["doc_id"]).count() == 0
+
+
+def test_a_batch_runs_in_pieces(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(dictionary, "PIECE", 50)
+    names = spark.createDataFrame([("a",), ("a b",), ("b a b",)], "alias string")
+    rows = [(i, "a b " * (i % 7)) for i in range(40)] + [(40, "a b " * 100), (41, None), (42, "c " * 60)]
+    blocks = dictionary.automata(names, "alias")
+    of = blocks.collect()
+    told = spark.createDataFrame([(r.block, r.names, cloudpickle.dumps(_told(pickle.loads(r.automaton), str(tmp_path / "seen")))) for r in of], blocks.schema)
+    got = dictionary.dictionary_matches(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), told, "text", ["doc_id"]).collect()
+    assert {(r.doc_id, r["name"]): (r.hits, r.first_at) for r in got} == by_hand(rows, ["a", "a b", "b a b"])
+    sizes = [tuple(map(int, line.split())) for line in (tmp_path / "seen").read_text().splitlines()]
+    assert len(sizes) > 5 and all(n <= 50 or texts == 1 for n, texts in sizes) and sum(t for _, t in sizes) == len(rows)
+
+
+def _told(automaton, path):
+    """An automaton that writes down how many words and texts it is given at a time."""
+
+    class Told:
+        def matches(self, hashes, offsets):
+            with open(path, "a") as f:
+                f.write(f"{len(hashes)} {len(offsets) - 1}\n")
+            return automaton.matches(hashes, offsets)
+
+    return Told()
