@@ -45,3 +45,13 @@ def test_retrieved(spark):
     sources = {"doc": vectors(spark, [("1", "steel welding"), ("2", "bread")]), "page": vectors(spark, [("1", "steel welding"), ("a:b", "welding")])}
     got = enrichment.retrieved(vectors(spark, [("q", "steel welding")]), sources, k=3).orderBy("rank").collect()
     assert [(r.rank, r.kind, r.id) for r in got] == [(1, "doc", "1"), (2, "page", "1"), (3, "page", "a:b")] and got[0].score == 1.0
+
+
+def test_queries_are_hashed_once(spark):
+    texts = vectors(spark, [("p1", "steel welding"), ("p2", "bread")])
+    none = spark.createDataFrame([], "id string, skill string"), spark.createDataFrame([], "occupation string, skill string")
+    skills = spark.createDataFrame([("s", [1.0] * 32)], "id string, v array<double>")
+    enriched = enrichment.enriched(texts, skills, skills, none[1], none[0])
+    found = enrichment.retrieved(texts, {"doc": skills})
+    assert "sha2" in texts._jdf.queryExecution().toString()
+    assert not any("sha2" in x._jdf.queryExecution().toString() for x in (enriched, found))
