@@ -13,9 +13,9 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, SQLTransformer
+from pyspark.ml.feature import IDF, CountVectorizerModel, NGram, Normalizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.util import inheritable_thread_target
 
 from evidloom.functions.text import tokens
@@ -57,21 +57,55 @@ def group_folds(rows: DataFrame, group: str, time: str) -> DataFrame:
     return order.join(F.broadcast(total)).select(group, "number", F.when(dev, "development").otherwise("test").alias("split"), validates.alias("validates"), trains.alias("trains"))
 
 
+def common_terms(rows: DataFrame, words: str, size: int) -> DataFrame:
+    """(term, n): the ``size`` most common words and pairs of neighbours ("a b") in arrays of words; of equal ones words come first, then by spelling.
+
+    A pair is no more common than either of its words, and behind them where equal, so only pairs of two of the ``size`` most common words are counted.
+    """
+    single, _ = stored(rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(size), "words")
+    first, second = F.broadcast(single.select(F.col("term").alias("_a"))), F.broadcast(single.select(F.col("term").alias("_b")))
+    pairs = rows.select(F.inline(F.arrays_zip(F.col(words).alias("_a"), F.slice(words, 2, F.size(words)).alias("_b")))).toDF("_a", "_b")  # the last word has no neighbour
+    counted = pairs.join(first, "_a").join(second, "_b").groupBy("_a", "_b").agg(F.count("*").alias("n"))
+    both = single.select("term", "n", F.lit(1).alias("_k")).unionByName(counted.select(F.concat_ws(" ", "_a", "_b").alias("term"), "n", F.lit(2).alias("_k")))
+    return both.orderBy(F.desc("n"), "_k", "term").limit(size).select("term", "n")
+
+
+def term_counter(words: DataFrame, size: int = 1000) -> PipelineModel:
+    """Counts of the ``size`` most common words and pairs of words of ``words`` (_w), as a vector _c."""
+    vocabulary = [r.term for r in common_terms(words, "_w", size).collect()]  # of ``size`` at most, a part of the model
+    count = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_t", outputCol="_c")
+    return PipelineModel(stages=[NGram(n=2, inputCol="_w", outputCol="_g"), SQLTransformer(statement="SELECT *, concat(_w, _g) AS _t FROM __THIS__"), count])
+
+
+def counts_logistic(found: DataFrame, label: str) -> PipelineModel:
+    """Inverse frequencies, and logistic regression in which both classes weigh alike, learnt from written counts (_c)."""
+    n, share = found.agg(F.count("*"), F.avg(label)).first()
+    share = min(max(share or 0.0, 1e-9), 1 - 1e-9)
+    weighted = Pipeline(stages=[IDF(inputCol="_c", outputCol="_i"), Normalizer(inputCol="_i", outputCol="_v")]).fit(found)
+    y = F.col(label).cast("double")
+    rows, _ = stored(weighted.transform(found).select(y.alias("label"), "_v", F.when(y == 1, 0.5 / share).otherwise(0.5 / (1 - share)).alias("_weight")), "weights")
+    model = LogisticRegression(featuresCol="_v", labelCol="label", weightCol="_weight", regParam=1.0 / max(n, 1), standardization=False, maxIter=200).fit(rows)
+    return PipelineModel(stages=[*weighted.stages, without_summary(model)])
+
+
 def text_logistic(train: DataFrame, text: str, label: str, size: int = 1000) -> PipelineModel:
     """TF-IDF of words and pairs of words, and logistic regression in which both classes weigh alike, learnt from ``train`` alone.
 
-    Terms are written once; what is learnt reads them back.
+    Counts of terms are written once; what is learnt reads them back.
     """
     words = train.select(tokens(F.col(text)).alias("_w"), F.col(label).cast("double").alias("label"))
-    n, share = words.agg(F.count("*"), F.avg("label")).first()
-    share = min(max(share or 0.0, 1e-9), 1 - 1e-9)
-    stages = [NGram(n=2, inputCol="_w", outputCol="_g"), SQLTransformer(statement="SELECT *, concat(_w, _g) AS _t FROM __THIS__"), CountVectorizer(inputCol="_t", outputCol="_c", vocabSize=size)]
-    counts = Pipeline(stages=stages).fit(words)
+    counts = term_counter(words, size)
     found, _ = stored(counts.transform(words).select("label", "_c"), "terms")
-    weighted = Pipeline(stages=[IDF(inputCol="_c", outputCol="_i"), Normalizer(inputCol="_i", outputCol="_v")]).fit(found)
-    rows, _ = stored(weighted.transform(found).select("label", "_v", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)).alias("_weight")), "weights")
-    model = LogisticRegression(featuresCol="_v", labelCol="label", weightCol="_weight", regParam=1.0 / max(n, 1), standardization=False, maxIter=200).fit(rows)
-    return PipelineModel(stages=[*counts.stages, *weighted.stages, without_summary(model)])
+    return PipelineModel(stages=[*counts.stages, *counts_logistic(found, "label").stages])
+
+
+def text_logistic_scores(rows: DataFrame, trains: Column, text: str, label: str, size: int = 1000) -> DataFrame:
+    """``rows`` without their text, with the score by the ``text_logistic`` of those that train. Terms of a text are counted once, to learn and to score."""
+    words = rows.select(*[c for c in rows.columns if c != text], trains.alias("_trains"), tokens(F.col(text)).alias("_w"))
+    counts = term_counter(words.where("_trains"), size)
+    found, _ = stored(counts.transform(words).drop("_w", "_g", "_t"), "terms")
+    model = counts_logistic(found.where("_trains"), label)
+    return with_score(model.transform(found)).drop("_trains", "_c", "_i", "_v", "rawPrediction", "probability", "prediction")
 
 
 def without_summary(model: LogisticRegressionModel) -> LogisticRegressionModel:
@@ -83,8 +117,11 @@ def without_summary(model: LogisticRegressionModel) -> LogisticRegressionModel:
 
 def scored_by(model: PipelineModel, rows: DataFrame, text: str) -> DataFrame:
     """``rows`` with the score of the positive class."""
-    found = model.transform(rows.withColumn("_w", tokens(F.col(text))))
-    return found.withColumn("score", vector_to_array("probability")[1]).select(*rows.columns, "score")
+    return with_score(model.transform(rows.withColumn("_w", tokens(F.col(text))))).select(*rows.columns, "score")
+
+
+def with_score(found: DataFrame) -> DataFrame:
+    return found.withColumn("score", vector_to_array("probability")[1])
 
 
 def at_once(task: Callable, items: Iterable) -> list:

@@ -176,5 +176,4 @@ def alignment_logistic(spark, sf):
     """Balanced logistic regression on term weights, learnt from four fifths; held-out accuracy is tested, SQL cannot express it."""
     labels = table(spark, sf, "labels").where("quality IS NOT NULL").select("doc_id", F.col("quality").cast("double").alias("label"))
     rows = labels.join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    model = evaluation.text_logistic(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) != 0), "text", "label")
-    return evaluation.scored_by(model, rows, "text").select("doc_id", "label", "score")
+    return evaluation.text_logistic_scores(rows, F.pmod(F.xxhash64("doc_id"), F.lit(5)) != 0, "text", "label").select("doc_id", "label", "score")

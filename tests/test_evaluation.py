@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 import threading
+from collections import Counter
+from itertools import pairwise
 
 import numpy as np
 import pytest
@@ -116,3 +118,23 @@ def test_a_model_is_used_after_a_query_was_observed(spark):
     spark.range(5).observe(Observation(), F.count("*").alias("n")).count()
     out = evaluation.scored_by(evaluation.text_logistic(rows, "t", "y"), rows, "t").collect()
     assert all((r.score > 0.5) == (r.y == 1) for r in out) and len(out) == 20
+
+
+def test_common_terms_are_those_of_all_words_and_pairs(spark):
+    rng = random.Random(3)
+    texts = [[rng.choice("aabbbcdefgh") for _ in range(rng.choice([0, 1, 2, 9, 30]))] for _ in range(60)] + [["x", "y"] * 20]
+    n = Counter(w for t in texts for w in t) + Counter(" ".join(p) for t in texts for p in pairwise(t))
+    order = sorted(n.items(), key=lambda i: (-i[1], " " in i[0], i[0]))
+    rows = spark.createDataFrame([(t,) for t in texts], "w array<string>").repartition(3)
+    for size in (1, 4, 12, 25, 1000):
+        assert [tuple(r) for r in evaluation.common_terms(rows, "w", size).collect()] == order[:size]
+
+
+def test_rows_are_scored_as_by_the_model_of_those_that_train(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["good", "fine", "day"] if i % 2 else ["poor", "bad", "day"]) for _ in range(6)) for i in range(40)] + ["", None, "new words"]
+    rows = spark.createDataFrame([(i, t, float(i % 2)) for i, t in enumerate(texts)], "id int, t string, y double")
+    trains = F.col("id") % 3 != 0
+    want = {r.id: r.score for r in evaluation.scored_by(evaluation.text_logistic(rows.where(trains), "t", "y", 5), rows, "t").collect()}
+    got = evaluation.text_logistic_scores(rows, trains, "t", "y", 5)
+    assert got.columns == ["id", "y", "score"] and {r.id: r.score for r in got.collect()} == pytest.approx(want, abs=1e-6) and len(want) == 43
