@@ -11,15 +11,40 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidloom.functions.text import tokens
+from evidloom.tables import stored
 
 #: Common words that carry no topic.
 STOP = ("the", "of", "and", "to", "in", "is", "it", "an", "on", "at", "by", "for", "with", "as", "or", "that", "this", "are", "be", "was")
 
 
+def text_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term) of each word of two or more letters or digits that is no stop word."""
+    words = F.filter(tokens(F.col(text), r"\b\w\w+\b"), lambda w: ~w.isin(*STOP))
+    return docs.select(key, F.explode(words).alias("term"))
+
+
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, n) of words of two or more letters or digits that are no stop words."""
-    words = F.filter(tokens(F.col(text), r"\b\w\w+\b"), lambda w: ~w.isin(*STOP))
-    return docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    return text_terms(docs, key, text).groupBy(key, "term").agg(F.count("*").alias("n"))
+
+
+def common_counts(docs: DataFrame, key: str, text: str, n_docs: DataFrame, size: int = 256, max_df: float = 0.95) -> tuple[DataFrame, DataFrame]:
+    """The ``vocabulary`` of all terms, and ``term_counts`` of the most common terms, which hold it; both written.
+
+    Terms are first counted without their keys. Only the most common of them, twice as many as the
+    vocabulary has room for, are counted for each key; more where the vocabulary is not full because so
+    many are in too many documents.
+    """
+    words = text_terms(docs, key, text)
+    totals, _ = stored(words.groupBy("term").agg(F.count("*").alias("total")), "totals")
+    tried = 2 * size
+    while True:
+        among, _ = stored(totals.orderBy(F.desc("total"), "term").limit(tried).select("term"), "among")
+        counts, _ = stored(words.join(F.broadcast(among), "term").groupBy(key, "term").agg(F.count("*").alias("n")), "terms")
+        found, _ = stored(vocabulary(counts, n_docs, size, max_df), "vocabulary")
+        if found.count() == size or among.count() < tried:
+            return counts, found
+        tried *= 4
 
 
 def vocabulary(counts: DataFrame, n_docs: DataFrame, size: int = 256, max_df: float = 0.95) -> DataFrame:
@@ -46,10 +71,12 @@ def gaps(weights: DataFrame, key: str, demand: DataFrame) -> DataFrame:
 
 def with_missing(weights: DataFrame, key: str, demand: DataFrame, most: int) -> DataFrame:
     """``weights`` with the ``most`` terms of the greatest demand that a key lacks, as they are in demand. Demand has a row a term of the vocabulary."""
-    wanted = demand.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "term"))), lambda x: F.struct(x["term"].alias("term"), (-x["w"]).alias("weight"))).alias("_wanted"))
-    own = weights.groupBy(key).agg(F.collect_set("term").alias("_own")).join(F.broadcast(wanted))
-    lacks = F.slice(F.filter("_wanted", lambda x: ~F.array_contains("_own", x["term"])), 1, most)
-    return weights.unionByName(own.select(key, F.explode(lacks).alias("x")).select(key, "x.term", "x.weight"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "term")))
+    wanted = demand.agg(order.alias("_order")).select(F.col("_order.term").alias("_wanted"), F.map_from_arrays("_order.term", F.transform("_order.w", lambda w: -w)).alias("_demand"))
+    own = weights.groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("_own")).join(F.broadcast(wanted))
+    lacks = F.slice(F.array_except("_wanted", F.col("_own.term")), 1, most)
+    added = F.transform(lacks, lambda t: F.struct(t.alias("term"), F.col("_demand")[t].alias("weight")))
+    return own.select(key, F.inline(F.concat("_own", added)))
 
 
 def scenario(skills: DataFrame, key: str, add: list[str], drop: list[str], demand: DataFrame, unknown: float = 0.1) -> DataFrame:

@@ -17,14 +17,13 @@ _DEMAND = "d AS (SELECT term, sum(weight) AS weight FROM w JOIN labels USING (do
 
 def _weights(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", " ").alias("text"))
-    counts, _ = stored(learning.term_counts(docs, "doc_id", "text"), "terms")  # read by the vocabulary, the weights and what is made of them
-    vocabulary = learning.vocabulary(counts, docs.agg(F.count("*").alias("n_docs")))
-    return learning.tfidf(counts, "doc_id", vocabulary), vocabulary
+    counts, vocabulary = learning.common_counts(docs, "doc_id", "text", docs.agg(F.count("*").alias("n_docs")))
+    return stored(learning.tfidf(counts, "doc_id", vocabulary), "weights")[0], vocabulary  # read by the demand and what is made of it
 
 
 def _demand(spark, sf, weights):
     good = table(spark, sf, "labels").where("quality = 1").select("doc_id")
-    return weights.join(good, "doc_id", "left_semi").groupBy("term").agg(F.sum("weight").alias("weight"))
+    return stored(weights.join(good, "doc_id", "left_semi").groupBy("term").agg(F.sum("weight").alias("weight")), "demand")[0]
 
 
 @query("tfidf_weights", f"WITH {_TFIDF} SELECT doc_id, count(*) AS terms, round(max(weight), 6) AS most, round(sum(weight * weight), 6) AS length FROM w GROUP BY 1")

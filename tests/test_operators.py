@@ -132,3 +132,27 @@ def test_names(spark):
     assert extract.unique_names(["Name", "name ", "", "Size", "NAME"]) == ["name", "name_2", "column", "size", "name_3"]
     row = spark.createDataFrame([(" ", "b", "a_b%c")], "x string, y string, z string").select(extract.first_filled("x", "y").alias("f"), evidence.escaped_like(F.col("z"), "A_B%").alias("l"), evidence.escaped_like(F.col("z"), "a%b").alias("m")).first()
     assert (row.f, row.l, row.m) == ("b", True, False)
+
+
+def test_only_common_terms_are_counted_for_each_key(spark):
+    rng = np.random.default_rng(5)
+    everywhere = [f"all{i:02d}" for i in range(12)]  # more than twice the vocabulary, in every text, so that more terms must be tried
+    texts = [(i // 2 if i < 80 else None, " ".join([*everywhere * 3, *(f"w{int(x)}" for x in rng.zipf(1.5, 20) if x < 40)])) for i in range(82)]
+    docs = spark.createDataFrame(texts, "k int, t string").repartition(3)
+    every = learning.term_counts(docs, "k", "t")
+    n_docs = spark.createDataFrame([(41,)], "n_docs long")  # two rows a key, and one key is null
+    for size in (5, 256):
+        counts, found = learning.common_counts(docs, "k", "t", n_docs, size)
+        want = [tuple(r) for r in learning.vocabulary(every, n_docs, size).collect()]
+        assert sorted(tuple(r) for r in found.collect()) == sorted(want) and 0 < len(want) <= size
+        rows = lambda c: sorted(map(str, c.join(found, "term", "left_semi").select("k", "term", "n").collect()))
+        assert rows(counts) == rows(every)
+    assert learning.common_counts(docs, "k", "t", n_docs, 20)[0].select("term").distinct().count() <= 40 < every.select("term").distinct().count()
+
+
+def test_the_most_wanted_terms_that_a_key_lacks_are_added(spark):
+    weights = spark.createDataFrame([(1, "a", 0.6), (1, "b", 0.8), (2, "z", 1.0), (None, "d", 1.0)], "k int, term string, weight double")
+    demand = spark.createDataFrame([("a", 5.0), ("c", 2.0), ("b", 2.0), ("d", 1.0)], "term string, weight double")
+    got = {(r.k, r.term, r.weight) for r in learning.with_missing(weights, "k", demand, 2).collect()}
+    assert got == {(1, "a", 0.6), (1, "b", 0.8), (1, "c", 2.0), (1, "d", 1.0), (2, "z", 1.0), (2, "a", 5.0), (2, "b", 2.0), (None, "d", 1.0), (None, "a", 5.0), (None, "b", 2.0)}
+    assert {tuple(r) for r in learning.with_missing(weights, "k", demand.where("false"), 2).collect()} == {tuple(r) for r in weights.collect()}
