@@ -7,14 +7,17 @@ first ``n - ceil(t n) + 1`` n-grams, and the shorter set one of its first ``n -
 
 1. Equal sets become one class, named by a 64-bit digest of the set. All later work is on
    classes, so exact copies are never compared.
-2. Each class sends its prefix, one row an n-gram, to that n-gram's group. N-grams whose counter
+2. A class that links to another shares at least ``least_shared`` of its first n-grams by hash
+   (about half of them) with those of other sets. They are sent as three bytes each to slots
+   of the hash, which tell of each block of sets what is shared; classes that share less go.
+3. Each class left sends its prefix, one row an n-gram, to that n-gram's group. N-grams whose counter
    is far above the mean are dealt over several salted groups.
-3. In each group every class is paired with a few pivots only, a number of rows that follows the
+4. In each group every class is paired with a few pivots only, a number of rows that follows the
    group's size. Verified pairs are contracted to components.
-4. Groups that still hold several components: where they are small, classes are paired if the
+5. Groups that still hold several components: where they are small, classes are paired if the
    positions of their n-gram allow the needed overlap. Classes that large groups connect form
    blocks, in which each class is sent once for each chunk that it meets, and no pairs are made.
-5. Of pairs those go whose sketches (bitmaps of the parities of hashed members) differ in more
+6. Of pairs those go whose sketches (bitmaps of the parities of hashed members) differ in more
    bits than similar sets differ in members. The others' sets are compared in ``trie_matches``: candidates, most common n-gram first, form a prefix
    tree; a walk counts each shared prefix once for all probes and leaves subtrees whose remaining
    lengths cannot reach the needed overlap.
@@ -33,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -55,6 +59,9 @@ PAIRED = 32  # classes of a group that are paired one by one; more are met in bl
 CHUNK = 150_000  # n-grams of a chunk of a block
 BAND = 1.12  # ratio of set sizes within a chunk of a block of several
 ANCHOR_GROUP = 256  # candidates of an anchor in one group
+SLOTS = 1 << 10  # that n-grams are sent to by hash; with the three bytes sent 2**34 values are told apart
+BLOCK = 1 << 19  # n-grams after which a task ends a block of sets,
+BLOCK_SETS = 1 << 15  # or sets
 
 
 def sets_of(column, size: int):
@@ -109,11 +116,90 @@ def in_order(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return own[np.argsort((rare << _U(32)) | (own >> _U(32)), kind="stable")]
 
 
-def _scan(size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary()), ("piece", pa.int32()), ("counts", pa.binary())])
+def _more(n):
+    """How many n-grams beyond the prefix are sent of a set of n members."""
+    return -(-n // 4)
+
+
+def sent(n, percent: int):
+    """How many of n members are sent to slots, the least hashes first."""
+    return np.minimum(n, n - -(-percent * n // 100) + _more(n))
+
+
+def least_shared(n, percent: int):
+    """How many of those a set of n members shares at least with any set similar to it.
+
+    The i-th of the common members is in the first ``n - overlap + i`` of either set, so the first ``_more``
+    of the smaller set are sent of both; and the smaller one has percent of n members or more.
+    """
+    return _more(-(-percent * n // 100))
+
+
+def _to_slots(firsts: list[np.ndarray]):
+    """(slot, which sets, three bytes a member) of each slot that members of these sets belong to.
+
+    ``which``: bits, for each set in turn a 1 for each member and a 0.
+    """
+    flat = np.concatenate(firsts)
+    slot = (flat & _U(SLOTS - 1)).astype(np.uint16)
+    order = np.argsort(slot, kind="stable")
+    at = np.searchsorted(slot[order], np.arange(SLOTS + 1))
+    row = np.repeat(np.arange(len(firsts)), [len(x) for x in firsts])[order]
+    value = ((flat[order] >> _U(10)) & _U(0xFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+    for k in np.flatnonzero(at[1:] > at[:-1]).tolist():
+        own = row[at[k] : at[k + 1]]
+        bits = np.zeros(len(own) + len(firsts), bool)
+        bits[own + np.arange(len(own))] = True
+        yield k, np.packbits(bits).tobytes(), value[at[k] : at[k + 1]].tobytes()
+
+
+def _shared_in_slot(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+    """Of each block the sets whose members another set has too, one number a member."""
+    blocks = group.column("block").to_pylist()
+    ones = [np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8))) for x in group.column("which").to_pylist()]
+    row = np.concatenate([x - np.arange(len(x)) for x in ones]).astype(np.uint16)
+    value = np.zeros((len(row), 4), np.uint8)
+    value[:, :3] = np.concatenate([np.frombuffer(x, np.uint8) for x in group.column("members").to_pylist()]).reshape(-1, 3)
+    value = value.view("<u4").ravel()
+    order = np.argsort(value, kind="stable")
+    same = np.diff(value[order]) == 0
+    shared = np.zeros(len(value), bool)
+    shared[order[1:]] = same
+    shared[order[:-1]] |= same
+    at = np.cumsum([0, *map(len, ones)])
+    parts = [row[i:j][shared[i:j]] for i, j in zip(at, at[1:])]
+    some = [i for i, x in enumerate(parts) if len(x)]
+    return pa.table({"block": pa.array([blocks[i] for i in some], pa.int64()), "which": pa.array([parts[i].tobytes() for i in some], pa.binary()), "members": pa.nulls(len(some), pa.binary())})
+
+
+def _left_of_block(percent: int):
+    """The classes of a block that share enough; the row with members has all of them and their sizes."""
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        which, members = group.column("which").to_pylist(), group.column("members").to_pylist()
+        n, cls = next((np.frombuffer(x, np.int64), np.frombuffer(m, np.int64)) for x, m in zip(which, members, strict=True) if m is not None)
+        shared = np.bincount(np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(x, np.uint16) for x, m in zip(which, members, strict=True) if m is None)]), minlength=len(n))
+        return pa.table({"cls": pa.array(cls[shared >= least_shared(n, percent)], pa.int64())})
+
+    return run
+
+
+def _scan(size: int, percent: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary()), ("piece", pa.int32()), ("counts", pa.binary()), ("block", pa.int64()), ("slot", pa.int32()), ("which", pa.binary()), ("members", pa.binary())])
+    rows = lambda k, **cols: pa.record_batch([cols[f.name] if f.name in cols else pa.nulls(k, f.type) for f in schema], schema=schema)
+
+    def ended(block):
+        """Rows of a block: what goes to slots, and its classes with their sizes (slot -1)."""
+        name = int.from_bytes(os.urandom(8), "little", signed=True)
+        slots, which, members = zip(*_to_slots([x for *_, x in block]), strict=True)
+        slots, which, members = [-1, *slots], [np.array([n for _, n, _ in block], np.int64).tobytes(), *which], [np.array([c for c, *_ in block], np.int64).tobytes(), *members]
+        return rows(len(slots), block=pa.array([name] * len(slots), pa.int64()), slot=pa.array(slots, pa.int32()), which=pa.array(which, pa.binary()), members=pa.array(members, pa.binary()))
 
     def run(batches):
         counts = np.zeros(COUNTERS, np.uint32)
+        seen: set[int] = set()
+        block: list[tuple[int, int, np.ndarray]] = []
+        in_block = 0
         for batch in batches:
             n, cls, sketch = [], [], []
             pending: list[np.ndarray] = []
@@ -127,13 +213,23 @@ def _scan(size: int):
                 n.append(len(own))
                 cls.append(class_of(own))
                 sketch.append(sketch_of(own).tobytes() if len(own) else None)
+                if len(own) and cls[-1] not in seen:
+                    if len(seen) < 200_000:  # copies in one task
+                        seen.add(cls[-1])
+                    block.append((cls[-1], n[-1], own[: sent(n[-1], percent)].copy()))
+                    in_block += len(block[-1][2])
+                if in_block >= BLOCK or len(block) >= BLOCK_SETS:
+                    yield ended(block)
+                    block, in_block = [], 0
             if pending:
                 counts += np.bincount(np.concatenate(pending), minlength=COUNTERS).astype(np.uint32)
             k = len(n)
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
+            yield rows(k, doc_id=batch.column("doc_id").cast(pa.int64()), n=pa.array(n, pa.int64()), cls=pa.array(cls, pa.int64()), sketch=pa.array(sketch, pa.binary()))
+        if block:
+            yield ended(block)
         pieces = counts.reshape(-1, _PIECE)
         some = np.flatnonzero(pieces.any(axis=1))
-        yield pa.record_batch([*[pa.nulls(len(some), pa.int64())] * 3, pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array([pieces[i].tobytes() for i in some], pa.binary())], schema=schema)
+        yield rows(len(some), piece=pa.array(some, pa.int32()), counts=pa.array([pieces[i].tobytes() for i in some], pa.binary()))
 
     return run
 
@@ -148,19 +244,22 @@ def _add_pieces(batches):
     yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x.astype(np.uint32).tobytes() for x in total.values()], pa.binary())], names=["piece", "counts"])
 
 
-def _prefixes(size: int, percent: int, counts):
+def _prefixes(size: int, percent: int, counts, named, left):
+    """Prefixes of the classes in the bitmap ``left``, from the rows without doc_id and those in ``named``."""
     schema = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("salts", pa.int32()), ("cls", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
     def run(batches):
-        table = np.frombuffer(counts.value, np.uint32)
+        table, ids, classes = np.frombuffer(counts.value, np.uint32), np.frombuffer(named.value, np.uint8), np.frombuffer(left.value, np.uint8)
         salted = 1 + (np.maximum(table - table.mean(), 0) // max(SALT_ABOVE, NOISE * float(table.mean()) ** 0.5)).astype(np.int32)
         seen: set[int] = set()
         for batch in batches:
             parts: list[tuple[np.ndarray, int, int]] = []
             held = 0
+            id = batch.column("doc_id")
+            batch = batch.filter(pa.array(_in(ids, id.fill_null(0).to_numpy()) | id.is_null().to_numpy(zero_copy_only=False)))
             for own in sets_of(batch.column("text"), size):
                 cls = class_of(own)
-                if cls is None or cls in seen:
+                if cls is None or cls in seen or not _in(classes, np.array([cls], np.int64))[0]:
                     continue
                 if len(seen) < 200_000:  # copies in one task; any others fall together later
                     seen.add(cls)
@@ -292,6 +391,11 @@ def _bit(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.view(_U)) >> _U(64 - BITS)).astype(np.int64)
 
 
+def _in(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = _bit(ids)
+    return (bits[at >> 3] >> (7 - (at & 7))) & 1 == 1
+
+
 def _bitmap(batches):
     """Pieces of the bitmap of the ids that stream by; each piece is in one partition."""
     pieces: dict[int, np.ndarray] = {}
@@ -311,12 +415,16 @@ def bitmap(ids: DataFrame):
     return ids.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
+def _marked(bits):
+    """Whether an id (null: 0) is in that bitmap."""
+    return F.pandas_udf(lambda ids: pd.Series(_in(np.frombuffer(bits.value, np.uint8), ids.fillna(0).to_numpy(np.int64))), "boolean")
+
+
 def _ordered_sets(size: int, counts, marks):
     def run(batches):
         table, bits = np.frombuffer(counts.value, np.uint32), np.frombuffer(marks.value, np.uint8)
         for batch in batches:
-            at = _bit(np.asarray(batch.column("doc_id")))  # of documents that have one
-            batch = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7))) & 1 == 1))
+            batch = batch.filter(pa.array(_in(bits, np.asarray(batch.column("doc_id")))))  # of documents that have one
             cls, out = [], []
             for own in sets_of(batch.column("text"), size):
                 cls.append(class_of(own))
@@ -338,8 +446,7 @@ def _ordered_sets_of_nameless(size: int, counts, marks):
                 c = class_of(own)
                 if c is None or c in seen:
                     continue
-                at = int(_bit(np.array([c], np.int64))[0])
-                if not bits[at >> 3] >> (7 - (at & 7)) & 1:
+                if not _in(bits, np.array([c], np.int64))[0]:
                     continue
                 if len(seen) < 200_000:
                     seen.add(c)
@@ -423,18 +530,25 @@ class _Join:
 
     def components(self) -> DataFrame:
         size, percent = self.size, self.percent
-        scan = self.keep(self.docs.mapInArrow(tidy(_scan(size)), "doc_id long, n long, cls long, sketch binary, piece int, counts binary"), "sets")
-        self.per_doc = scan.where("piece IS NULL").select("doc_id", "n", "cls")
+        scan, path = written(self.docs.mapInArrow(tidy(_scan(size, percent)), "doc_id long, n long, cls long, sketch binary, piece int, counts binary, block long, slot int, which binary, members binary"), "sets")
+        self.per_doc = self.keep(scan.where("piece IS NULL AND slot IS NULL").select("doc_id", "n", "cls"), "docs")
         pieces = scan.where("piece IS NOT NULL").select("piece", "counts").repartition(16, "piece").mapInArrow(_add_pieces, "piece int, counts binary")
         counts = np.zeros(COUNTERS, np.uint32)
         for piece, blob in pieces.collect():  # at most COUNTERS counters, whatever the input
             counts[piece * _PIECE : (piece + 1) * _PIECE] = np.frombuffer(blob, np.uint32)
         self.counts = self.spark.sparkContext.broadcast(counts.tobytes())
-        named = scan.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        shared = scan.where("slot >= 0").select("slot", "block", "which", "members").groupBy("slot").applyInArrow(_shared_in_slot, "block long, which binary, members binary")
+        left = scan.where("slot = -1").select("block", "which", "members").union(shared).groupBy("block").applyInArrow(_left_of_block(percent), "cls long")
+        left = bitmap(self.keep(left, "left").select(F.col("cls").alias("doc_id")))
+        # A bitmap also lets some others through, which do no harm.
+        named = scan.where("cls IS NOT NULL").select("cls", "doc_id", "n", "sketch").where(_marked(left)("cls"))
+        named = named.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         self.classes = self.keep(named, "classes")
-        self.nameless = self.per_doc.where("cls IS NOT NULL AND doc_id IS NULL").count() > 0
+        self.nameless = self.classes.where("doc_id IS NULL").count() > 0
+        remove(self.spark, path)
 
-        rows = self.docs.mapInArrow(tidy(_prefixes(size, percent, self.counts)), "token long, salt int, salts int, cls long, n int, pos int")
+        senders = bitmap(self.classes.where("doc_id IS NOT NULL"))
+        rows = self.docs.mapInArrow(tidy(_prefixes(size, percent, self.counts, senders, left)), "token long, salt int, salts int, cls long, n int, pos int")
         group = Window.partitionBy("token", "salt")
         pivots = [F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls", "n", "pos")).over(group).alias(f"p{k}") for k in range(PIVOTS)]
         shared = (
@@ -505,14 +619,8 @@ def one_of_each_group(docs: DataFrame, size: int = 5, percent: int = 75) -> Data
     """
     found = ngram_join(docs, size, percent).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("rows"), F.min("component_id").alias("first"))
     suspect, _ = written(found.where("rows > 1 OR first <> _id").select(F.col("_id").alias("doc_id"), (F.col("first") != F.col("_id")).alias("_gone")), "suspects")
-    bits = bitmap(suspect)
-
-    def test(ids: pd.Series) -> pd.Series:
-        at = _bit(ids.fillna(0).to_numpy(np.int64))
-        return pd.Series((np.frombuffer(bits.value, np.uint8)[at >> 3] >> (7 - (at & 7))) & 1 == 1)
-
     rows, back = shielded(docs, "doc_id", "text")
-    marked = rows.withColumn("_marked", F.pandas_udf(test, "boolean")(F.col("doc_id").cast("long")))
+    marked = rows.withColumn("_marked", _marked(bitmap(suspect))(F.col("doc_id").cast("long")))
     sure = marked.where("doc_id IS NULL OR NOT _marked").drop("_marked")
     looked_up = marked.where("doc_id IS NOT NULL AND _marked").drop("_marked").join(suspect, "doc_id", "left").where("_gone IS NULL OR NOT _gone").drop("_gone")
     return back(sure.unionByName(looked_up.dropDuplicates(["doc_id"])))
