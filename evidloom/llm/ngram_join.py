@@ -410,7 +410,7 @@ def bitmap(ids: DataFrame):
     udf = F.pandas_udf(lambda x: pd.Series(_bit(x.to_numpy(np.int64))), "long")
     bits = ids.select(udf("doc_id").alias("at")).select(F.floor(F.col("at") / _PIECE_BITS).alias("piece"), (F.col("at") % _PIECE_BITS).alias("bit"))
     out = np.zeros(1 << (BITS - 3), np.uint8)
-    for piece, blob in bits.repartition(16, "piece").mapInArrow(_bitmap, "piece long, bits binary").toLocalIterator():
+    for piece, blob in bits.repartition(16, "piece").mapInArrow(_bitmap, "piece long, bits binary").collect():  # 4 MB at most, in one job
         out[piece * _PIECE_BITS // 8 : (piece + 1) * _PIECE_BITS // 8] = np.frombuffer(blob, np.uint8)
     return ids.sparkSession.sparkContext.broadcast(out.tobytes())
 
